@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from .common import table
+from .chat_format import rotate_perspectives
 from .exact_dedup import exact_dedup
+from .licence_scan import KNOWN, SPELLINGS, scan_licences
+from .packing import pack
+from .simhash import near_duplicates
+from .url_filter import filter_urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -21,3 +26,91 @@ kept AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM bare)
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM kept
 """
+
+
+def op10_url_filter(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op10_url_filter"] = op10_url_filter
+ORACLES["op10_url_filter"] = r"""
+WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+words(word) AS (VALUES ('casino'), ('cheap-pills'), ('escort'), ('free-money'), ('payday-loan'), ('porn'), ('replica-watches'), ('spam-farm'), ('viagra'), ('xxx')),
+rest AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r FROM pages),
+cut AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fit AS (
+  SELECT c.page_id, c.host, c.path,
+    (SELECT max_by({'rule': r.host || r.path, 'verdict': r.verdict}, length(r.host || r.path)) FROM rules r
+     WHERE (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path)) AS place,
+    (SELECT min(w.word) FROM words w WHERE regexp_matches(c.host || c.path, '(?i)(^|[^a-z0-9])' || w.word || '([^a-z0-9]|$)')) AS word
+  FROM cut c)
+SELECT page_id, host, path, place.rule AS rule, coalesce(place.verdict, CASE WHEN word IS NULL THEN 'allow' ELSE 'block' END) AS verdict, word FROM fit
+"""
+
+
+def op3_chat_format(spark, sf_dir):
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op3_chat_format"] = op3_chat_format
+ORACLES["op3_chat_format"] = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+people AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
+seen AS (
+  SELECT s.*, perspective, role = perspective AS own,
+    CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END AS head
+  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+cut AS (SELECT *, '<|im_start|>' || head || chr(10) || text || '<|im_end|>' || chr(10) AS segment FROM seen),
+placed AS (
+  SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM cut)
+SELECT conv_id, perspective, turn, segment, start, length(segment)::BIGINT AS length,
+  CASE WHEN own THEN start + length(head) + 13 END::BIGINT AS mask_start, CASE WHEN own THEN start + length(segment) - 1 END::BIGINT AS mask_end
+FROM placed
+"""
+
+
+def op7_licence_scan(spark, sf_dir):
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_licence_scan"] = op7_licence_scan
+
+
+def _canonical_sql(text: str) -> str:
+    kept = rf"regexp_replace(lower({text}), '(?m)^[ \t#*/;-]*(copyright\b[^\n]*([0-9]{{4}}|\(c\)|©)|\(c\) |© |all rights reserved)[^\n]*$', '', 'g')"
+    for pattern, one in SPELLINGS:
+        kept = f"regexp_replace({kept}, '{pattern}', '{one}', 'g')"
+    return rf"trim(regexp_replace({kept}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+def _licence_sql() -> str:
+    known = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in KNOWN.items())
+    return f"""
+WITH known AS (SELECT sha256({_canonical_sql("words")}) AS digest, min(licence) AS licence FROM (VALUES {known}) k(licence, words) GROUP BY 1),
+read AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS c FROM documents)
+SELECT doc_id, sha256(c) AS digest, licence FROM read LEFT JOIN known ON known.digest = sha256(c) AND c <> ''
+"""
+
+
+ORACLES["op7_licence_scan"] = _licence_sql()
+
+
+def op1_simhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_simhash_dedup"] = op1_simhash_dedup
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def vocabulary() -> str:
+    """The file of the public vocabulary that packs are made with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+QUERIES["op4_best_fit_packing"] = op4_best_fit_packing
