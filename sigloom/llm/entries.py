@@ -7,7 +7,9 @@ from .chat_format import rotate_perspectives
 from .exact_dedup import exact_dedup
 from .licence_scan import KNOWN, SPELLINGS, scan_licences
 from .packing import pack
+from .recompression import remove_passages
 from .simhash import near_duplicates
+from .suffix_array import remove_substrings
 from .url_filter import filter_urls
 
 QUERIES: dict = {}
@@ -114,3 +116,15 @@ def vocabulary() -> str:
 
 
 QUERIES["op4_best_fit_packing"] = op4_best_fit_packing
+
+
+def op5_suffix_array_dedup(spark, sf_dir):
+    return remove_substrings(table(spark, sf_dir, "documents"))
+
+
+def op6_recompression_dedup(spark, sf_dir):
+    return remove_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_suffix_array_dedup"] = op5_suffix_array_dedup
+QUERIES["op6_recompression_dedup"] = op6_recompression_dedup
