@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .common import table
 from .chat_format import rotate_perspectives
+from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .licence_scan import KNOWN, SPELLINGS, scan_licences
 from .packing import pack
 from .recompression import remove_passages
+from .resampling import resample
 from .simhash import near_duplicates
 from .suffix_array import remove_substrings
 from .url_filter import filter_urls
@@ -128,3 +130,15 @@ def op6_recompression_dedup(spark, sf_dir):
 
 QUERIES["op5_suffix_array_dedup"] = op5_suffix_array_dedup
 QUERIES["op6_recompression_dedup"] = op6_recompression_dedup
+
+
+def op9_quality_resampling(spark, sf_dir):
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op9_quality_resampling"] = op9_quality_resampling
+QUERIES["op2_decontamination"] = op2_decontamination
