@@ -11,6 +11,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -144,53 +145,65 @@ def _best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return out
 
 
+#: Sweeps of the local search, and from how many of the emptiest kinds of bins each takes. They bound the search, never what is packed.
+SWEEPS, GIVERS = 20, 32
+
+
 def _swaps(bins: Counter, capacity: int, least: int) -> Counter:
     """Moves, one-for-one and two-for-one exchanges between underfull bins, each of which fills the fuller bin further and so
-    raises the sum of squared fills, until none is left or the bins are as few as the tokens allow. As many equal pairs of bins
-    as there are take a step together."""
+    raises the sum of squared fills, until a sweep finds none or the bins are as few as the tokens allow. The emptiest bins give,
+    to the fullest first, until they are empty. As many equal pairs of bins as there are take a step together."""
     bins = Counter(bins)
-    while sum(bins.values()) > least:
+    for _ in range(SWEEPS):
+        if sum(bins.values()) <= least:
+            break
         open_ = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (-sum(k), k))
-        step = None
-        for i, a in enumerate(open_):
-            for b in reversed(open_[i:]):
-                if a == b and bins[a] < 2:
-                    continue
-                if step := _better(a, b, capacity - sum(a)):
-                    many = bins[a] // 2 if a == b else min(bins[a], bins[b])
+        changed = False
+        for giver in reversed(open_[-GIVERS:]):
+            for a in open_:
+                if not giver or not bins[giver]:
                     break
-            if step:
-                break
-        if not step:
+                if not bins[a] or a == giver and bins[a] < 2 or sum(a) < sum(giver):
+                    continue
+                step = _better(a, giver, capacity - sum(a))
+                if not step:
+                    continue
+                many = bins[a] // 2 if a == giver else min(bins[a], bins[giver])
+                for kind, sign in ((a, -1), (giver, -1), (step[0], 1), (step[1], 1)):
+                    if kind:
+                        bins[kind] += sign * many
+                giver, changed = step[1], True
+        bins = Counter({k: n for k, n in bins.items() if n})
+        if not changed:
             break
-        for kind, sign in ((a, -1), (b, -1), (step[0], 1), (step[1], 1)):
-            if kind:
-                bins[kind] += sign * many
-                if not bins[kind]:
-                    del bins[kind]
     return bins
 
 
+@lru_cache(maxsize=20_000)
+def _parts(kind: tuple) -> tuple[list, list]:
+    """The single lengths and the pairs of a bin, each as (sum, lengths) in order."""
+    many = Counter(kind)
+    one = sorted(many)
+    pairs = sorted((x + y, (x, y)) for i, x in enumerate(one) for y in one[i:] if x != y or many[x] > 1)
+    return [(x, (x,)) for x in one], pairs
+
+
 def _better(a: tuple, b: tuple, space: int) -> tuple[tuple, tuple] | None:
-    """a and b after the exchange that fills a the most, if one does: b gives one or two lengths, a gives none, one or two back."""
-    gives = {(): 0} | {(x,): x for x in set(b)} | {p: sum(p) for p in _pairs(b)}
-    takes = {(): 0} | {(x,): x for x in set(a)} | {p: sum(p) for p in _pairs(a)}
+    """a and b after the exchange that fills a the most, if one does: b gives one or two lengths, a gives none, one or two back, three in all at most."""
     best, found = 0, None
-    for g, x in gives.items():
-        for t, y in takes.items():
-            if best < x - y <= space and len(g) + len(t) <= 3 and g:
-                best, found = x - y, (g, t)
+    (a1, a2), (b1, b2) = _parts(a), _parts(b)
+    for gives, takes in ((b1, [(0, ())]), (b2, [(0, ())]), (b1, a1), (b2, a1), (b1, a2)):
+        for y, t in takes:
+            k = bisect_left(gives, (y + space + 1,)) - 1
+            if k >= 0 and best < gives[k][0] - y:
+                best, found = gives[k][0] - y, (gives[k][1], t)
+        if best == space:
+            break
     if not found:
         return None
     return _with(a, found[0], found[1]), _with(b, found[1], found[0])
 
 
-def _pairs(kind: tuple) -> set[tuple]:
-    many = Counter(kind)
-    one = sorted(many)
-    return {(x, y) for i, x in enumerate(one) for y in one[i:] if x != y or many[x] > 1}
-
-
 def _with(kind: tuple, more: tuple, less: tuple) -> tuple:
     left = Counter(kind) + Counter(more) - Counter(less)
     return tuple(sorted(left.elements(), reverse=True))
