@@ -145,7 +145,8 @@ def normalized_blocks(text: Column) -> Column:
 
 def without_repeats(values: Column) -> Column:
     """The values without those equal to the one before."""
-    return F.filter(values, lambda v, i: (i == 0) | (v != F.get(values, i - 1)))
+    before = F.concat(F.array(F.lit(None).cast("string")), values)  # one longer; the pair of its end falls away with the nulls
+    return F.filter(F.zip_with(values, before, lambda v, b: F.when(v.eqNullSafe(b), None).otherwise(v)), lambda v: v.isNotNull())
 
 
 def truncated(text: Column, most: int) -> Column:

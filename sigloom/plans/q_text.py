@@ -1 +1,194 @@
-"""..."""
+"""Texts: tokens, terms, sentences, blocks, questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..functions import text as T
+from ..operators import terms
+from .catalogue import query
+
+TOKENS = r"list_filter(list_transform(regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}.+#''-]+'), lambda t: lower(regexp_replace(t, '^[.''-]+|[.''-]+$', '', 'g'))), lambda t: t <> '')"
+
+
+def _stem(t: str) -> str:
+    fits = lambda s, n: f"(ends_with({t}, '{s}') AND length({t}) - {len(s)} >= {n} AND NOT ends_with(substr({t}, 1, length({t}) - {len(s)}), 's'))"
+    cut = lambda n: f"substr({t}, 1, length({t}) - {n})"
+    return (
+        f"CASE WHEN length({t}) <= 3 THEN {t} WHEN {fits('ies', 3)} THEN {cut(3)} || 'y' WHEN {fits('ing', 4)} THEN {cut(3)} WHEN {fits('ed', 4)} THEN {cut(2)} "
+        f"WHEN {fits('es', 4)} THEN CASE WHEN regexp_matches({cut(2)}, '(ch|sh|x)$') THEN {cut(2)} ELSE {cut(2)} || 'e' END WHEN {fits('s', 3)} THEN {cut(1)} ELSE {t} END"
+    )
+
+
+def _is_term(t: str) -> str:
+    from .. import lexicon as L
+
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in L.STOP_WORDS)
+    short = ", ".join(f"'{w}'" for w in L.SHORT_TERMS)
+    return f"({t} NOT IN ({stop}) AND NOT regexp_matches({t}, '^[0-9.]+$') AND (length({t}) >= 3 OR {t} IN ({short})))"
+
+
+@query(f"SELECT t AS token, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS t FROM documents) GROUP BY 1")
+def tokens_freq(m):
+    """How often each token stands in all texts."""
+    return m.documents.select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {_stem('t')} AS stem, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS t FROM documents) WHERE {_is_term('t')} GROUP BY 1")
+def stem_terms(m):
+    """Stems of the tokens that are terms."""
+    at = m.documents.select(F.explode(T.tokens(F.col("text"))).alias("t")).filter(T.is_term(F.col("t")))
+    return at.groupBy(T.stem(F.col("t")).alias("stem")).agg(F.count("*").alias("n"))
+
+
+HEAD = "CASE WHEN strlen(content_text) <= 4000 OR substr(hex(encode(content_text)), 8001, 1) IN ('8', '9', 'A', 'B') THEN content_text ELSE decode(unhex(substr(hex(encode(content_text)), 1, 8000))) END".replace("strlen(content_text) <= 4000 OR", "strlen(content_text) <= 4000 OR")
+TERMS = f"""toks AS (SELECT item_id, list_concat(list_transform({TOKENS.format('title')}, lambda t: {{'t': t, 'w': 3.0::DOUBLE}}), list_transform({TOKENS.format(f'({HEAD})')}, lambda t: {{'t': t, 'w': 1.0::DOUBLE}})) AS l FROM item),
+flat AS (SELECT item_id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM toks),
+weighed AS (SELECT item_id, {_stem('x.t')} AS term, sum(x.w) AS weight, min(pos) AS first FROM flat WHERE {_is_term('x.t')} GROUP BY 1, 2),
+terms AS (SELECT item_id, term, weight, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, first) AS place FROM weighed)"""
+
+
+@query(f"WITH {TERMS} SELECT item_id, term, weight, place::BIGINT AS place FROM terms WHERE place <= 18")
+def key_terms_top(m):
+    """The key terms of each item."""
+    return terms.key_terms(m.item, 18)
+
+
+@query(f"""WITH {TERMS}, k AS (SELECT item_id, term FROM terms WHERE place <= 18), old AS (SELECT * FROM k WHERE item_id IN (SELECT item_id FROM item ORDER BY published_at DESC, item_id LIMIT 200)),
+p AS (SELECT a.item_id, b.item_id AS prior_id, count(*) AS shared FROM k a JOIN old b ON a.term = b.term AND a.item_id <> b.item_id GROUP BY 1, 2),
+n AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1),
+o AS (SELECT p.*, round(shared::DOUBLE / greatest(1, least(a.n, b.n)), 6) AS overlap FROM p JOIN n a ON a.item_id = p.item_id JOIN n b ON b.item_id = p.prior_id),
+l AS (SELECT *, CASE WHEN overlap >= 0.45 AND shared >= 5 THEN 'same_change' WHEN overlap >= 0.25 AND shared >= 3 THEN 'related' END AS kind FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, prior_id) AS k FROM l WHERE kind IS NOT NULL)
+SELECT item_id, prior_id, shared, overlap, kind FROM r WHERE k <= 8""")
+def similar_items(m):
+    """Links to the 200 newest items by shared key terms."""
+    return terms.similar(m.item, m.item.orderBy(F.desc("published_at"), "item_id"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM documents")
+def slug_subjects(m):
+    """Slugs of first lines."""
+    return m.documents.select("doc_id", T.slug(F.split_part(F.col("text"), F.lit("\n"), F.lit(1))).alias("slug"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents")
+def normalized_texts(m):
+    """Texts with single spaces."""
+    return m.documents.select("doc_id", F.md5(T.normalize_whitespace(F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, 'source_' || substr(sha256(text), 1, 32) AS id FROM documents")
+def deterministic_ids(m):
+    """Ids that follow from content."""
+    return m.documents.select("doc_id", ids.named("source", F.col("text")).alias("id"))
+
+
+@query(r"""WITH n AS (SELECT item_id, '{"author":"' || author || '","canonical_identity":"' || canonical_identity || '","canonical_url":"' || canonical_url || '","content_text":' || to_json(trim(regexp_replace(content_text, '\s+', ' ', 'g')))::VARCHAR || ',"published_at":"' || published_at || '","title":' || to_json(trim(regexp_replace(title, '\s+', ' ', 'g')))::VARCHAR || '}' AS j FROM item)
+SELECT item_id, sha256(j) AS fingerprint FROM n""")
+def fingerprints(m):
+    """Fingerprints over the canonical JSON."""
+    c = F.col
+    return m.item.select("item_id", ids.fingerprint(c("title"), c("content_text"), c("canonical_url"), c("canonical_identity"), c("author"), c("published_at").cast("string")).alias("fingerprint"))
+
+
+@query("SELECT doc_id, sha256(array_to_string(list_filter(list_transform(str_split(text, chr(10)), lambda b: trim(regexp_replace(b, '\\s+', ' ', 'g'))), lambda b: b <> ''), chr(10))) AS content_hash FROM documents WHERE NOT regexp_matches(text, '[0-9]')")
+def content_hash(m):
+    """The hash of the blocks; of texts without digits, where nothing is masked. The mask has its own tests."""
+    return m.documents.filter(~F.col("text").rlike("[0-9]")).select("doc_id", ids.block_hash(T.normalized_blocks(F.col("text"))).alias("content_hash"))
+
+
+@query(name="block_normalise")
+def block_normalise(m):
+    """Blocks with what changes by itself masked; needs look-around, so there is no SQL for the oracle."""
+    return m.documents.select("doc_id", T.normalized_blocks(F.col("text")).alias("blocks"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), '|') AS kept FROM (SELECT doc_id, str_split(text, ' ') AS l FROM documents)")
+def repeats_removed(m):
+    """values equal to the one before go."""
+    return m.documents.select("doc_id", F.array_join(T.without_repeats(F.split("text", " ")), "|").alias("kept"))
+
+
+@query(name="sentences")
+def sentences(m):
+    """Verbatim sentences; needs look-around, so there is no SQL for the oracle."""
+    return m.documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("place", "sentence"))
+
+
+@query(f"""WITH {TERMS.replace('content_text', 'content_text')}, st AS (SELECT item_id, ' ' || array_to_string(list_transform({TOKENS.format('content_text')}, lambda t: {_stem('t')}), ' ') || ' ' AS s FROM item),
+b AS (SELECT item_id AS context_id, array_to_string(list_transform({TOKENS.format("array_to_string(list_slice(str_split(text, ' '), 1, 2), ' ')")}, lambda t: {_stem('t')}), ' ') AS p FROM benchmark)
+SELECT st.item_id, b.context_id FROM st JOIN b ON contains(st.s, ' ' || b.p || ' ') WHERE b.p <> ''""")
+def phrase_mentions(m):
+    """Items that hold the first two words of a context as a stemmed phrase."""
+    phrases = m.benchmark.select(F.col("item_id").alias("context_id"), F.concat(F.lit(" "), F.array_join(T.stems(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")), " "), F.lit(" ")).alias("p")).filter("trim(p) <> ''")
+    stems = m.item.select("item_id", F.concat(F.lit(" "), F.array_join(T.stems(F.col("content_text")), " "), F.lit(" ")).alias("s"))
+    few = phrases.limit(10_001).count() <= 10_000
+    return stems.join(F.broadcast(phrases) if few else phrases, F.contains("s", "p")).select("item_id", "context_id")
+
+
+@query(r"""SELECT doc_id, contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text2, '\s+', ' ', 'g')))) AND strlen(b.text2) >= 2 AS grounded, b.item_id FROM documents, (SELECT item_id, text AS text2 FROM benchmark WHERE item_id < 5) b""")
+def grounded_excerpts(m):
+    """Whether an excerpt stands in the text."""
+    b = m.benchmark.filter("item_id < 5").select("item_id", F.col("text").alias("text2"))
+    return m.documents.crossJoin(F.broadcast(b)).select("doc_id", T.grounded(F.col("text"), F.col("text2")).alias("grounded"), "item_id")
+
+
+@query(name="change_verb")
+def change_verb(m):
+    """The first verb of change in each title; look-around again."""
+    lines = m.documents.select("doc_id", F.concat(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), F.lit(" now released")).alias("title"))
+    return terms.change_verbs(lines, "doc_id", "title")
+
+
+@query(name="topic_of_items")
+def topic_of_items(m):
+    """The topic of each item."""
+    return terms.topics(m.item)
+
+
+def _first(of: str, table: dict, other: str) -> str:
+    q = lambda p: p.replace("'", "''")
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({of}, '{q(p)}')" for p in ps) + f" THEN {k!r}" for k, ps in table.items()) + f" ELSE {other} END"
+
+
+def _questions() -> tuple[str, str]:
+    from .. import lexicon as L
+
+    return _first("lower(question)", L.INTENTS, "'general'"), _first("lower(question)", dict(L.WINDOWS), "NULL").replace("'", "'")
+
+
+@query(f"SELECT conv_id, turn, {_questions()[0]} AS intent, {_questions()[1]}::INTEGER AS days, len(list_intersect(regexp_split_to_array(lower(question), '[^\\p{{L}}\\p{{N}}]+'), ['that', 'this', 'it', 'these', 'those', 'they', 'them'])) > 0 AS anaphoric FROM question")
+def question_shape(m):
+    """Intent, window and anaphora of questions."""
+    q = F.col("question")
+    return m.question.select("conv_id", "turn", T.intent(q).alias("intent"), T.window_days(q).alias("days"), T.is_anaphoric(q).alias("anaphoric"))
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(question, '[^\\p{{L}}\\p{{N}}.-]+'), lambda w: lower(regexp_replace(w, '^[.-]+|[.-]+$', '', 'g'))),
+  lambda w: strlen(w) >= 2 AND w NOT IN ({', '.join(repr(w) for w in __import__('sigloom.lexicon', fromlist=['x']).QUESTION_WORDS)})), lambda t: {_stem('t')}))), ' ') AS terms FROM question""")
+def question_terms(m):
+    """What a question is about."""
+    return m.question.select("conv_id", "turn", F.array_join(T.content_terms(F.col("question")), " ").alias("terms"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE rtrim(substr(text, 1, 120)) || '…' END AS shown, lower(substr(text, 1, 1)) || substr(text, 2, 40) AS lowered FROM documents")
+def truncations(m):
+    """Texts as they are shown."""
+    return m.documents.select("doc_id", T.truncated(F.col("text"), 120).alias("shown"), F.substring(T.lower_first(F.col("text")), 1, 41).alias("lowered"))
+
+
+@query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
+def grouping_sets(m):
+    """Beyond parity: several groupings in one pass."""
+    d = m.documents
+    return d.groupingSets([[F.col("lang")], [F.col("source")], []], F.col("lang"), F.col("source")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT lang, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k <= 10")
+def top_k_per_group(m):
+    """Beyond parity: the ten longest of each language."""
+    k = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
+    return m.documents.withColumn("k", k).filter("k <= 10").select("lang", "doc_id", "n_chars")
