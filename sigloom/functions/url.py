@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def with_scheme(url: Column) -> Column:
     t = F.trim(url)
     return F.when(F.contains(t, F.lit("://")), t).otherwise(F.concat(F.lit("https://"), t))
@@ -41,7 +48,10 @@ def query(url: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """The identity of a URL: https, host without www, no default port, userinfo, fragment or tracking parameters, parameters in order, no trailing slash. Null where there is none."""
-    full = with_scheme(url)
+    return let(with_scheme(url), lambda full: _canonical(full, url))
+
+
+def _canonical(full: Column, url: Column) -> Column:
     key = lambda p: F.lower(F.split(p, "=")[0])
     kept = F.filter(F.split(query(full), "&"), lambda p: (p != "") & ~F.startswith(key(p), F.lit("utm_")) & ~key(p).isin(*L.TRACKING))
     pairs = F.array_sort(F.transform(kept, lambda p: F.struct(F.split(p, "=")[0].alias("k"), F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("").alias("v"))))
@@ -90,9 +100,8 @@ def segments(url: Column) -> Column:
 
 
 def section_of(word: Column) -> Column:
-    from .text import case
-
-    return case(F.lower(F.trim(word)), L.SECTION_OF)
+    table = F.create_map(*[F.lit(x) for pair in L.SECTION_OF.items() for x in pair])
+    return F.try_element_at(table, F.lower(F.trim(word)))
 
 
 def policy_error(url: Column) -> Column:
@@ -141,7 +150,10 @@ def target(text: Column) -> Column:
     body = F.when(beneath, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
     full = with_scheme(body)
     clean = F.when(beneath, F.regexp_replace(full, "(?<!:)/{2,}", "/")).otherwise(full)
-    found = canonical(clean)
-    error = F.when(t == "", "empty").when(F.contains(body, F.lit("*")) | F.contains(F.lower(body), F.lit("%2a")), "misplaced operator").when(found.isNull(), "invalid")
-    closed = F.when(beneath & ~F.endswith(found, F.lit("/")), F.concat(found, F.lit("/"))).otherwise(found)
-    return F.struct(F.when(beneath, "descendants").otherwise("resource").alias("scope"), F.when(error.isNull(), closed).alias("canonical"), error.alias("error"))
+
+    def judged(found: Column) -> Column:
+        error = F.when(t == "", "empty").when(F.contains(body, F.lit("*")) | F.contains(F.lower(body), F.lit("%2a")), "misplaced operator").when(found.isNull(), "invalid")
+        closed = F.when(beneath & ~F.endswith(found, F.lit("/")), F.concat(found, F.lit("/"))).otherwise(found)
+        return F.struct(F.when(beneath, "descendants").otherwise("resource").alias("scope"), F.when(error.isNull(), closed).alias("canonical"), error.alias("error"))
+
+    return let(canonical(clean), judged)

@@ -1 +1,207 @@
-"""..."""
+"""URLs, pages, feeds, robots and sitemaps."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import lexicon as L
+from ..functions import ids
+from ..functions import url as U
+from ..functions.text import code_fence_stripped, lit_array
+from ..functions.time import parsed, shown
+from ..sources import feeds, html
+from .catalogue import query
+
+U_PARTS = r"""u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host,
+  CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS path, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS q FROM pages),
+b AS (SELECT *, regexp_replace(host, '^www[.]', '') AS bare FROM u)"""
+KEYS = ", ".join(f"'{k}'" for k in L.TRACKING)
+CANONICAL = f"""{U_PARTS}, c AS (SELECT *, list_sort(list_filter(str_split(q, '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ({KEYS}))) AS kept FROM b),
+canon AS (SELECT *, 'https://' || bare || CASE WHEN path = '/' THEN '/' ELSE rtrim(path, '/') END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM c)"""
+
+
+@query(f"WITH {CANONICAL} SELECT page_id, canonical FROM canon")
+def page_canonical(m):
+    """The identity of each URL."""
+    return m.pages.select("page_id", U.canonical(F.col("url")).alias("canonical"))
+
+
+@query(f"""WITH {U_PARTS} SELECT page_id, CASE WHEN bare = 'github.com' THEN 'github' WHEN starts_with(bare, 'docs.') OR regexp_matches(lower(path), '^/docs(/|$)') THEN 'documentation' WHEN ends_with(lower(path), '.pdf') THEN 'research'
+  WHEN regexp_matches(lower(path), '[.]rss$|/rss$') THEN 'rss' ELSE 'web' END AS kind, scheme || '://' || host AS origin FROM b""")
+def page_classify(m):
+    """What each URL is, and its origin."""
+    return m.pages.select("page_id", U.kind(F.col("url")).alias("kind"), U.origin(F.col("url")).alias("origin"))
+
+
+@query(f"""WITH {CANONICAL} SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'descendants' ELSE 'resource' END AS scope, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 'https://' || bare || CASE WHEN path = '/' THEN '/' ELSE rtrim(path, '/') || '/' END ELSE canonical END AS canonical,
+  CASE WHEN page_id % 3 = 0 THEN 'misplaced operator' END AS error FROM canon""")
+def page_target(m):
+    """Targets and their scope."""
+    plain = F.regexp_replace("url", r"[?#].*$", "")
+    url = F.when(F.col("page_id") % 2 == 0, F.concat(F.regexp_replace(plain, "/+$", ""), F.lit("/*"))).otherwise(F.col("url"))
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_replace(plain, "//", "//*."), F.when(F.col("page_id") % 2 == 0, "/*").otherwise(""))).otherwise(url)
+    t = U.target(url)
+    return m.pages.select("page_id", t["scope"].alias("scope"), t["canonical"].alias("canonical"), t["error"].alias("error"))
+
+
+@query(f"""WITH {U_PARTS}, s AS (SELECT b.page_id, b.bare, o.bare AS seed FROM b, (SELECT bare FROM b WHERE page_id = (SELECT min(page_id) FROM b)) o)
+SELECT page_id, bare = regexp_replace(seed, '^[^.]+[.]', '') OR ends_with(bare, '.' || regexp_replace(seed, '^[^.]+[.]', '')) AS same FROM s""")
+def same_site(m):
+    """Pages on the site of the first one's parent domain."""
+    first = m.pages.orderBy("page_id").limit(1).select(F.concat(F.lit("https://"), F.regexp_replace(U.bare_host(F.col("url")), r"^[^.]+\.", ""), F.lit("/")).alias("seed"))
+    secure = F.regexp_replace("url", "^http:", "https:")
+    return m.pages.crossJoin(F.broadcast(first)).select("page_id", U.same_site(F.col("seed"), secure).alias("same"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages WHERE contains(html, '<title>') AND NOT regexp_matches(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[&<]')""")
+def page_titles(m):
+    """The titles of pages that have one and write it without references."""
+    pages = m.pages.filter(F.contains("html", F.lit("<title>")) & ~F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).rlike("[&<]"))
+    return html.parsed_pages(pages).select("page_id", "title")
+
+
+@query(name="page_main_text")
+def page_main_text(m):
+    """The main text of pages as items."""
+    return feeds.page_items(html.parsed_pages(m.pages))
+
+
+@query(name="page_links")
+def page_links(m):
+    """Links of pages, what they lead to, and feeds that pages declare."""
+    links = html.parsed_pages(m.pages).select("page_id", "url", F.explode("links").alias("l"))
+    kind = feeds.classified_link(F.col("url"), F.col("l.url"), F.col("l.text"))
+    return links.select("page_id", F.col("l.url").alias("to"), F.col("l.text").alias("text"), "l.in_navigation", kind["kind"].alias("kind"), kind["confidence"].alias("confidence"))
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'rss' WHEN 2 THEN 'atom' WHEN 3 THEN 'json_feed' WHEN 4 THEN 'html' ELSE 'unknown' END AS format FROM pages""")
+def format_sniff(m):
+    """What documents are; the body before the declared type."""
+    k = F.col("page_id") % 6
+    body = (
+        F.when(k == 0, F.col("html")).when(k == 1, F.concat(F.lit("﻿  <?xml version='1.0'?><RSS>"), F.col("html"))).when(k == 2, F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'>"), F.col("url")))
+        .when(k == 3, F.lit('{"version": "https://jsonfeed.org/version/1.1"}')).otherwise(F.lit("plain"))
+    )
+    return m.pages.select("page_id", feeds.sniffed(body, F.when(k == 4, "text/html").when(k == 0, "application/rss+xml").otherwise("")).alias("format"))
+
+
+def _escaped(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+FEED = r"SELECT doc_id, trim(text) AS content_text, lang AS author, 'https://example.org/' || source || '/' || doc_id AS canonical_url, make_timestamp((1704067200 + doc_id * 60) * 1000000::BIGINT) AS published_at FROM documents WHERE doc_id % 2 = {0} AND NOT regexp_matches(text, '[^\t\n\x20-\x{{D7FF}}]')"
+
+
+def _feed_rows(m, k: int):
+    c = F.col
+    at = F.timestamp_seconds(1704067200 + c("doc_id") * 60)
+    return m.documents.filter(f"doc_id % 2 = {k}").filter(~c("text").rlike(r"[^\t\n\x20-퟿]")).select("doc_id", "text", "lang", F.concat(F.lit("http://www.example.org/"), "source", F.lit("/"), "doc_id", F.lit("/?utm_source=x")).alias("link"), at.alias("at"))
+
+
+def _feed_result(entries):
+    return feeds.normalized(entries).select(F.col("feed_id").alias("doc_id"), F.trim("content_text", F.lit(" ")).alias("content_text"), "author", "canonical_url", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+@query(FEED.format(0))
+def feed_rss(m):
+    """RSS documents, made of the documents and read again."""
+    d = _feed_rows(m, 0)
+    body = F.concat(F.lit("<rss><channel><item><title>t</title><link>"), _escaped(F.col("link")), F.lit("</link><author>"), F.col("lang"), F.lit(" (x)</author><pubDate>"), F.date_format("at", "d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate><description>"), _escaped(F.trim("text")), F.lit("</description></item></channel></rss>"))
+    return _feed_result(feeds.xml_entries(d.select(F.col("doc_id").alias("feed_id"), body.alias("body"))))
+
+
+@query(FEED.format(1))
+def feed_atom(m):
+    """Atom documents, made of the documents and read again."""
+    d = _feed_rows(m, 1)
+    body = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><id>i</id><title>t</title><link href='"), _escaped(F.col("link")), F.lit("'/><author><name>"), F.col("lang"), F.lit("</name></author><updated>"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated><summary>"), _escaped(F.trim("text")), F.lit("</summary></entry></feed>"))
+    return _feed_result(feeds.xml_entries(d.select(F.col("doc_id").alias("feed_id"), body.alias("body"))))
+
+
+@query(FEED.format(1))
+def feed_json(m):
+    """JSON Feeds, made of the documents and read again."""
+    d = _feed_rows(m, 1)
+    entry = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("link").alias("url"), F.trim("text").alias("content_text"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_published"), F.struct(F.col("lang").alias("name")).alias("author"))
+    body = F.to_json(F.struct(F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.array(entry).alias("items")))
+    return _feed_result(feeds.json_entries(d.select(F.col("doc_id").alias("feed_id"), body.alias("body"))))
+
+
+@query(f"""WITH {U_PARTS} SELECT DISTINCT bare AS site, path, CASE WHEN starts_with(path, '/en/1') THEN true WHEN starts_with(path, '/en/') THEN false WHEN starts_with(path, '/fr') THEN true ELSE true END AS allowed FROM b""")
+def robots_allows(m):
+    """What robots.txt allows; the longest rule, and of equals the one that allows."""
+    pages = m.pages.select(U.bare_host(F.col("url")).alias("site"), U.path(F.col("url")).alias("path")).distinct()
+    body = "# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: x\nUser-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /fr\nAllow: /fr\nDisallow:\nSitemap: https://a/b"
+    return feeds.robots_allows(pages, feeds.robots_rules(pages.select("site").distinct().withColumn("body", F.lit(body))))
+
+
+@query(f"""WITH {U_PARTS} SELECT 'https://s.example.org/' || split_part(path, '/', 2) AS root, 'n/a' AS kind, count(*) AS pages FROM b WHERE false GROUP BY 1
+UNION ALL SELECT 'https://s.example.org/' || CASE source WHEN 'src1' THEN 'docs' ELSE 'en/blog' END, CASE source WHEN 'src1' THEN 'documentation' ELSE 'blog' END, count(*) FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1, 2""")
+def sitemap_sections(m):
+    """Sections that a sitemap implies."""
+    part = F.when(F.col("source") == "src1", "docs").when(F.col("source") == "src2", "en/blog").otherwise("x/y/docs")
+    body = F.concat(F.lit("<urlset><url><loc> https://s.example.org/"), part, F.lit("/"), F.col("doc_id"), F.lit("?a=1&amp;b=2</loc></url></urlset>"))
+    files = m.documents.select(F.col("doc_id").alias("site"), body.alias("body"))
+    return feeds.sitemap_sections(feeds.sitemap_locations(files), F.lit("https://s.example.org/"))
+
+
+@query(r"""SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'unsupported scheme ''ftp''' WHEN 1 THEN 'URLs with embedded credentials are not fetched' WHEN 2 THEN 'localhost is not a public address' WHEN 3 THEN '10.0.0.' || event_id % 200 || ' is not a public address'
+  WHEN 4 THEN NULL WHEN 5 THEN 'a.internal is not a public address' WHEN 6 THEN '172.20.1.1 is not a public address' WHEN 7 THEN NULL ELSE '[::1] is not a public address' END AS error FROM events""")
+def url_policy(m):
+    """URLs that must not be fetched."""
+    k, n = F.col("event_id") % 9, (F.col("event_id") % 200).cast("string")
+    url = (
+        F.when(k == 0, F.lit("ftp://a.org/")).when(k == 1, F.lit("https://u:p@a.org/")).when(k == 2, F.lit("http://LOCALHOST:80/")).when(k == 3, F.concat(F.lit("http://10.0.0."), n, F.lit("/x")))
+        .when(k == 4, F.lit("https://8.8.8.8/")).when(k == 5, F.lit("https://a.internal./")).when(k == 6, F.lit("https://172.20.1.1/")).when(k == 7, F.lit("https://example.org/@x")).otherwise(F.lit("http://[::1]/"))
+    )
+    return m.events.select("event_id", U.policy_error(url).alias("error"))
+
+
+@query("""SELECT event_id, s AS status, s = 429 OR s >= 500 AS temporary, CASE WHEN s = 401 THEN 'authentication' WHEN s = 403 THEN 'authorization' ELSE 'network' END AS category FROM (SELECT event_id, (CASE event_id % 5 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 503 ELSE 404 END)::INTEGER AS s FROM events)""")
+def fetch_errors(m):
+    """What failures are, and whether to try soon again."""
+    k = F.col("event_id") % 5
+    s = F.when(k == 0, 401).when(k == 1, 403).when(k == 2, 429).when(k == 3, 503).otherwise(404)
+    return m.events.select("event_id", s.alias("status"), ((s == 429) | (s >= 500)).alias("temporary"), F.when(s == 401, "authentication").when(s == 403, "authorization").otherwise("network").alias("category"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Acct' || page_id % 50 WHEN 1 THEN NULL ELSE NULL END AS account, CASE page_id % 4 WHEN 2 THEN 'own/repo' || page_id % 9 ELSE NULL END AS repository FROM pages""")
+def provider_identities(m):
+    """Accounts and repositories that URLs name."""
+    k = F.col("page_id") % 4
+    url = F.when(k == 0, F.concat(F.lit("https://mobile.twitter.com/Acct"), F.col("page_id") % 50, F.lit("/status/1"))).when(k == 1, F.lit("https://x.com/explore/y")).when(k == 2, F.concat(F.lit("https://github.com/own/repo"), F.col("page_id") % 9, F.lit(".git"))).otherwise(F.lit("https://github.com/topics/spark"))
+    return m.pages.select("page_id", U.x_account(url).alias("account"), U.github_repository(url).alias("repository"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN o_orderdate::DATE::TIMESTAMP ELSE o_orderdate END AS at, strftime(o_orderdate, '%b %-d, %Y') AS shown FROM orders")
+def dates(m):
+    """Times as feeds write them, read again; and as they are shown."""
+    t, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.concat(F.date_format(t, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT"))).when(k == 2, F.concat(F.date_format(t + F.expr("INTERVAL 2 HOURS"), "d MMM yyyy HH:mm:ss"), F.lit(" +0200"))).otherwise(F.concat(F.date_format(t, "yyyy-MM-dd"), F.lit(" or so")))
+    return m.orders.select("o_orderkey", parsed(text).cast("timestamp_ntz").alias("at"), shown(t).alias("shown"))
+
+
+@query("SELECT doc_id, text AS inner FROM documents WHERE trim(text) = text AND NOT contains(text, '`')".replace("AS inner", "AS body"))
+def code_fences(m):
+    """What stands in a code fence."""
+    d = m.documents.filter("trim(text) = text AND NOT contains(text, '`')")
+    return d.select("doc_id", code_fence_stripped(F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))).alias("body"))
+
+
+@query(f"""WITH {CANONICAL}, s AS (SELECT canonical, 0 AS ord, page_id FROM canon UNION ALL SELECT 'https://' || bare || f AS canonical, 1, page_id FROM canon, (SELECT unnest({list(L.CONVENTIONAL_FEEDS)}) AS f)),
+d AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY ord, page_id) AS k FROM s) SELECT canonical, ord, page_id FROM d WHERE k = 1""")
+def surfaces(m):
+    """Surfaces that pages and conventions name, the first of each URL."""
+    own = m.pages.select(U.canonical(F.col("url")).alias("canonical"), F.lit(0).alias("ord"), "page_id")
+    usual = m.pages.select(F.explode(F.transform(lit_array(L.CONVENTIONAL_FEEDS), lambda f: F.concat(F.lit("https://"), U.bare_host(F.col("url")), f))).alias("canonical"), F.lit(1).alias("ord"), "page_id")
+    first = own.unionByName(usual).groupBy("canonical").agg(F.min(F.struct("ord", "page_id")).alias("s"))
+    return first.select("canonical", "s.ord", "s.page_id")
+
+
+@query(f"WITH {CANONICAL} SELECT page_id, 'target_' || substr(sha256(CASE WHEN page_id % 2 = 0 THEN canonical || chr(0) || '/*' ELSE canonical END), 1, 32) AS id FROM canon")
+def target_ids(m):
+    """One URL with another scope is another target."""
+    scope = F.when(F.col("page_id") % 2 == 0, "descendants").otherwise("resource")
+    return m.pages.select("page_id", ids.target_id(U.canonical(F.col("url")), scope).alias("id"))
