@@ -42,7 +42,7 @@ MODEL = {
     "insight_signal": "SELECT o_custkey AS insight_id, o_orderkey AS signal_id FROM orders WHERE o_orderkey % 3 = 0",
     "observation": """SELECT event_id, user_id AS source_id, ts AS observed_at, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'unchanged' ELSE 'succeeded' END AS status, value AS strength, event_type,
         CASE WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'click' THEN 1 ELSE 0 END AS new_items FROM events""",
-    "snapshot": """SELECT event_id AS snapshot_id, user_id % 40 AS source_id, ts AS observed_at, event_type, CAST(value AS BIGINT) % 4 AS version FROM events WHERE event_type IN ('view', 'click', 'error')""",
+    "snapshot": """SELECT event_id AS snapshot_id, user_id % 40 AS source_id, ts AS observed_at, event_type, CAST(floor(value) AS BIGINT) % 4 AS version FROM events WHERE event_type IN ('view', 'click', 'error')""",
     "question": "SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'",
 }
 
