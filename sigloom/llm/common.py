@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..staging import cut, folder, release
+
+__all__ = ["WHITE", "cut", "folder", "release", "table"]
+
 #: Characters that count as white space in every contract here.
 WHITE = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def folder(spark: SparkSession) -> str:
-    """The folder that all executors share. It is the cluster's; only where it names none (tests) a local one is made."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: a cluster has to name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sigloom-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder, so that a lost executor costs no recomputation of what led to them and
-    iterations do not grow the plan."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -25,22 +25,35 @@ from .common import cut
 CACHE = 400_000
 
 #: Characters that are split into pre-tokens at once; documents are longer or shorter, and each is taken whole.
-BATCH = 2_000_000
+BATCH = 1_000_000
 
 #: Fixed value: how the vocabulary's tokenizer parts a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _byte_signs() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others by signs from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of texts by a byte-level BPE of `tokenizers`, each distinct pre-token encoded once."""
+    """Ids of texts by a byte-level BPE of `tokenizers`. Texts are parted as its tokenizer parts them, and each distinct
+    pre-token is merged once by its model; texts with signs on which libraries disagree are left to the tokenizer as a whole."""
 
     def __init__(self, vocabulary: str):
+        import re
+
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.parts = regex.compile(PATTERN).findall
+        self.merge, self.signs = self.tokenizer.model.tokenize, _byte_signs()
+        self.any_parts = regex.compile(PATTERN).findall
+        self.ascii_parts = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII).findall
+        self.odd = re.compile("[\x1c-\x1f\x85]").search
         self._clear()
 
     def _clear(self) -> None:
@@ -48,14 +61,24 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
+    def _parts(self, text: str) -> list[str]:
+        if self.odd(text):
+            return [f"\0whole {text}"]
+        return self.ascii_parts(text) if text.isascii() else self.any_parts(text)
+
+    def _merged(self, part: str) -> list[int]:
+        if part.startswith("\0whole "):
+            return self.tokenizer.encode(part[7:], add_special_tokens=False).ids
+        return [x.id for x in self.merge(part.encode().decode("latin-1").translate(self.signs))]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text ends."""
         if len(self.number) > CACHE:
             self._clear()
-        words = [self.parts(t) for t in texts]
+        words = [self._parts(t) for t in texts]
         flat = [w for ws in words for w in ws]
         if new := list({w for w in flat if w not in self.number}):
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            found = [self._merged(w) for w in new]
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             self.ids = np.concatenate([self.ids, np.array([x for ids in found for x in ids], np.uint32)])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(ids) for ids in found])])
@@ -68,6 +91,16 @@ class Encoder:
         return self.ids[index], np.concatenate(([0], ends))[word_ends]
 
 
+def _encoder(vocabulary: str) -> Encoder:
+    """The worker process's own encoder, which keeps its pre-tokens from task to task."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_sigloom_encoders", {})
+    if vocabulary not in kept:
+        kept[vocabulary] = Encoder(vocabulary)
+    return kept[vocabulary]
+
+
 def pieces(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of each text's ids and the end id. Only longer texts are cut; all pieces but the
     first are full. part and local number the pieces of each length within the partition that read them."""
@@ -75,7 +108,7 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 1024)
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = None, Counter(), TaskContext.get().partitionId()
         for b in batches:
-            encoder = encoder or Encoder(vocabulary)
+            encoder = encoder or _encoder(vocabulary)
             names, texts, k = b.column(0), [t or "" for t in b.column(1).to_pylist()], 0
             while k < len(texts):
                 size, j = 0, k

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from sigloom.llm.packing import Encoder, pack, plan
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["It's  they'll\n\n\tgo!!", "  lead and trail  ", "émile 😀😀 ß ٣٤ 12a", "!'s ...'re  ''d", "<|endoftext|> text", "a b c\r\n", "\x00\x01", "日本語、です。", ""]
+ODD = ["It's  they'll\n\n\tgo!!", "  lead and trail  ", "émile 😀😀 ß ٣٤ 12a", "!'s ...'re  ''d", "<|endoftext|> text", "a b c\r\n", "\x00\x01", "日本語、です。", "", "a\x1cb \x1d c", "x\x85y", "²³ Ⅷ½ a1", "\u2028 a\u00a0b  \u3000", "\0whole a"]
 
 
 def brute(rows, tokenizer):
