@@ -142,3 +142,26 @@ def op2_decontamination(spark, sf_dir):
 
 QUERIES["op9_quality_resampling"] = op9_quality_resampling
 QUERIES["op2_decontamination"] = op2_decontamination
+
+
+ORACLES["op6_recompression_dedup"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(l[s:s + 19], ' ') AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 18)) AS s FROM w)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, s + i AS p FROM later, (SELECT unnest(range(0, 20)) AS i)),
+words AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, len(l)::BIGINT AS n_words, (len(l) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op5_suffix_array_dedup"] = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT doc_id, s, substr(x, 2 * s + 1, 100) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS s FROM h)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY k) AS first FROM windows) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, s + i AS p FROM later, (SELECT unnest(range(0, 50)) AS i)),
+spans AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE new) AS spans FROM (SELECT doc_id, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p), 2) > 1 AS new FROM gone) GROUP BY 1),
+bytes AS (SELECT doc_id, unnest(range(0, length(x) // 2)) AS p, x FROM h),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2), '' ORDER BY p) AS t FROM bytes ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT h.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM h LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
