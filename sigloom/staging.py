@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     tables go when the driver ends."""
     spark, path = df.sparkSession, f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
