@@ -28,4 +28,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
     return register
 
 
-from . import q_ingest, q_joins, q_observe, q_retrieval, q_signals, q_text  # noqa: E402, F401
+from . import q_ingest, q_joins, q_observe, q_records, q_retrieval, q_signals, q_text  # noqa: E402, F401
