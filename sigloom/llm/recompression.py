@@ -3,8 +3,8 @@
 Words are named by hash. A first round names runs of one word; each further round parts all names into left and right ones by a
 bit of their hash and names every pair of a left and a right neighbour. A name depends on what it stands for only, so the rounds
 name alike everywhere without a word passing between tasks, and equal passages consist of the same symbols but for a few at
-their ends. Which symbols of a window those are follows from the window itself; of the sure ones it takes the one with the least
-hash for its anchor. Windows with equal anchors meet, and their words are compared.
+their ends. Which symbols of a window those are follows from the window itself; of the sure ones it takes the longest for its
+anchor. Windows with equal anchors meet, and their words are compared.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import Kind, apply, ranges
+from .repeats import Kind, apply, merged, ranges
 
 #: Rounds that name pairs. After four a symbol stands for three words on average, and most windows of twenty have several.
 ROUNDS = 4
 
+#: A place is written as its first word times this, and the words of its anchor, which are at most those of a window.
+PLACE = 4096
+
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -94,9 +97,12 @@ def word_kind(length: int, rounds: int = ROUNDS) -> Kind:
             left, right = np.where(ok, parent[np.where(ok, left, 0)], 1), np.where(ok, parent[np.where(ok, right, 1) - 1] + 1, 0)
             names, at, opens = merged[head], at[head], np.append(opens[:m][head], True)
 
-        ok = left < right
-        chosen = np.unique(_argmin_between(_mix(names), left[ok], right[ok])) if ok.any() else np.zeros(0, np.int64)
-        first, stop = at[chosen], np.append(at[1:], n)[chosen]
+        # of the sure symbols the longest in bytes, as chance repeats it least, then the one with the least hash
+        ok, stops = left < right, np.append(at[1:], n)
+        sizes = np.concatenate(([0], np.cumsum(np.fromiter((len(w) for t in texts for w in t), np.int64, n))))
+        weight = (np.uint64(65_535) - np.minimum(sizes[stops] - sizes[at], 65_535).astype(np.uint64)) << np.uint64(48) | _mix(names) >> np.uint64(16)
+        chosen = np.unique(_argmin_between(weight, left[ok], right[ok])) if ok.any() else np.zeros(0, np.int64)
+        first, stop = at[chosen], stops[chosen]
         found_names = names[chosen]
         bare = starts[~ok]  # nothing in it is sure: the whole window is its own anchor
         if len(bare):
@@ -113,19 +119,19 @@ def word_kind(length: int, rounds: int = ROUNDS) -> Kind:
             j, size = k, 0
             while j < len(texts) and (size < 1 << 21 or j == k):
                 size, j = size + len(texts[j]), j + 1
-            row, at, _, names = symbols([t.split() for t in texts[k:j]])
-            parts.append((row + k, at, names))
+            row, at, size_, names = symbols([t.split() for t in texts[k:j]])
+            parts.append((row + k, at * PLACE + size_, names))
             k = j
         return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
 
     def contexts(text: bytes, places: list[int]):
+        from xxhash import xxh64_intdigest
+
         words = text.split()
-        _, at, size, names = symbols([words])
-        wanted = np.isin(at, np.array(places))
-        for p, n, name in sorted(zip(at[wanted].tolist(), size[wanted].tolist(), names[wanted].view(np.int64).tolist())):
+        for p, n in sorted(divmod(x, PLACE) for x in places):
             lo, hi = max(0, p + n - length), min(len(words), p + length)
-            if hi - lo >= length:
-                yield name, lo, b" ".join(words[lo:hi]), hi - length - lo
+            if p + n <= len(words) and hi - lo >= length:
+                yield xxh64_intdigest(b" ".join(words[p : p + n])) - 2**63, lo, b" ".join(words[lo:hi]), hi - length - lo, p - lo
 
     def windows(content: bytes, at: int, last: int) -> list[tuple[int, bytes]]:
         words = content.split(b" ")
@@ -136,12 +142,14 @@ def word_kind(length: int, rounds: int = ROUNDS) -> Kind:
         for group in groups:
             first: dict[bytes, tuple] = {}
             held = []
-            for doc, key, at, content, last in group:
-                for start, window in windows(content, at, last):
-                    held.append((doc, key, start, window))
+            for doc, key, at, content, last, _ in group:
+                own = windows(content, at, last)
+                held.append((doc, key, own))
+                for start, window in own:
                     if (doc, start) < first.setdefault(window, (doc, start)):
                         first[window] = (doc, start)
-            out += [(doc, key, start, start + length) for doc, key, start, window in held if first[window] < (doc, start)]
+            for doc, key, own in held:
+                out += [(doc, key, a, b) for a, b in merged([(start, start + length) for start, window in own if first[window] < (doc, start)])]
         return out
 
     return Kind(length, anchors, contexts, resolve, windows, again=True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 #: Stands for a null doc_id: later than all others.
 LAST = 2**63 - 1
@@ -32,7 +32,7 @@ GROUP = 20_000
 #: Up to so many decided ranges are broadcast to the documents (16 bytes each and some overhead); more are joined by a shuffle.
 BROADCAST_RANGES = 1_000_000
 
-CONTEXT = "name long, doc_id long, text_key long, at int, content binary, last int"
+CONTEXT = "name long, doc_id long, text_key long, at int, content binary, last int, mark int"
 DECIDED = "doc_id long, text_key long, start int, stop int, window binary"
 
 
@@ -41,8 +41,9 @@ class Kind:
     """How a kind of unit (bytes, words) is named and looked at.
 
     anchors(texts) -> (row, place, name) arrays over a batch of texts, in order of row and place.
-    contexts(text, places) -> for each place the content around it, where that starts, and the last window start in it.
-    resolve(groups) -> ranges: groups is a list of lists of (doc, text_key, at, content, last), each of one name in order.
+    contexts(text, places) -> for each place a name, where the content around it starts, the content, the last window start in
+    it, and where in it the anchor is.
+    resolve(groups) -> ranges: groups is a list of lists of (doc, text_key, at, content, last, mark), each of one name in order.
     windows(content, at, last) -> (start, key) of every window in a content; key is the window's own bytes.
     again: whether a window that stands earlier in the same document counts.
     """
@@ -63,14 +64,18 @@ def _and_end(batches: Iterator) -> Iterator:
 def ranges(docs: DataFrame, kind: Kind, group: int = GROUP) -> DataFrame:
     """doc_id (LAST for null), text_key, and the merged [start, stop) of each row of docs that has such passages."""
     read = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))
-    places = _named_twice(read.select("doc_id", "text"), kind)
+    places = cut(_named_twice(read.select("doc_id", "text"), kind))
+    release(docs.sparkSession)
     wanted = places.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
     held = read.filter(F.octet_length("text") > 0).join(wanted, "doc_id").sortWithinPartitions("doc_id").select("doc_id", "text_key", "text", "places")
     found = cut(held.mapInArrow(_contexts(kind), CONTEXT))
-    told = found.filter("content IS NOT NULL").repartition("name").sortWithinPartitions("name", "doc_id", "at")
+    release(docs.sparkSession)
+    # decided rows have no content; they are dealt out by place, not by name, and pass through
+    dealt = F.when(F.col("content").isNull(), F.xxhash64("doc_id", "at")).otherwise(F.col("name"))
+    told = found.withColumn("name", dealt).repartition("name").sortWithinPartitions("name", "doc_id", "at")
     decided = cut(told.mapInArrow(_decide(kind, group), DECIDED))
-    direct = found.filter("content IS NULL").select("doc_id", "text_key", F.col("at").alias("start"), (F.col("at") + F.col("last") + kind.length).alias("stop"))
-    settled = decided.filter("window IS NULL").select("doc_id", "text_key", "start", "stop").unionByName(direct)
+    release(docs.sparkSession)
+    settled = decided.filter("window IS NULL").select("doc_id", "text_key", "start", "stop")
     many = decided.filter("window IS NOT NULL").select("doc_id", "text_key", "start", "stop", "window")
     settled = settled.unionByName(_exploded(many, kind))
     return settled.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
@@ -103,10 +108,10 @@ def _named_twice(read: DataFrame, kind: Kind) -> DataFrame:
             twice[order[1:][same]] = twice[order[:-1][same]] = True
             lead[order[1:][same]] = False
             known = np.where(twice, np.where(lead, 2, 3), 1)  # 1: alone here, 2: first of several, 3: later of several
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(docs), pa.array(at.astype(np.int32)), pa.array(known.astype(np.int8))], ["name", "doc_id", "at", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(docs), pa.array(at.astype(np.int64)), pa.array(known.astype(np.int8))], ["name", "doc_id", "at", "known"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int8)]
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)]
         last_name, seen = None, False
         for b in _and_end(batches):
             now = rest if b is None else [np.concatenate([r, b.column(k).to_numpy()]) for k, r in enumerate(rest)]
@@ -124,8 +129,8 @@ def _named_twice(read: DataFrame, kind: Kind) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(now[1][:stop][out]), pa.array(now[2][:stop][out])], ["doc_id", "at"])
             rest = [c[stop:] for c in now]
 
-    named = read.mapInArrow(name, "name long, doc_id long, at int, known byte")
-    alone = named.filter("known < 3").repartition("name").sortWithinPartitions("name").mapInArrow(pick, "doc_id long, at int")
+    named = read.mapInArrow(name, "name long, doc_id long, at long, known byte")
+    alone = named.filter("known < 3").repartition("name").sortWithinPartitions("name").mapInArrow(pick, "doc_id long, at long")
     return named.filter("known > 1").select("doc_id", "at").unionByName(alone)
 
 
@@ -134,12 +139,19 @@ def _contexts(kind: Kind) -> Callable:
         first_of: dict[tuple, tuple] = {}
         for b in batches:
             rows: list[tuple] = []
-            for doc, key, text, places in zip(*(b.column(k).to_pylist() for k in range(4))):
-                for name, at, content, last in kind.contexts(text, places):
+            lists = b.column(3)
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+            every = [np.sort(x).tolist() for x in np.split(flat, ends[:-1])]
+            for doc, key, text, places in zip(b.column(0).to_numpy().tolist(), b.column(1).to_numpy().tolist(), b.column(2).to_pylist(), every):
+                spans = []
+                for name, at, content, last, mark in kind.contexts(text, places):
                     first = first_of.setdefault((name, content), (doc, at))
-                    later = doc > first[0] or kind.again and doc == first[0] and at > first[1]
-                    rows.append((name, doc, key, at, None if later else content, last))
-            yield _batch(rows, ("name", "doc_id", "text_key", "at", "content", "last"), "lllibi")
+                    if doc > first[0] or kind.again and doc == first[0] and at > first[1]:
+                        spans.append((at, at + last + kind.length))
+                    else:
+                        rows.append((name, doc, key, at, content, last, mark))
+                rows += [(0, doc, key, a, None, b - a - kind.length, 0) for a, b in merged(spans)]
+            yield _batch(rows, ("name", "doc_id", "text_key", "at", "content", "last", "mark"), "lllibii")
 
     return look
 
@@ -157,13 +169,17 @@ def _decide(kind: Kind, most: int) -> Callable:
         name, exploding, size = None, False, 0
 
         def explode(rows: list[tuple]) -> list[tuple]:
-            return [(doc, key, s, s + kind.length, w) for doc, key, at, content, last in rows for s, w in kind.windows(content, at, last)]
+            return [(doc, key, s, s + kind.length, w) for doc, key, at, content, last, _ in rows for s, w in kind.windows(content, at, last)]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return _batch([r if len(r) == 5 else (*r, None) for r in rows], ("doc_id", "text_key", "start", "stop", "window"), "lliib")
 
         for b in _and_end(batches):
-            for row in zip(*(b.column(k).to_pylist() for k in range(6))) if b is not None else [(None,) * 6]:
+            done: list[tuple] = []
+            for row in zip(*(b.column(k).to_pylist() if k == 4 else b.column(k).to_numpy().tolist() for k in range(7))) if b is not None else [(None,) * 7]:
+                if b is not None and row[4] is None:
+                    done.append((row[1], row[2], row[3], row[3] + row[5] + kind.length))
+                    continue
                 if row[0] != name or b is None:
                     if exploding:
                         yield out(explode(group))
@@ -180,6 +196,8 @@ def _decide(kind: Kind, most: int) -> Callable:
                         exploding = True
                         yield out(explode(group))
                         group = []
+            if done:
+                yield out(done)
 
     return decide
 
@@ -189,6 +207,7 @@ def apply(docs: DataFrame, spans: DataFrame, judge: Callable, columns: str) -> D
     from pyspark.sql import types as T
 
     spans = cut(spans)
+    release(docs.sparkSession)
     size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     side = F.broadcast(spans) if size <= BROADCAST_RANGES else spans
     read = docs.select(F.col("doc_id").alias("given"), F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))

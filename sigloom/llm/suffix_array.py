@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from .repeats import Kind, apply, ranges
 
-#: Bytes that an anchor is named by.
-GRAM = 16
+#: Bytes that an anchor is named by: few enough that anchors stay sparse, more than chance repeats.
+GRAM = 24
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -118,7 +118,7 @@ def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
 
 
 def byte_kind(length: int) -> Kind:
-    """Windows of `length` bytes. Their anchors are the 16 bytes in them with the least hash."""
+    """Windows of `length` bytes. Their anchors are the 24 bytes in them with the least hash."""
     gram = min(GRAM, length)
     reach = length - gram + 1
 
@@ -130,10 +130,11 @@ def byte_kind(length: int) -> Kind:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         raw = b"".join(texts) + bytes(16)
         if gram >= 16:
-            a, b = (np.ndarray((n - gram + 1,), "<u8", raw, k, (1,)) for k in (0, gram - 8))
-            mixed = a * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(31)
-            mixed += b
+            mixed = np.zeros(n - gram + 1, np.uint64)
+            for k in [*range(0, gram - 8, 8), gram - 8]:
+                mixed += np.ndarray((n - gram + 1,), "<u8", raw, k, (1,))
+                mixed *= np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(31)
         else:
             codes = np.frombuffer(raw, np.uint8).astype(np.uint64)
             mixed = np.zeros(n - gram + 1, np.uint64)
@@ -172,7 +173,7 @@ def byte_kind(length: int) -> Kind:
         for p in places:
             lo, hi = max(0, p + gram - length), min(len(text), p + length)
             if p + gram <= len(text) and hi - lo >= length:
-                yield xxh64_intdigest(text[p : p + gram]) - 2**63, lo, text[lo:hi], hi - length - lo
+                yield xxh64_intdigest(text[p : p + gram]) - 2**63, lo, text[lo:hi], hi - length - lo, p - lo
 
     def windows(content: bytes, at: int, last: int) -> list[tuple[int, bytes]]:
         return [(at + j, content[j : j + length]) for j in range(last + 1)]
@@ -183,19 +184,48 @@ def byte_kind(length: int) -> Kind:
     return Kind(length, anchors, contexts, resolve, windows, again=False)
 
 
+def _shared(strings: list[bytes]) -> list[int]:
+    """How much of its beginning each string has in common with any of the others: with one next to it in order."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out = [0] * len(strings)
+    for i, j in zip(order, order[1:]):
+        a, b = strings[i], strings[j]
+        n, most = 0, min(len(a), len(b))
+        while n < most and a[n] == b[n]:
+            n += 1
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
 def _by_suffix_array(groups: list[list[tuple]], length: int) -> list[tuple]:
-    """Which windows of the contents also stand in one of a smaller doc_id, as (doc, text_key, start, stop)."""
+    """Which windows of the contents also stand in one of a smaller doc_id, as (doc, text_key, start, stop). Equal contents are
+    told by themselves. Different ones are cut down to what each shares with any other of its group, and those that are still
+    different go into the suffix array."""
     out: list[tuple] = []
     held: list[tuple[bytes, list[tuple], int]] = []
     for group in groups:
         same: dict[bytes, list[tuple]] = {}
         for row in group:
             same.setdefault(row[3], []).append(row)
-        if len(same) == 1:
-            least = min(r[0] for r in group)
-            out += [(doc, key, at, at + last + length) for doc, key, at, _, last in group if doc > least]
+        owners = []
+        for content, rows in same.items():
+            least = min(r[0] for r in rows)
+            out += [(doc, key, at, at + last + length) for doc, key, at, _, last, _ in rows if doc > least]
+            owners.append((content, rows[0][5], [r for r in rows if r[0] == least]))
+        if len(owners) == 1:
+            continue
+        after = _shared([c[mark:] for c, mark, _ in owners])
+        ahead = _shared([c[:mark][::-1] for c, mark, _ in owners])
+        common: dict[bytes, list[tuple]] = {}
+        for (content, mark, rows), a, b in zip(owners, ahead, after):
+            if a + b >= length:
+                common.setdefault(content[mark - a : mark + b], []).extend((doc, key, at + mark - a, None, a + b - length, 0) for doc, key, at, _, _, _ in rows)
+        parts = [(content, rows, min(r[0] for r in rows)) for content, rows in common.items()]
+        if len(parts) == 1:
+            content, rows, least = parts[0]
+            out += [(doc, key, at, at + last + length) for doc, key, at, _, last, _ in rows if doc > least]
         else:
-            held += [(content, rows, min(r[0] for r in rows)) for content, rows in same.items()]
+            held += parts
     if not held:
         return out
     raw = b"\x00".join(c for c, _, _ in held)
@@ -221,7 +251,7 @@ def _by_suffix_array(groups: list[list[tuple]], length: int) -> list[tuple]:
     first = np.full(len(symbols), 2**63 - 1, np.int64)
     first[order] = least
     for (_, rows, _), a in zip(held, starts.tolist()):
-        for doc, key, at, _, last in rows:
+        for doc, key, at, _, last, _ in rows:
             bad = np.flatnonzero(first[a : a + last + 1] < doc)
             if len(bad):
                 for run in np.split(bad, np.flatnonzero(np.diff(bad) > 1) + 1):
