@@ -102,7 +102,7 @@ def today(m):
 
 
 @query(f"""{TOTAL}, says AS (SELECT signal_id, status, unnest([
-  {{'c': c_context, 'i': 0, 's': CASE WHEN contexts = 0 THEN 'Not connected to anything you''ve told Stream you care about.' ELSE 'Connects to ' || contexts || ' contexts.' END}},
+  {{'c': c_context, 'i': 0, 's': CASE WHEN contexts = 0 THEN 'Not connected to anything you''ve said you care about.' ELSE 'Connects to ' || contexts || ' contexts.' END}},
   {{'c': c_rules, 'i': 1, 's': CASE WHEN n_rules = 0 THEN 'No rule of yours matched.' ELSE 'Matched your rule' || CASE WHEN n_rules = 1 THEN '' ELSE 's' END || ' ' || array_to_string(rules, ', ') || '.' END}},
   {{'c': c_corroboration, 'i': 2, 's': CASE WHEN sources <= 1 THEN 'Observed by a single source.' WHEN publishers <= 1 THEN sources || ' sources, all from one publisher — not independent.' WHEN publishers >= sources THEN sources || ' independent sources describe this change.' ELSE sources || ' sources from ' || publishers || ' independent publishers describe this change.' END}},
   {{'c': c_open_questions, 'i': 3, 's': CASE open_questions WHEN 0 THEN 'No open questions of yours about this.' WHEN 1 THEN 'You have 1 open question or investigation about this.' ELSE 'You have ' || open_questions || ' open questions or investigations about this.' END}},

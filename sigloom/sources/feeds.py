@@ -104,7 +104,7 @@ def page_items(pages: DataFrame) -> DataFrame:
 ADAPTERS = {"rss": xml_entries, "atom": xml_entries, "json_feed": json_entries}
 
 
-def robots_rules(files: DataFrame, agent: str = "stream") -> DataFrame:
+def robots_rules(files: DataFrame, agent: str = "sigloom") -> DataFrame:
     """files (site, body): site, verdict, prefix of the rules that apply to all agents or to one that holds `agent`. A group of
     user-agent lines is one block; it ends with the first rule."""
     line = F.trim(F.split(F.col("line"), "#")[0])

@@ -43,7 +43,7 @@ def test_feeds(spark):
 
 
 def test_robots(spark):
-    body = "User-agent: a\nDisallow: /\n\nUser-agent: MyStreamBot\nAllow: /p/open\nDisallow: /p\nDisallow:\n"
+    body = "User-agent: a\nDisallow: /\n\nUser-agent: MySigloomBot\nAllow: /p/open\nDisallow: /p\nDisallow:\n"
     paths = spark.createDataFrame([("s", p) for p in ("/p", "/p/open/x", "/q")] + [("none", "/p")], "site string, path string")
     got = feeds.robots_allows(paths, feeds.robots_rules(spark.createDataFrame([("s", body)], "site string, body string"))).collect()
     assert {(r["site"], r["path"]): r["allowed"] for r in got} == {("s", "/p"): False, ("s", "/p/open/x"): True, ("s", "/q"): True, ("none", "/p"): True}
