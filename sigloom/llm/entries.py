@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .chat_format import rotate_perspectives
 from .decontamination import find_leaks
@@ -137,7 +139,9 @@ def op9_quality_resampling(spark, sf_dir):
 
 
 def op2_decontamination(spark, sf_dir):
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The documents that hold benchmark items, with the items named in a text."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter("contaminated")
+    return leaks.withColumn("item_ids", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","))
 
 
 QUERIES["op9_quality_resampling"] = op9_quality_resampling
