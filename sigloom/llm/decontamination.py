@@ -110,9 +110,10 @@ class Benchmark:
                 self.items.append((name, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
         #: an item of fewer words has one seed, itself
         self.sizes = sorted({min(least, len(x)) for _, x in self.items})
+        self.own = [_seeds(np.array(x, np.uint64), min(least, len(x))) for _, x in self.items]
         self.seeds = {}
         for size in self.sizes:
-            pairs = sorted((int(h), k) for k, (_, x) in enumerate(self.items) if min(least, len(x)) == size for h in set(_seeds(np.array(x, np.uint64), size).tolist()))
+            pairs = sorted((int(h), k) for k, (_, x) in enumerate(self.items) if min(least, len(x)) == size for h in set(self.own[k].tolist()))
             self.seeds[size] = np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int64)
 
     def leaks(self, text: bytes) -> list[tuple[int, float]]:
@@ -129,13 +130,19 @@ class Benchmark:
                     near.setdefault(k, []).append(p)
             for k, at in near.items():
                 name, item = self.items[k]
-                if len(np.unique(hashes[at])) * size < self.share * len(item):
+                if _reached(self.own[k], hashes[at], size) < self.share * len(item):
                     continue
                 if (share := covered(item, numbers, at, size)) >= self.share:
                     out[name] = max(share, out.get(name, 0.0))
         return sorted(out.items())
 
 
+def _reached(own: np.ndarray, found: np.ndarray, size: int) -> int:
+    """How many words of an item stand in a seed that was found, at any of its places: tiles cover no others."""
+    starts = np.flatnonzero(np.isin(own, found))
+    return int(np.minimum(np.diff(starts), size).sum()) + size if len(starts) else 0
+
+
 def covered(item: list[int], numbers: np.ndarray, at: list[int], least: int) -> float:
     """The share of the item that tiles cover. Only what seeds of the item cover in the document can be tiled; the rest stands as one gap."""
     doc: list[int] = []

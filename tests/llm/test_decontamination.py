@@ -75,3 +75,19 @@ def test_against_brute_force(spark, monkeypatch, docs, items, limit):
 def test_long_texts(spark):
     got = find_leaks(spark.createDataFrame(DOCS[-1:], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
     assert got[0]["item_ids"] == [1]
+
+
+PERIODIC = [(1, " ".join(["la"] * 12)), (2, "row the boat " * 7), (3, "a b " * 20 + "c d e f g"), (4, "0 1 2 3 4 5 6 7 8 9 " * 4), (5, "x " * 7 + "y " * 7)]
+REFRAINS = [(k, f"v1 v2 {t} v3") for k, t in PERIODIC] + [
+    (11, "la " * 9), (12, "la " * 10), (13, "la " * 60), (14, "row the boat " * 4), (15, "row the boat " * 3 + "ashore " + "row the boat " * 3), (16, "a b " * 9), (17, "3 4 5 6 7 8 9 0 1 2 " * 4), (18, "y " * 6 + "x " * 6),
+]
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_items_that_repeat_their_words(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", limit)
+    table, bench = spark.createDataFrame(REFRAINS, "doc_id long, text string"), spark.createDataFrame(PERIODIC, "item_id long, text string")
+    want = brute(REFRAINS, PERIODIC)
+    assert all(k in ids and most == 1 for k, _, ids, most in want if k <= 5)
+    assert sorted(map(tuple, find_leaks(table, bench).collect()), key=repr) == want
+    assert {r["doc_id"] for r in drop_leaks(table, bench).collect()} == {k for k, bad, _, _ in want if not bad}
