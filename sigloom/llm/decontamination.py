@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -186,8 +186,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: flo
     return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, contaminated boolean, item_ids array<long>, coverage double")
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, least: int, share: float) -> DataFrame:
-    """The way for benchmarks of any size: seeds of both sides are joined, and the pairs that share one are tiled."""
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of doc_id and text."""
+    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit("")).cast("binary"))
+
+
+def _met(docs: DataFrame, benchmark: DataFrame, least: int, share: float) -> DataFrame:
+    """The way for benchmarks of any size: seeds of both sides are joined, and the pairs that share one are tiled. row_key, item_ids, coverage of the rows that hold items."""
 
     def seeds(sizes: list[int], own: bool):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,15 +217,19 @@ def _joined(docs: DataFrame, benchmark: DataFrame, least: int, share: float) ->
 
     binary = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", binary)
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
-    read = docs.select(key.alias("row_key"), binary, "doc_id")
+    read = docs.select(_row_key(docs).alias("row_key"), binary)
     item_seeds = cut(items.select(F.col("item_id").alias("k"), "text").mapInArrow(seeds([], True), "k long, size int, seed long"))
     sizes = [r["size"] for r in item_seeds.select("size").distinct().collect()]
     doc_seeds = read.select(F.col("row_key").alias("k"), "text").mapInArrow(seeds(sizes, False), "k long, size int, seed long")
     met = doc_seeds.join(item_seeds.withColumnRenamed("k", "item_id"), ["size", "seed"]).select(F.col("k").alias("row_key"), "item_id").distinct()
-    pairs = met.join(items.withColumnRenamed("text", "item"), "item_id").join(read.drop("doc_id").distinct(), "row_key").select("row_key", "item_id", "text", "item")
-    found = pairs.mapInArrow(tiled, "row_key long, item_id long, coverage double").groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
-    return read.drop("text").join(found, "row_key", "left").select(
+    pairs = met.join(items.withColumnRenamed("text", "item"), "item_id").join(read.distinct(), "row_key").select("row_key", "item_id", "text", "item")
+    return pairs.mapInArrow(tiled, "row_key long, item_id long, coverage double").groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, least: int, share: float) -> DataFrame:
+    """find_leaks for benchmarks of any size."""
+    found = _met(docs, benchmark, least, share)
+    return docs.select(_row_key(docs).alias("row_key"), "doc_id").join(found, "row_key", "left").select(
         "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage")
     )
 
@@ -229,8 +238,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: flo
     """The rows of docs that hold no item, with all their columns; judged where they are read, so no text moves unless the benchmark is too large to be held."""
     items = _items(benchmark)
     if items is None:
-        clean = _joined(docs, benchmark, least, share).filter("NOT contaminated").select(F.col("doc_id").alias("clean")).distinct()
-        return docs.join(clean, docs.doc_id.eqNullSafe(F.col("clean")), "left_semi")
+        leaky = _met(docs, benchmark, least, share).select(F.col("row_key").alias("leaky"))
+        return docs.join(leaky, _row_key(docs) == F.col("leaky"), "left_anti")
     text = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,8 +139,8 @@ def op9_quality_resampling(spark, sf_dir):
 
 
 def op2_decontamination(spark, sf_dir):
-    """The documents that hold benchmark items, with the items named in a text."""
-    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter("contaminated")
+    """Whether each document holds benchmark items, with the items named in a text."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.withColumn("item_ids", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigloom.llm import decontamination
 from sigloom.llm.decontamination import drop_leaks, find_leaks, tiles
+from sigloom.llm.entries import op2_decontamination
 
 
 def brute_tiles(item, doc, least):
@@ -91,3 +92,18 @@ def test_items_that_repeat_their_words(spark, monkeypatch, limit):
     assert all(k in ids and most == 1 for k, _, ids, most in want if k <= 5)
     assert sorted(map(tuple, find_leaks(table, bench).collect()), key=repr) == want
     assert {r["doc_id"] for r in drop_leaks(table, bench).collect()} == {k for k, bad, _, _ in want if not bad}
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_rows_that_share_an_id_are_judged_each(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", limit)
+    rows = [(1, " ".join(A)), (1, "clean"), (None, " ".join(B)), (None, "clean too"), (None, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS[:2], "item_id long, text string")
+    assert sorted(map(tuple, drop_leaks(docs, bench).collect()), key=repr) == sorted([rows[1], *rows[3:]], key=repr)
+
+
+def test_the_query_has_a_row_for_each_document(spark, tmp_path):
+    spark.createDataFrame(DOCS[:-1], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = op2_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(k, bad, ",".join(map(str, ids)), most) for k, bad, ids, most in brute(DOCS[:-1], ITEMS)], key=repr)
