@@ -178,38 +178,67 @@ def _best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-#: Sweeps of the local search, and from how many of the emptiest kinds of bins each takes. They bound the search, never what is packed.
-SWEEPS, GIVERS = 20, 32
-
-
 def _swaps(bins: Counter, capacity: int, least: int) -> Counter:
     """Moves, one-for-one and two-for-one exchanges between underfull bins, each of which fills the fuller bin further and so
-    raises the sum of squared fills, until a sweep finds none or the bins are as few as the tokens allow. The emptiest bins give,
-    to the fullest first, until they are empty. As many equal pairs of bins as there are take a step together."""
-    bins = Counter(bins)
-    for _ in range(SWEEPS):
-        if sum(bins.values()) <= least:
-            break
+    raises the sum of squared fills, until no two bins of any kinds have one or the bins are as few as the tokens allow. The
+    emptiest bins give first, to the fullest first. As many equal pairs of bins as there are take a step together.
+
+    Whether two kinds have a step depends on nothing else, so a giver that found none is asked again about kinds that came since."""
+    bins, total, clock = Counter(bins), sum(bins.values()), 0
+    came, asked = dict.fromkeys(bins, 0), {}
+    changed = True
+    while changed and total > least:
+        changed, clock = False, clock + 1
+        bins = Counter({k: n for k, n in bins.items() if n})
         open_ = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (-sum(k), k))
-        changed = False
-        for giver in reversed(open_[-GIVERS:]):
+        for first in reversed(open_):
+            giver, since, stepped = first, asked.get(first, 0), False
             for a in open_:
-                if not giver or not bins[giver]:
+                if not giver or not bins[giver] or sum(a) < sum(giver):
                     break
-                if not bins[a] or a == giver and bins[a] < 2 or sum(a) < sum(giver):
+                if not bins[a] or a == giver and bins[a] < 2 or came[a] < since and a != giver:
                     continue
-                step = _better(a, giver, capacity - sum(a))
+                step = _better(a, giver, capacity - sum(a)) if _meets(a, giver, capacity) else None
                 if not step:
                     continue
                 many = bins[a] // 2 if a == giver else min(bins[a], bins[giver])
                 for kind, sign in ((a, -1), (giver, -1), (step[0], 1), (step[1], 1)):
                     if kind:
+                        if not bins[kind]:
+                            came[kind] = clock
                         bins[kind] += sign * many
-                giver, changed = step[1], True
-        bins = Counter({k: n for k, n in bins.items() if n})
-        if not changed:
-            break
-    return bins
+                total -= 0 if step[1] else many
+                giver, since, stepped, changed = step[1], 0, True, True
+            if not stepped and bins[first]:
+                asked[first] = clock
+    return Counter({k: n for k, n in bins.items() if n})
+
+
+@lru_cache(maxsize=20_000)
+def _sums(kind: tuple) -> tuple[int, int]:
+    """The single lengths and the sums of pairs of a bin, as bits."""
+    one, pairs = _parts(kind)
+    return sum(1 << x for x, _ in one), sum(1 << x for x in {x for x, _ in pairs})
+
+
+@lru_cache(maxsize=20_000)
+def _taken(kind: tuple, capacity: int) -> tuple[int, int]:
+    """What a bin takes, as bits: sums that are larger than what it gives back by 1 to its space, if it gives up to two or up to one back."""
+    one, two = _sums(kind)
+    space, out = capacity - sum(kind), []
+    for bits in (1 | one | two, 1 | one):
+        bits, have = bits << 1, 1
+        while have < space:
+            more = min(have, space - have)
+            bits, have = bits | bits << more, have + more
+        out.append(bits)
+    return out[0], out[1]
+
+
+def _meets(a: tuple, b: tuple, capacity: int) -> bool:
+    """Whether _better finds a step."""
+    (one, two), (most, some) = _sums(b), _taken(a, capacity)
+    return bool(one & most or two & some)
 
 
 @lru_cache(maxsize=20_000)

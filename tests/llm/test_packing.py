@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sigloom.llm.packing import Encoder, pack, plan
+from sigloom.llm.packing import Encoder, _better, _meets, pack, plan
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["It's  they'll\n\n\tgo!!", "  lead and trail  ", "émile 😀😀 ß ٣٤ 12a", "!'s ...'re  ''d", "<|endoftext|> text", "a b c\r\n", "\x00\x01", "日本語、です。", "", "a\x1cb \x1d c", "x\x85y", "²³ Ⅷ½ a1", "\u2028 a\u00a0b  \u3000", "\0whole a"]
@@ -79,3 +79,23 @@ def test_plans_hold_every_piece_once(counts):
 def test_swaps_empty_bins():
     bins = dict(plan({6: 2, 5: 2, 4: 2, 3: 2, 2: 2}, 10))
     assert sum(bins.values()) == 4
+
+
+def steps_left(bins, capacity):
+    open_ = [(k, n) for k, n in bins if sum(k) < capacity]
+    return [(a, b) for a, n in open_ for b, _ in open_ if sum(a) >= sum(b) and (a != b or n > 1) and _better(a, b, capacity - sum(a))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plans_end_where_no_bins_have_a_step(seed):
+    pick = random.Random(seed)
+    counts = {n: pick.randint(1, 60) for n in pick.sample(range(60, 500), 150)}
+    bins = plan(counts, 1024)
+    assert sum(m for _, m in bins) == -(-sum(n * c for n, c in counts.items()) // 1024) or not steps_left(bins, 1024)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=6), st.lists(st.integers(1, 20), min_size=1, max_size=6))
+def test_bits_tell_whether_there_is_a_step(a, b):
+    a, b = tuple(sorted(a, reverse=True)), tuple(sorted(b, reverse=True))
+    assert _meets(a, b, 128) == (_better(a, b, 128 - sum(a)) is not None)
