@@ -42,7 +42,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
-    return pack(docs, vocabulary())
+    return pack(docs, vocabulary(), added=True)
 
 
 def _named(docs: DataFrame, names: DataFrame) -> DataFrame:

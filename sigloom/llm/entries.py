@@ -109,7 +109,7 @@ QUERIES["op1_simhash_dedup"] = op1_simhash_dedup
 
 
 def op4_best_fit_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), vocabulary())
+    return pack(table(spark, sf_dir, "documents"), vocabulary(), added=True)
 
 
 def vocabulary() -> str:

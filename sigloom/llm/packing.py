@@ -40,20 +40,22 @@ def _byte_signs() -> dict[int, str]:
 
 class Encoder:
     """Ids of texts by a byte-level BPE of `tokenizers`. Texts are parted as its tokenizer parts them, and each distinct
-    pre-token is merged once by its model; texts with signs on which libraries disagree are left to the tokenizer as a whole."""
+    pre-token is merged once by its model; texts with signs on which libraries disagree are left to the tokenizer as a whole, and
+    with `added` also those that hold the content of an added token, which then is that token."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added: bool = False):
         import re
 
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.merge, self.signs = self.tokenizer.model.tokenize, _byte_signs()
         self.any_parts = regex.compile(PATTERN).findall
         self.ascii_parts = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII).findall
-        self.odd = re.compile("[\x1c-\x1f\x85]").search
+        contents = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.odd = re.compile("|".join(["[\x1c-\x1f\x85]", *contents])).search
         self._clear()
 
     def _clear(self) -> None:
@@ -91,24 +93,24 @@ class Encoder:
         return self.ids[index], np.concatenate(([0], ends))[word_ends]
 
 
-def _encoder(vocabulary: str) -> Encoder:
+def _encoder(vocabulary: str, added: bool) -> Encoder:
     """The worker process's own encoder, which keeps its pre-tokens from task to task."""
     import sys
 
     kept = sys.__dict__.setdefault("_sigloom_encoders", {})
-    if vocabulary not in kept:
-        kept[vocabulary] = Encoder(vocabulary)
-    return kept[vocabulary]
+    if (vocabulary, added) not in kept:
+        kept[vocabulary, added] = Encoder(vocabulary, added)
+    return kept[vocabulary, added]
 
 
-def pieces(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 1024) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 1024, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of each text's ids and the end id. Only longer texts are cut; all pieces but the
     first are full. part and local number the pieces of each length within the partition that read them."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = None, Counter(), TaskContext.get().partitionId()
         for b in batches:
-            encoder = encoder or _encoder(vocabulary)
+            encoder = encoder or _encoder(vocabulary, added)
             names, texts, k = b.column(0), [t or "" for t in b.column(1).to_pylist()], 0
             while k < len(texts):
                 size, j = 0, k
@@ -271,15 +273,15 @@ def _with(kind: tuple, more: tuple, less: tuple) -> tuple:
     return tuple(sorted(left.elements(), reverse=True))
 
 
-def pack(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end: int = 2, capacity: int = 1024, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Ids are those of `tokenizers` for the whole text without special tokens, then `end`; a null text is empty, and special
-    tokens spelt out in a text are ordinary text. Sequences hold at most `capacity` ids, are gapless from 0, and are numbered
+    Ids are those of `tokenizers` for the whole text without special tokens, then `end`; a null text is empty. Special tokens
+    spelt out in a text are ordinary text, or with `added` those tokens, as the library does by default. Sequences hold at most `capacity` ids, are gapless from 0, and are numbered
     from 0. Every row of docs is packed, repeated rows and null ids too. An empty table gives no rows. Columns but doc_id and
     text are not read.
     """
-    cutup = cut(pieces(docs, vocabulary, end, capacity))
+    cutup = cut(pieces(docs, vocabulary, end, capacity, added))
     per_part = cutup.groupBy("length", "part").agg(F.count("*").alias("many"))
     counts = {r["length"]: r["many"] for r in per_part.groupBy("length").agg(F.sum("many").alias("many")).collect()}
     before = per_part.withColumn("before", F.coalesce(F.sum("many").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("many")

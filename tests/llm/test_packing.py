@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from sigloom.llm.entries import op4_best_fit_packing
 from sigloom.llm.packing import Encoder, _better, _meets, pack, plan
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,3 +100,15 @@ def test_plans_end_where_no_bins_have_a_step(seed):
 def test_bits_tell_whether_there_is_a_step(a, b):
     a, b = tuple(sorted(a, reverse=True)), tuple(sorted(b, reverse=True))
     assert _meets(a, b, 128) == (_better(a, b, 128 - sum(a)) is not None)
+
+
+MARKED = ["a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n y", "<|endoftext |> é", "It's <|endoftext|> é\x1c", "plain"]
+
+
+def test_the_query_takes_added_tokens_as_the_library_does(spark, tmp_path):
+    rows = list(enumerate(MARKED))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r)[:5] for r in op4_best_fit_packing(spark, str(tmp_path)).collect()), key=repr)
+    assert got == brute(rows, Tokenizer.from_file(VOCABULARY))
+    ids, ends = Encoder(VOCABULARY, added=True).encode(MARKED[:1])
+    assert ids.tolist() == [64, 220, 50256, 275]
