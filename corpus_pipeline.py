@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import folder, table
+from sigloom.llm.common import WHITE, folder, table
 from sigloom.llm.decontamination import drop_leaks
 from sigloom.llm.entries import vocabulary
 from sigloom.llm.exact_dedup import exact_dedup
 from sigloom.llm.packing import pack
 from sigloom.llm.resampling import keep_drawn
-from sigloom.llm.simhash import near_duplicates
+from sigloom.llm.simhash import representatives, text_digest
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +26,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The longest of the texts that are equal but for white space, the smallest doc_id of several. Rows with one doc_id are one document: one stays."""
-    return _named(docs, exact_dedup(docs).filter("kept").select("doc_id"))
+    """The longest of the texts that are equal but for white space, the smallest doc_id of several. Rows of one doc_id with such texts are one document: one stays."""
+    kept = exact_dedup(docs.select("doc_id", "text")).filter("kept").select("doc_id", "text_sha256").distinct()
+    return _decided(docs, kept, F.sha2(F.regexp_replace(_text(docs), f"{WHITE}+", ""), 256))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near duplicates."""
-    return _named(docs, near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id"))
+    return _decided(docs, representatives(docs), text_digest(docs["text"]))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +46,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, vocabulary(), added=True)
 
 
-def _named(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """One row of docs for each of the names."""
-    stay = names.select(F.col("doc_id").alias("stay")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(F.col("stay")), "left_semi").dropDuplicates(["doc_id"])
+def _text(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"], F.lit(""))
+
+
+def _decided(docs: DataFrame, names: DataFrame, digest: Column) -> DataFrame:
+    """One row of docs, the longest and then the first, for each of the names (doc_id, digest); no two are alike."""
+    held = docs.join(names.toDF("_stay", "_digest"), docs["doc_id"].eqNullSafe(F.col("_stay")) & (digest == F.col("_digest")))
+    row = F.struct((-F.length(_text(docs))).alias("_less"), *(docs[c] for c in docs.columns))
+    return held.groupBy("_stay", "_digest").agg(F.min(row).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("benchmark decontamination", benchmark), ("best-fit packing", packing)]

@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -42,15 +42,19 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and the fingerprint of each row as a signed long. Texts stay where they are read."""
+    """doc_id, the fingerprint of each row as a signed long, and the SHA-256 of its text. Texts stay where they are read."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             out = np.fromiter((fingerprint(t.as_py() or b"", size) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), b.column(2)], ["doc_id", "fp", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, fp long")
+    return docs.select("doc_id", "text", text_digest(F.col("text")).alias("digest")).mapInArrow(read, "doc_id long, fp long, digest string")
+
+
+def text_digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
@@ -115,9 +119,21 @@ def near_duplicates(docs: DataFrame, distance: int = 3, size: int = 3) -> DataFr
     other. A null doc_id belongs to its component but is never its smallest id unless all are null. Repeated rows give a row
     each, an empty table none. Columns but doc_id and text are not read.
     """
-    marked = cut(fingerprints(docs, size))
-    groups = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(groups.select("fp"), distance))
-    placed = groups.join(roots, groups.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    marked = cut(fingerprints(docs, size).drop("digest"))
+    placed = _placed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), distance)
     named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _placed(groups: DataFrame, distance: int) -> DataFrame:
+    """groups (fp, first) with the root of each fingerprint's component."""
+    roots = components(links(groups.select("fp"), distance))
+    return groups.join(roots, groups.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def representatives(docs: DataFrame, distance: int = 3, size: int = 3) -> DataFrame:
+    """One row per component of near_duplicates: doc_id and digest (the SHA-256 of the text) of its row of the smallest doc_id, nulls last, and of these the smallest digest."""
+    marked = cut(fingerprints(docs, size))
+    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")
+    placed = _placed(marked.groupBy("fp").agg(F.min(first).alias("first")), distance)
+    return placed.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")

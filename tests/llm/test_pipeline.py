@@ -44,3 +44,20 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_rows_that_share_an_id_are_decided_each(spark):
+    random.seed(8)
+    text = lambda n: " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(n))
+    far = [text(80) for _ in range(8)]
+    rows = [(None, t) for t in far[:4]] + [(7, t) for t in far[4:6]] + [(None, far[0]), (7, far[4].replace(" ", "  ", 3)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "digest": F.lit("clash"), "text_sha256": F.lit("clash")})
+    out = corpus_pipeline.exact(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"] or "") for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(None, t) for t in [*far[:4], ""]] + [(7, rows[7][1]), (7, far[5])], key=repr)
+    rows = [(None, t) for t in far[:4]] + [(None, far[0] + " q"), (7, far[4]), (7, far[5]), (3, far[3] + " q"), (None, far[6]), (9, far[7]), (9, far[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash"))
+    got = [tuple(r)[:2] for r in corpus_pipeline.near(spark, docs, "").collect()]
+    assert [sum(k is None and t.startswith(x) for k, t in got) for x in far[:3]] == [1, 1, 1]
+    assert {g for g in got if g[0]} == {(7, far[4]), (7, far[5]), (3, far[3] + " q"), (9, far[7])} and len(got) == 8
