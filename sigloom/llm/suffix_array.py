@@ -18,6 +18,9 @@ from .repeats import Kind, apply, ranges
 #: Bytes that an anchor is named by: few enough that anchors stay sparse, more than chance repeats.
 GRAM = 24
 
+#: Fixed value: where the hashes of anchors start, so that zero bytes do not all give zero.
+SEED = np.uint64(0x9E3779B97F4A7C15)
+
 
 def suffix_array(text: list[int]) -> list[int]:
     """The starts of the suffixes of text in order; a suffix that is a prefix of another comes first."""
@@ -130,20 +133,21 @@ def byte_kind(length: int) -> Kind:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         raw = b"".join(texts) + bytes(16)
         if gram >= 16:
-            mixed = np.zeros(n - gram + 1, np.uint64)
+            mixed = np.full(n - gram + 1, SEED)
             for k in [*range(0, gram - 8, 8), gram - 8]:
                 mixed += np.ndarray((n - gram + 1,), "<u8", raw, k, (1,))
                 mixed *= np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(31)
         else:
             codes = np.frombuffer(raw, np.uint8).astype(np.uint64)
-            mixed = np.zeros(n - gram + 1, np.uint64)
+            mixed = np.full(n - gram + 1, SEED)
             for k in range(gram):
                 mixed = mixed * np.uint64(0x100000001B3) + codes[k : k + n - gram + 1]
         mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0x165667B19E3779F9)
         mixed ^= mixed >> np.uint64(32)
+        mixed |= np.uint64(1)  # zero marks windows that cross texts
         least = _sliding(mixed, reach, np.minimum)  # of the window that starts here
         crossing = np.ones(n, bool)
         for e, size in zip(ends.tolist(), sizes.tolist()):

@@ -101,3 +101,16 @@ def test_every_window_has_an_anchor_named_alike(window, before, after):
     for k in range(len(window) - 7):
         alone = set(kind.anchors([" ".join(window[k : k + 8]).encode()])[2].tolist())
         assert alone & names[0] and alone & names[1]
+
+
+def test_runs_of_nul(spark):
+    rows = [(1, "a" + "\0" * 200 + "b"), (2, "c" + "\0" * 120), (3, "\0" * 50), (4, "\0" * 49), (5, PASSAGE[2] + "\0" * 90 + PASSAGE[3]), (None, "x" * 30 + "\0" * 26 + "y" * 30)]
+    got = remove_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_bytes(rows)
+    assert {r[0]: r[2] for r in want} == {1: 0, 2: 120, 3: 50, 4: 0, 5: 90, None: 0}
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("length", [50, 10])
+def test_windows_of_nul_have_anchors(length):
+    assert len(byte_kind(length).anchors([bytes(80)])[1])
