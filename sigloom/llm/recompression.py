@@ -1,34 +1,27 @@
 """Substring deduplication over words by recompression.
 
 Words are named by hash. A first round names runs of one word; each further round parts all names into left and right ones by a
-bit of their hash and names every pair of a left and a right neighbour. A name depends on what it stands for only, so the rounds
-name alike everywhere without a word passing between tasks, and equal passages consist of the same symbols but for a few at
-their ends. Which symbols of a window those are follows from the window itself; of the sure ones it takes the longest for its
-anchor. Windows with equal anchors meet, and their words are compared.
+bit of their hash and names every pair of a left and a right neighbour. A name depends on what it stands for only, so equal
+passages consist of the same symbols everywhere but for a few at their ends. Which symbols of a window those are follows from
+the window itself. Rounds go on until no window is sure of a symbol; of the last round in which a window was sure of some, the
+symbol with the least hash names the window. Names meet over the whole corpus, and the words of windows with one name are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Kind, apply, merged, ranges
-
-#: Rounds that name pairs. After four a symbol stands for three words on average, and most windows of twenty have several.
-ROUNDS = 4
-
-#: A place is written as its first word times this, and the words of its anchor, which are at most those of a window.
-PLACE = 4096
+from .repeats import Kind, RangeHashes, apply, mix, ranges, runs, slices, sliding_min
+from .suffix_array import grams_of
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(29))
-    x = x * _A
-    x = x ^ (x >> np.uint64(32))
-    x = x * _B
-    return x ^ (x >> np.uint64(31))
+#: Bytes of texts that are named at once.
+SLICE = 1 << 21
 
 
 def _argmin_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -48,111 +41,124 @@ def _argmin_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) ->
     return out
 
 
-def word_kind(length: int, rounds: int = ROUNDS) -> Kind:
-    """Windows of `length` words."""
-
-    def symbols(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """row, first word, number of words and name of every anchor."""
+def window_names(words: np.ndarray, opens: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The name of every window of `length` words that starts at starts: the symbol that recompression gives it at last. words:
+    hashes of all words; opens: which of them begin a text."""
+    n = len(words)
+    named = np.zeros(len(starts), np.uint64)
+    # runs; the first and the last one that a window has may go on outside it
+    head = opens.copy()
+    head[1:] |= words[1:] != words[:-1]
+    at = np.flatnonzero(head)
+    parent = np.cumsum(head) - 1
+    size = np.diff(np.append(at, n))
+    names = np.where(size > 1, mix(words[at] * _C + size.astype(np.uint64)), words[at])
+    first = np.append(opens[at], True)
+    live = np.arange(len(starts))
+    left, right = parent[starts] + 1, parent[starts + length - 1]
+    sure = left < right
+    bare = live[~sure]  # one or two runs: the window is its own name
+    if len(bare):
+        named[bare] = RangeHashes(words)(starts[bare], starts[bare] + length)
+    live, left, right = live[sure], left[sure], right[sure]
+    turn = 0
+    while len(live):
+        m = len(names)
+        second = (mix(names + np.uint64(turn)) >> np.uint64(17)) & np.uint64(1) == 1
+        pair = np.zeros(m, bool)
+        pair[:-1] = ~second[:-1] & second[1:] & ~first[1:m]
+        head = np.ones(m, bool)
+        head[1:] = ~pair[:-1]
+        parent = np.cumsum(head) - 1
+        # a right name at a window's start may pair with what stands before it, a left name at its end with what follows
+        a = left + second[left]
+        b = right - ~second[right - 1]
+        sure = a < b
+        gone = ~sure
+        if gone.any():
+            named[live[gone]] = names[_argmin_between(mix(names), left[gone], right[gone])]
+        live, left, right = live[sure], parent[a[sure]], parent[b[sure] - 1] + 1
+        following = np.append(names[1:], np.uint64(0))
+        names = np.where(pair, mix(names * _A + following * _B + _C), names)[head]
+        first = np.append(first[:m][head], True)
+        turn += 1
+        if turn >= 64 and len(live):  # a few symbols that never form a pair
+            named[live] = names[_argmin_between(mix(names), left, right)]
+            break
+    return named
+
+
+def word_kind(length: int) -> Kind:
+    """Windows of `length` words. Level 0 names them by recompression, further levels by the least hash of longer grams of words."""
+    grams = [0, *grams_of(length, -(-length // 2))]
+
+    def some(texts: list[bytes], level: int) -> tuple[np.ndarray, ...]:
         from xxhash import xxh64_intdigest
 
-        counts = np.fromiter(map(len, texts), np.int64, len(texts))
+        parted = [t.split() for t in texts]
+        counts = np.fromiter(map(len, parted), np.int64, len(parted))
         ends, n = np.cumsum(counts), int(counts.sum())
-        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-        if n < length:
-            return none
-        words = _mix(np.fromiter((xxh64_intdigest(w) for t in texts for w in t), np.uint64, n))
-        opens = np.zeros(n + 1, bool)
-        opens[ends[counts > 0] - counts[counts > 0]] = True
-        row_of = np.repeat(np.arange(len(texts)), counts)
+        row_of = np.repeat(np.arange(len(parted)), counts)
         starts = np.flatnonzero(ends[row_of] - np.arange(n) >= length)
         if not len(starts):
-            return none
-
-        # runs; the first and the last one that a window has may go on outside it
-        head = opens[:n].copy()
-        head[1:] |= words[1:] != words[:-1]
-        at = np.flatnonzero(head)
-        parent = np.cumsum(head) - 1
-        size = np.diff(np.append(at, n))
-        names = np.where(size > 1, _mix(words[at] * _C + size.astype(np.uint64)), words[at])
-        opens = np.append(opens[at], True)
-        left, right = parent[starts] + 1, parent[starts + length - 1]
-
-        for turn in range(rounds):
-            m = len(names)
-            second = (_mix(names + np.uint64(turn)) >> np.uint64(17)) & np.uint64(1) == 1
-            pair = np.zeros(m, bool)
-            pair[:-1] = ~second[:-1] & second[1:] & ~opens[1:m]
-            head = np.ones(m, bool)
-            head[1:] = ~pair[:-1]
-            following = np.append(names[1:], np.uint64(0))
-            merged = np.where(pair, _mix(names * _A + following * _B + _C), names)
-            parent = np.cumsum(head) - 1
-            # a right name at a window's start may pair with what stands before it, a left name at its end with what follows
-            ok = left < right
-            left, right = np.where(ok, left, 0), np.where(ok, right, 1)
-            left = left + second[left]
-            right = right - ~second[right - 1]
-            ok &= left < right
-            left, right = np.where(ok, parent[np.where(ok, left, 0)], 1), np.where(ok, parent[np.where(ok, right, 1) - 1] + 1, 0)
-            names, at, opens = merged[head], at[head], np.append(opens[:m][head], True)
-
-        # of the sure symbols the longest in bytes, as chance repeats it least, then the one with the least hash
-        ok, stops = left < right, np.append(at[1:], n)
-        sizes = np.concatenate(([0], np.cumsum(np.fromiter((len(w) for t in texts for w in t), np.int64, n))))
-        weight = (np.uint64(65_535) - np.minimum(sizes[stops] - sizes[at], 65_535).astype(np.uint64)) << np.uint64(48) | _mix(names) >> np.uint64(16)
-        chosen = np.unique(_argmin_between(weight, left[ok], right[ok])) if ok.any() else np.zeros(0, np.int64)
-        first, stop = at[chosen], stops[chosen]
-        found_names = names[chosen]
-        bare = starts[~ok]  # nothing in it is sure: the whole window is its own anchor
-        if len(bare):
-            whole = np.zeros(len(bare), np.uint64)
-            for k in range(length):
-                whole = whole * _C + words[bare + k]
-            first, stop, found_names = np.concatenate([first, bare]), np.concatenate([stop, bare + length]), np.concatenate([found_names, _mix(whole)])
-        row = row_of[first]
-        return row, first - (ends - counts)[row], stop - first, found_names
-
-    def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts, k = [], 0
-        while k < len(texts):
-            j, size = k, 0
-            while j < len(texts) and (size < 1 << 21 or j == k):
-                size, j = size + len(texts[j]), j + 1
-            row, at, size_, names = symbols([t.split() for t in texts[k:j]])
-            parts.append((row + k, at * PLACE + size_, names))
-            k = j
-        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-
-    def contexts(text: bytes, places: list[int]):
-        from xxhash import xxh64_intdigest
-
-        words = text.split()
-        for p, n in sorted(divmod(x, PLACE) for x in places):
-            lo, hi = max(0, p + n - length), min(len(words), p + length)
-            if p + n <= len(words) and hi - lo >= length:
-                yield xxh64_intdigest(b" ".join(words[p : p + n])) - 2**63, lo, b" ".join(words[lo:hi]), hi - length - lo, p - lo
-
-    def windows(content: bytes, at: int, last: int) -> list[tuple[int, bytes]]:
-        words = content.split(b" ")
-        return [(at + j, b" ".join(words[j : j + length])) for j in range(last + 1)]
-
-    def resolve(groups: list[list[tuple]]) -> list[tuple]:
-        out = []
-        for group in groups:
-            first: dict[bytes, tuple] = {}
-            held = []
-            for doc, key, at, content, last, _ in group:
-                own = windows(content, at, last)
-                held.append((doc, key, own))
-                for start, window in own:
-                    if (doc, start) < first.setdefault(window, (doc, start)):
-                        first[window] = (doc, start)
-            for doc, key, own in held:
-                out += [(doc, key, a, b) for a, b in merged([(start, start + length) for start, window in own if first[window] < (doc, start)])]
-        return out
-
-    return Kind(length, anchors, contexts, resolve, windows, again=True)
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        known: dict[bytes, int] = {}
+        for t in parted:
+            for w in t:
+                if w not in known:
+                    known[w] = xxh64_intdigest(w)
+        words = mix(np.fromiter((known[w] for t in parted for w in t), np.uint64, n))
+        whole = RangeHashes(words)
+        if level == 0:
+            opens = np.zeros(n, bool)
+            opens[(ends - counts)[counts > 0]] = True
+            names = window_names(words, opens, starts, length)
+        else:
+            gram = grams[level]
+            names = sliding_min(whole(np.arange(n - gram + 1), np.arange(gram, n + 1)), length - gram + 1)[starts]
+        first, many = runs(names, starts, level < len(grams) - 1)
+        start, stop = starts[first], starts[first] + many + length - 1
+        row = row_of[start]
+        return row, start - (ends - counts)[row], stop - start, names[first], whole(start, stop)
+
+    def passages(texts: list[bytes], level: int) -> tuple[np.ndarray, ...]:
+        parts = [(a, some(texts[a:b], level)) for a, b in slices(list(map(len, texts)), SLICE)]
+        return tuple(np.concatenate([p[k] + a if k == 0 else p[k] for a, p in parts]) for k in range(5)) if parts else (np.zeros(0, np.int64),) * 5
+
+    def contents(texts: pa.Array, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+        out, parted, of = [], [], -1
+        for r, a, n in zip(row.tolist(), at.tolist(), size.tolist()):
+            if r != of:
+                parted, of = texts[r].as_py().split(), r
+            out.append(b" ".join(parted[a : a + n]))
+        return pa.array(out, pa.binary())
+
+    return Kind(length, True, len(grams), passages, contents, lambda buckets: _earlier_windows(buckets, length))
+
+
+def _earlier_windows(buckets: list[list[tuple]], length: int) -> list[tuple[int, int, int, int]]:
+    """(bucket, passage, start, stop) of the ranges of each passage that consist of windows whose words stand earlier in its bucket."""
+    out = []
+    for k, bucket in enumerate(buckets):
+        first: dict[bytes, tuple] = {}
+        held = []
+        for content, doc, at in bucket:
+            words = content.split(b" ")
+            own = [b" ".join(words[j : j + length]) for j in range(len(words) - length + 1)]
+            held.append(own)
+            for j, window in enumerate(own):
+                if (doc, at + j) < first.setdefault(window, (doc, at + j)):
+                    first[window] = (doc, at + j)
+        for p, ((_, doc, at), own) in enumerate(zip(bucket, held)):
+            start = None
+            for j, window in enumerate([*own, None]):
+                late = window is not None and first[window] < (doc, at + j)
+                if late and start is None:
+                    start = j
+                elif not late and start is not None:
+                    out.append((k, p, start, j + length - 1))
+                    start = None
+    return out
 
 
 def remove_passages(docs: DataFrame, length: int = 20) -> DataFrame:
@@ -164,12 +170,10 @@ def remove_passages(docs: DataFrame, length: int = 20) -> DataFrame:
     with one doc_id are one document; an equal window at the same place of both is not earlier. An empty table gives no rows.
     Columns but doc_id and text are not read.
     """
-    return apply(docs, ranges(docs, word_kind(length)), _words_left, "n_words long, n_removed long, kept_sha256 string")
-
+    return apply(docs, ranges(docs, word_kind(length)), words_left, "n_words long, n_removed long, kept_sha256 string")
 
-def _words_left(text: bytes, spans: list[tuple[int, int]]) -> tuple:
-    import hashlib
 
+def words_left(text: bytes, spans: list[tuple[int, int]]) -> tuple:
     words, kept, at = text.split(), [], 0
     for a, b in spans:
         kept += words[at:a]

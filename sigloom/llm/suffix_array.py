@@ -1,265 +1,297 @@
 """Suffix arrays by linear grouping, and substring deduplication with them.
 
-The suffixes are put into groups that share a first symbol. Groups are taken in descending order; each suffix of a group points
-to the nearest suffix before it whose group is smaller, and those pointed at move up within their groups, the more pointers the
-higher. In the end a group holds the suffixes with one Lyndon prefix. One pass in ascending order then emits the suffixes: each
-emitted one lets its predecessor, and what that points to, take the next place of their groups. No text is renamed.
+The suffixes of a text are put into groups that share a first symbol. Groups are taken in descending order; each suffix of a
+group points to the nearest suffix before it whose group is smaller, and those pointed at move up within their groups, the more
+pointers the higher. In the end a group holds the suffixes with one Lyndon prefix. One pass in ascending order then emits the
+suffixes: each emitted one lets its predecessor, and what that points to, take the next place of their groups. No text is renamed.
+
+Passages that share an anchor form one text. Many such texts are sorted together: each has its own groups, and every step takes
+the next group of all of them at once.
 """
 
 from __future__ import annotations
 
-from itertools import groupby
+import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Kind, apply, ranges
+from .repeats import Kind, RangeHashes, apply, mix, ranges, runs, slices, sliding_min
 
-#: Bytes that an anchor is named by: few enough that anchors stay sparse, more than chance repeats.
+#: Bytes that windows are named by at first: few enough that passages stay long, more than chance repeats.
 GRAM = 24
 
-#: Fixed value: where the hashes of anchors start, so that zero bytes do not all give zero.
+#: Fixed value: where the hashes of grams start, so that zero bytes do not all give zero.
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
+#: Bytes that are named at once.
+SLICE = 1 << 20
+
 
 def suffix_array(text: list[int]) -> list[int]:
     """The starts of the suffixes of text in order; a suffix that is a prefix of another comes first."""
-    n = len(text) + 1
-    order = sorted(range(n - 1), key=text.__getitem__)
-    order.insert(0, n - 1)
-    place, start, size = [0] * n, [0] * n, [0] * n
-    size[0] = 1
-    at = 1
-    for _, same in groupby(order[1:], key=text.__getitem__):
-        head = at
-        for i in same:
-            place[i], start[i], at = at, head, at + 1
-        size[head] = at - head
-    before = _form_groups(order, place, start, size)
-    return _emit(start, before)
-
-
-def _form_groups(order: list[int], place: list[int], start: list[int], size: list[int]) -> list[int]:
-    """Refines the groups to Lyndon prefixes in place; what is returned is, for each suffix, the nearest one before it of a smaller group."""
+    if not text:
+        return []
+    return suffix_arrays(np.append(np.array(text, np.int64) + 1, 0), np.array([len(text) + 1]))[1:].tolist()
+
+
+def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The suffixes of several texts that stand one after the other, text by text, each text's in order. The last symbol of a
+    text is smaller than all its others. Suffixes are places in symbols."""
+    bases = np.cumsum(sizes) - sizes
+    order = np.lexsort((symbols, np.repeat(np.arange(len(sizes)), sizes)))
+    held = symbols[order]
+    opens = np.ones(len(order), bool)
+    opens[1:] = held[1:] != held[:-1]
+    opens[bases] = True
+    heads = np.flatnonzero(opens)
+    counts = np.diff(np.append(heads, len(order)))
+    start, place, size = np.empty_like(order), np.empty_like(order), np.zeros_like(order)
+    start[order] = np.repeat(heads, counts)
+    place[order] = np.arange(len(order))
+    size[heads] = counts
+    ends = bases + sizes - 1
+    before = _form_groups(order, place, start, size, bases, ends)
+    return _emit(start, before, bases, ends)
+
+
+def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each of the counts, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - counts), counts)
+
+
+def _form_groups(order: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, bases: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Refines the groups to Lyndon prefixes in place; what is returned is, for each suffix, the nearest one before it of a
+    smaller group, or -1. Each turn takes the highest group left of every text."""
     n = len(order)
-    before, jump = [-1] * n, [-1] * n
-    end = n - 1
-    while end > 0:
-        head = start[order[end]]
-        pointers: dict[int, int] = {}
-        members = order[head : end + 1]
-        if end > head:
-            members.sort()
-        for i in members:
-            p = i - 1
-            if p >= 0 and start[p] >= head:
-                passed = p
-                while p >= 0 and start[p] >= head:
-                    p = jump[p]
-                while passed != p:
-                    jump[passed], passed = p, jump[passed]
-            before[i] = jump[i] = p
-            if p >= 0:
-                pointers[p] = pointers.get(p, 0) + 1
-        if len(pointers) == 1:
-            p = next(iter(pointers))
-            if size[start[p]] > 1:
-                _split({1: [p]}, order, place, start, size)
-        elif pointers:
-            many: dict[int, list[int]] = {}
-            for p, c in pointers.items():
-                if size[start[p]] > 1:
-                    many.setdefault(c, []).append(p)
-            _split(many, order, place, start, size)
-        end = head - 1
+    before, jump = np.full(n, -1), np.full(n, -1)
+    marked = np.zeros(n, bool)
+    left_of = np.arange(n) - 1
+    left_of[bases] = -1
+    end = ends.copy()
+    live = np.flatnonzero(end > bases)
+    while len(live):
+        last = end[live]
+        head = start[order[last]]
+        counts = last - head + 1
+        single = len(counts) == int(counts.sum())
+        members = order[last] if single else order[_spread(head, counts)]
+        floor = head if single else np.repeat(head, counts)
+        # members of the group itself are passed over too: they follow one another's pointers until all stand
+        near = left_of[members]
+        jump[members] = near
+        todo = np.flatnonzero((near >= 0) & (start[near] >= floor))
+        passed = near[todo]
+        open_ = todo
+        while len(open_):
+            further = jump[near[open_]]
+            near[open_] = further
+            jump[members[open_]] = further
+            open_ = open_[(further >= 0) & (start[further] >= floor[open_])]
+        before[members] = near
+        jump[passed] = near[todo]
+        end[live] = head - 1
+        if single:
+            _lift(near[near >= 0], order, place, start, size)
+        else:
+            alone = np.repeat(counts == 1, counts) & (near >= 0)
+            _lift(near[alone], order, place, start, size)
+            _split(near[~np.repeat(counts == 1, counts) & (near >= 0)], order, place, start, size, marked)
+        live = live[end[live] > bases[live]]
     return before
 
 
-def _split(many: dict[int, list[int]], order: list[int], place: list[int], start: list[int], size: list[int]) -> None:
-    """Moves suffixes to groups of their own at the upper end of theirs, those with most pointers first."""
-    for c in sorted(many, reverse=True):
-        chosen: dict[int, list[int]] = {}
-        for p in many[c]:
-            chosen.setdefault(start[p], []).append(p)
-        for head, moved in chosen.items():
-            left = size[head] - len(moved)
-            if not left:
-                continue
-            to = head + size[head]
-            for p in moved:
-                to -= 1
-                other, at = order[to], place[p]
-                order[to], order[at] = p, other
-                place[p], place[other] = to, at
-                start[p] = head + left
-            size[head], size[head + left] = left, len(moved)
-
-
-def _emit(start: list[int], before: list[int]) -> list[int]:
+def _lift(pointed: np.ndarray, order: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    """Moves one suffix of each group to a group of its own at the upper end. No two are of one group."""
+    head = start[pointed]
+    some = size[head] > 1
+    pointed, head = pointed[some], head[some]
+    to = head + size[head] - 1
+    other, at = order[to], place[pointed]
+    order[at], place[other] = other, at
+    order[to], place[pointed], start[pointed] = pointed, to, to
+    size[head] -= 1
+    size[to] = 1
+
+
+def _split(pointers: np.ndarray, order: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, marked: np.ndarray) -> None:
+    """Moves what is pointed at to groups of their own at the upper end of theirs, those with most pointers last."""
+    if not len(pointers):
+        return
+    moved, many = np.unique(pointers, return_counts=True)
+    some = size[start[moved]] > 1
+    moved, many = moved[some], many[some]
+    if not len(moved):
+        return
+    by = np.lexsort((many, start[moved]))
+    moved, many = moved[by], many[by]
+    head = start[moved]
+    first = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+    counts = np.diff(np.append(first, len(head)))
+    heads = head[first]
+    low = heads + size[heads] - counts
+    slots = _spread(low, counts)
+    marked[moved] = True
+    there = order[slots]
+    there = there[~marked[there]]
+    at = place[moved]
+    holes = at[at < np.repeat(low, counts)]
+    marked[moved] = False
+    order[holes], place[there] = there, holes
+    order[slots], place[moved] = moved, slots
+    block = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (many[1:] != many[:-1])))
+    lengths = np.diff(np.append(block, len(head)))
+    size[heads] -= counts
+    size[slots[block]] = lengths
+    start[moved] = np.repeat(slots[block], lengths)
+
+
+def _emit(start: np.ndarray, before: np.ndarray, bases: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The suffixes in order, from groups of Lyndon prefixes: a step of every text at a time."""
     n = len(start)
-    out, front, placed = [0] * n, list(range(n)), [False] * n
-    out[0], placed[n - 1] = n - 1, True
-    for k in range(n):
-        p = out[k] - 1
-        while p >= 0 and not placed[p]:
-            head = start[p]
-            out[front[head]] = p
-            front[head] += 1
-            placed[p] = True
-            p = before[p]
-    return out[1:]
-
-
-def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
-    """pick over each `size` neighbours, by doubling."""
-    have = 1
-    while have * 2 <= size:
-        values = pick(values[:-have], values[have:])
-        have *= 2
-    rest = size - have
-    return pick(values[:-rest], values[rest:]) if rest else values
+    out, front, placed = np.zeros(n, np.int64), np.arange(n), np.zeros(n, bool)
+    out[bases], placed[ends] = ends, True
+    left_of = np.arange(n) - 1
+    left_of[bases] = -1
+    at, stop = bases.copy(), ends + 1
+    near = left_of[ends]
+    while len(at):
+        put = np.flatnonzero((near >= 0) & ~placed[near])
+        suffix = near[put]
+        head = start[suffix]
+        to = front[head]
+        out[to] = suffix
+        front[head] = to + 1
+        placed[suffix] = True
+        near[put] = before[suffix]
+        rest = np.ones(len(at), bool)
+        rest[put] = False
+        rest = np.flatnonzero(rest)
+        at[rest] += 1
+        on = at < stop
+        if not on.all():
+            at, stop, near, moved = at[on], stop[on], near[on], np.zeros(len(on), bool)
+            moved[rest] = True
+            rest = np.flatnonzero(moved[on])
+        near[rest] = left_of[out[at[rest]]]
+    return out
 
 
-def byte_kind(length: int) -> Kind:
-    """Windows of `length` bytes. Their anchors are the 24 bytes in them with the least hash."""
-    gram = min(GRAM, length)
-    reach = length - gram + 1
+def grams_of(length: int, least: int) -> list[int]:
+    """The lengths of the pieces that windows are named by, level by level: each level halves what is outside of them."""
+    out = [min(least, length)]
+    while out[-1] < length:
+        out.append(length - (length - out[-1]) // 2)
+    return out
+
 
-    def some(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def byte_kind(length: int) -> Kind:
+    """Windows of `length` bytes, named by the least hash of the grams in them."""
+    grams = grams_of(length, GRAM)
+
+    def hashed(raw: bytes, n: int, gram: int) -> np.ndarray:
+        """A hash of each `gram` bytes."""
+        if gram < 8:
+            whole = RangeHashes(mix(np.frombuffer(raw, np.uint8, n).astype(np.uint64) + SEED))
+            return whole(np.arange(n - gram + 1), np.arange(gram, n + 1))
+        out = np.full(n - gram + 1, SEED)
+        for k in [*range(0, gram - 8, 8), gram - 8]:
+            out += np.ndarray((n - gram + 1,), "<u8", raw, k, (1,))
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(31)
+        return mix(out)
+
+    def some(texts: list[bytes], level: int) -> tuple[np.ndarray, ...]:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
         n = int(ends[-1])
         if n < length:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        raw = b"".join(texts) + bytes(16)
-        if gram >= 16:
-            mixed = np.full(n - gram + 1, SEED)
-            for k in [*range(0, gram - 8, 8), gram - 8]:
-                mixed += np.ndarray((n - gram + 1,), "<u8", raw, k, (1,))
-                mixed *= np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(31)
-        else:
-            codes = np.frombuffer(raw, np.uint8).astype(np.uint64)
-            mixed = np.full(n - gram + 1, SEED)
-            for k in range(gram):
-                mixed = mixed * np.uint64(0x100000001B3) + codes[k : k + n - gram + 1]
-        mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0x165667B19E3779F9)
-        mixed ^= mixed >> np.uint64(32)
-        mixed |= np.uint64(1)  # zero marks windows that cross texts
-        least = _sliding(mixed, reach, np.minimum)  # of the window that starts here
-        crossing = np.ones(n, bool)
-        for e, size in zip(ends.tolist(), sizes.tolist()):
-            if size >= length:
-                crossing[e - size : e - length + 1] = False
-        least[crossing[: len(least)]] = 0
-        padded = np.concatenate([np.zeros(reach - 1, np.uint64), least, np.zeros(reach - 1, np.uint64)])
-        most = _sliding(padded, reach, np.maximum)[: len(mixed)]  # over the windows that hold this place
-        found = np.flatnonzero((mixed == most) & (most > 0))
-        row = np.searchsorted(ends, found, "right")
-        return row, found - (ends - sizes)[row], mixed[found]
-
-    def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts, k = [], 0
-        while k < len(texts):
-            j, size = k, 0
-            while j < len(texts) and (size < 1 << 20 or j == k):
-                size, j = size + len(texts[j]), j + 1
-            row, at, names = some(texts[k:j])
-            parts.append((row + k, at, names))
-            k = j
-        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-
-    def contexts(text: bytes, places: list[int]):
-        from xxhash import xxh64_intdigest
-
-        for p in places:
-            lo, hi = max(0, p + gram - length), min(len(text), p + length)
-            if p + gram <= len(text) and hi - lo >= length:
-                yield xxh64_intdigest(text[p : p + gram]) - 2**63, lo, text[lo:hi], hi - length - lo, p - lo
-
-    def windows(content: bytes, at: int, last: int) -> list[tuple[int, bytes]]:
-        return [(at + j, content[j : j + length]) for j in range(last + 1)]
-
-    def resolve(groups: list[list[tuple]]) -> list[tuple]:
-        return _by_suffix_array(groups, length)
-
-    return Kind(length, anchors, contexts, resolve, windows, again=False)
-
-
-def _shared(strings: list[bytes]) -> list[int]:
-    """How much of its beginning each string has in common with any of the others: with one next to it in order."""
-    order = sorted(range(len(strings)), key=strings.__getitem__)
-    out = [0] * len(strings)
-    for i, j in zip(order, order[1:]):
-        a, b = strings[i], strings[j]
-        n, most = 0, min(len(a), len(b))
-        while n < most and a[n] == b[n]:
-            n += 1
-        out[i], out[j] = max(out[i], n), max(out[j], n)
-    return out
-
-
-def _by_suffix_array(groups: list[list[tuple]], length: int) -> list[tuple]:
-    """Which windows of the contents also stand in one of a smaller doc_id, as (doc, text_key, start, stop). Equal contents are
-    told by themselves. Different ones are cut down to what each shares with any other of its group, and those that are still
-    different go into the suffix array."""
-    out: list[tuple] = []
-    held: list[tuple[bytes, list[tuple], int]] = []
-    for group in groups:
-        same: dict[bytes, list[tuple]] = {}
-        for row in group:
-            same.setdefault(row[3], []).append(row)
-        owners = []
-        for content, rows in same.items():
-            least = min(r[0] for r in rows)
-            out += [(doc, key, at, at + last + length) for doc, key, at, _, last, _ in rows if doc > least]
-            owners.append((content, rows[0][5], [r for r in rows if r[0] == least]))
-        if len(owners) == 1:
-            continue
-        after = _shared([c[mark:] for c, mark, _ in owners])
-        ahead = _shared([c[:mark][::-1] for c, mark, _ in owners])
-        common: dict[bytes, list[tuple]] = {}
-        for (content, mark, rows), a, b in zip(owners, ahead, after):
-            if a + b >= length:
-                common.setdefault(content[mark - a : mark + b], []).extend((doc, key, at + mark - a, None, a + b - length, 0) for doc, key, at, _, _, _ in rows)
-        parts = [(content, rows, min(r[0] for r in rows)) for content, rows in common.items()]
-        if len(parts) == 1:
-            content, rows, least = parts[0]
-            out += [(doc, key, at, at + last + length) for doc, key, at, _, last, _ in rows if doc > least]
-        else:
-            held += parts
-    if not held:
-        return out
-    raw = b"\x00".join(c for c, _, _ in held)
-    symbols, at = [], 0
-    for content, _, _ in held:
-        symbols += [x + 1 for x in content]
-        symbols.append(0)
-    sizes = np.array([len(c) for c, _, _ in held])
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    order = np.array(suffix_array(symbols), np.int64)
-    of = np.searchsorted(starts, order, "right") - 1
-    fits = order - starts[of] + length <= sizes[of]
-    order, of = order[fits], of[fits]
-    same = np.ones(len(order) - 1, bool)
-    wide, padded = min(8, length), raw + bytes(length + 8)
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        raw = b"".join(texts)
+        least = sliding_min(hashed(raw, n, grams[level]), length - grams[level] + 1)
+        inside = np.zeros(n + 1, np.int64)
+        long_ = sizes >= length
+        inside[(ends - sizes)[long_]] = 1
+        inside[(ends - length + 1)[long_]] -= 1
+        starts = np.flatnonzero(np.cumsum(inside)[: len(least)])
+        names = least[starts]
+        first, many = runs(names, starts, level < len(grams) - 1)
+        start, stop = starts[first], starts[first] + many + length - 1
+        codes = mix(np.arange(256, dtype=np.uint64) + SEED)[np.frombuffer(raw, np.uint8)]
+        row = np.searchsorted(ends, start, "right")
+        return row, start - (ends - sizes)[row], stop - start, names[first], RangeHashes(codes)(start, stop)
+
+    def passages(texts: list[bytes], level: int) -> tuple[np.ndarray, ...]:
+        parts = [(a, some(texts[a:b], level)) for a, b in slices(list(map(len, texts)), SLICE)]
+        return tuple(np.concatenate([p[k] + a if k == 0 else p[k] for a, p in parts]) for k in range(5)) if parts else (np.zeros(0, np.int64),) * 5
+
+    def contents(texts: pa.Array, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+        _, offsets, data = texts.buffers()
+        from_ = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts)].astype(np.int64)[row] + at
+        raw = np.frombuffer(data, np.uint8)[_spread(from_, size.astype(np.int64))] if len(row) else np.zeros(0, np.uint8)
+        bounds = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+
+    return Kind(length, False, len(grams), passages, contents, lambda buckets: shared_windows(buckets, length))
+
+
+def shared_windows(buckets: list[list[tuple]], length: int) -> list[tuple[int, int, int, int]]:
+    """(bucket, passage, start, stop) of the ranges of each passage that consist of windows which also stand in a passage of its
+    bucket with a smaller doc_id, by the suffix array of the bucket's passages."""
+    if not buckets:
+        return []
+    flat = [p for own in buckets for p in own]
+    many = np.array([len(own) for own in buckets])
+    sizes = np.array([len(p[0]) for p in flat])
+    docs = np.array([p[1] for p in flat], np.int64)
+    raw = b"\0".join([p[0] for p in flat]) + bytes(length + 9)
+    n = int(sizes.sum()) + len(flat)
+    stops = np.cumsum(sizes + 1)  # behind the sign that ends each passage
+    symbols = np.frombuffer(raw, np.uint8, n).astype(np.int16) + np.int16(2)
+    symbols[stops - 1] = 1
+    last = np.cumsum(many) - 1
+    symbols[stops[last] - 1] = 0
+    texts = np.diff(np.concatenate(([0], stops[last])))
+    order = _sorted(symbols, texts)
+    of = np.repeat(np.arange(len(flat)), sizes + 1)
+    fits = stops[of[order]] - 1 - order >= length
+    order = order[fits]
+    if not len(order):
+        return []
+    owner = of[order]
+    bucket = np.repeat(np.arange(len(buckets)), many)[owner]
+    same = np.zeros(len(order), bool)
+    same[1:] = bucket[1:] == bucket[:-1]
+    wide = min(8, length)
     for k in [*range(0, length - wide, wide), length - wide]:
         for offset, form in [(k, "<u8")] if wide == 8 else [(k + x, "u1") for x in range(wide)]:
-            values = np.ndarray((len(raw) + 1,), form, padded, offset, (1,))
-            same &= values[order[1:]] == values[order[:-1]]
-    heads = np.flatnonzero(np.concatenate(([True], ~same)))
-    docs = np.array([d for _, _, d in held], np.int64)
-    least = np.repeat(np.minimum.reduceat(docs[of], heads), np.diff(np.append(heads, len(order))))
-    first = np.full(len(symbols), 2**63 - 1, np.int64)
-    first[order] = least
-    for (_, rows, _), a in zip(held, starts.tolist()):
-        for doc, key, at, _, last, _ in rows:
-            bad = np.flatnonzero(first[a : a + last + 1] < doc)
-            if len(bad):
-                for run in np.split(bad, np.flatnonzero(np.diff(bad) > 1) + 1):
-                    out.append((doc, key, at + int(run[0]), at + int(run[-1]) + length))
+            values = np.ndarray((n,), form, raw, offset, (1,))
+            same[1:] &= values[order[1:]] == values[order[:-1]]
+    heads = np.flatnonzero(~same)
+    least = np.repeat(np.minimum.reduceat(docs[owner], heads), np.diff(np.append(heads, len(order))))
+    late = np.zeros(n + 1, np.int8)
+    late[order] = least < docs[owner]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], late))))
+    start, stop = edges[::2], edges[1::2]
+    passage = of[start]
+    base = (stops - sizes - 1)[passage]
+    within = passage - (np.cumsum(many) - many)[np.repeat(np.arange(len(buckets)), many)[passage]]
+    return list(zip(np.repeat(np.arange(len(buckets)), many)[passage].tolist(), within.tolist(), (start - base).tolist(), (stop - base + length - 1).tolist()))
+
+
+def _sorted(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """suffix_arrays, the texts in groups of about one length, so that none is sorted alone while many wait."""
+    bases = np.cumsum(sizes) - sizes
+    by = np.argsort(sizes, kind="stable")
+    out, k = np.zeros(len(symbols), np.int64), 0
+    while k < len(by):
+        j = int(np.searchsorted(sizes[by], 2 * sizes[by[k]], "right"))
+        mine = by[k:j]
+        places = _spread(bases[mine], sizes[mine])
+        out[places] = places[suffix_arrays(symbols[places], sizes[mine])]
+        k = j
     return out
 
 
@@ -271,12 +303,10 @@ def remove_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     than all others. Rows with one doc_id are one document: they remove nothing from each other. An empty table gives no rows.
     Columns but doc_id and text are not read.
     """
-    return apply(docs, ranges(docs, byte_kind(length)), _bytes_left, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
+    return apply(docs, ranges(docs, byte_kind(length)), bytes_left, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
-def _bytes_left(text: bytes, spans: list[tuple[int, int]]) -> tuple:
-    import hashlib
 
+def bytes_left(text: bytes, spans: list[tuple[int, int]]) -> tuple:
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at:a])

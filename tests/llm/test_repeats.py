@@ -8,9 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sigloom.llm.recompression import _words_left, remove_passages, word_kind
+from sigloom.llm.recompression import remove_passages, word_kind, words_left
 from sigloom.llm.repeats import apply, ranges
-from sigloom.llm.suffix_array import _bytes_left, byte_kind, remove_substrings, suffix_array
+from sigloom.llm.suffix_array import byte_kind, bytes_left, remove_substrings, suffix_array, suffix_arrays
 
 LAST = 2**63 - 1
 
@@ -77,11 +77,17 @@ def test_passages(spark, case):
     assert sorted(map(tuple, remove_passages(docs).collect()), key=repr) == brute_words(CASES[case])
 
 
-@pytest.mark.parametrize("kind, left, columns, brute", [(byte_kind(50), _bytes_left, "a long, b long, c long, d string", brute_bytes), (word_kind(20), _words_left, "a long, b long, d string", brute_words)])
-def test_names_with_many_contents(spark, kind, left, columns, brute):
-    docs = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(5)
-    got = apply(docs, ranges(docs, kind, group=2), left, columns)
-    assert sorted(map(tuple, got.collect()), key=repr) == brute(DOCS)
+KINDS = [(byte_kind(50), bytes_left, "a long, b long, c long, d string", brute_bytes), (word_kind(20), words_left, "a long, b long, d string", brute_words)]
+
+
+@pytest.mark.parametrize("bucket", [1, 3])
+@pytest.mark.parametrize("kind, left, columns, brute", KINDS)
+def test_buckets_that_are_split(spark, kind, left, columns, brute, bucket):
+    """A bucket of more rows than a task may hold is named anew, level by level, with the same result."""
+    rows = [*DOCS, *CASES["runs and periods"], *((100 + i, f"{text(i % 7)} {PASSAGE[0]} {text(i % 5)}") for i in range(20)), (None, PASSAGE[0]), (None, "z " + PASSAGE[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = apply(docs, ranges(docs, kind, bucket), left, columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
 
 
 @settings(max_examples=300, deadline=None)
@@ -90,17 +96,33 @@ def test_suffix_array(symbols):
     assert suffix_array(symbols) == sorted(range(len(symbols)), key=lambda k: symbols[k:])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 3), max_size=40), min_size=1, max_size=6))
+def test_suffix_arrays_of_several_texts(texts):
+    symbols = np.array([x for t in texts for x in [*t, 0]])
+    want, base = [], 0
+    for t in texts:
+        want += [base + k for k in sorted(range(len(t) + 1), key=lambda k: [*t, 0][k:])]
+        base += len(t) + 1
+    assert suffix_arrays(symbols, np.array([len(t) + 1 for t in texts])).tolist() == want
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from("ab"), min_size=8, max_size=30), st.lists(st.sampled_from("ab"), max_size=12), st.lists(st.sampled_from("ab"), max_size=12))
-def test_every_window_has_an_anchor_named_alike(window, before, after):
-    kind = word_kind(8, rounds=2)
-    names = []
-    for words in (window, before + window + after):
-        row, at, name = kind.anchors([" ".join(words).encode()])
-        names.append(set(name.tolist()))
-    for k in range(len(window) - 7):
-        alone = set(kind.anchors([" ".join(window[k : k + 8]).encode()])[2].tolist())
-        assert alone & names[0] and alone & names[1]
+@given(st.lists(st.sampled_from("ab"), min_size=8, max_size=30), st.lists(st.sampled_from("ab"), max_size=12), st.lists(st.sampled_from("ab"), max_size=12), st.integers(0, 4))
+def test_a_window_is_named_alike_wherever_it_stands(window, before, after, level):
+    """Every window is in one passage, whose name does not depend on what stands around it."""
+    for kind, join in ((word_kind(8), b" ".join), (byte_kind(8), b"".join)):
+        level = min(level, kind.levels - 1)
+
+        def named(signs, kind=kind, join=join, level=level):
+            _, at, size, name, _ = kind.passages([join([x.encode() for x in signs])], level)
+            out = [(a + j, x) for a, n, x in zip(at.tolist(), size.tolist(), name.tolist()) for j in range(n - 7)]
+            assert [a for a, _ in out] == list(range(len(signs) - 7))
+            return [x for _, x in out]
+
+        inner = named(window)
+        assert inner == named(before + window + after)[len(before) : len(before) + len(inner)]
+        assert inner == [named(window[k : k + 8])[0] for k in range(len(inner))]
 
 
 def test_runs_of_nul(spark):
@@ -109,8 +131,3 @@ def test_runs_of_nul(spark):
     want = brute_bytes(rows)
     assert {r[0]: r[2] for r in want} == {1: 0, 2: 120, 3: 50, 4: 0, 5: 90, None: 0}
     assert sorted(map(tuple, got.collect()), key=repr) == want
-
-
-@pytest.mark.parametrize("length", [50, 10])
-def test_windows_of_nul_have_anchors(length):
-    assert len(byte_kind(length).anchors([bytes(80)])[1])
