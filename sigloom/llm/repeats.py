@@ -32,8 +32,11 @@ BUCKET = 512
 #: Windows of one passage at most: periodic texts have long runs of windows with one name.
 SPAN = 256
 
-#: Units of text that a resolver gets at once.
-FLUSH = 1 << 18
+#: Passages of one bucket that a resolver compares; more are parted by longer names where they are.
+FEW = 16
+
+#: Bytes of content that a resolver gets at once.
+FLUSH = 1 << 21
 
 PLACED = "name long, doc_id long, text_key long, at int, size int"
 
@@ -221,14 +224,21 @@ def _decide(kind: Kind, level: int, most: int) -> Callable:
 
         def settle() -> None:
             nonlocal buckets, units
-            for k, p, start, stop in kind.resolve([[(x[0], *x[1]) for x in own] for own in buckets]):
-                told.extend((0, doc, key, at + start, start - stop, None) for doc, key, at, _ in buckets[k][p][3])
-            buckets, units = [], 0
+            deeper, few = level, []
+            while buckets:
+                few += [x for x in buckets if len(x) <= FEW or deeper == kind.levels - 1]
+                deeper += 1
+                buckets = [x for x in buckets if len(x) > FEW and deeper < kind.levels]
+                if buckets:
+                    buckets = _parted(kind, deeper, buckets, told)
+            for k, p, start, stop in kind.resolve([[(x[0], *x[1]) for x in bucket] for bucket in few]):
+                told.extend((0, doc, key, at + start, start - stop, None) for doc, key, at, _ in few[k][p][3])
+            units = 0
 
         for b in _and_end(batches):
             rows = [(None,) * 6] if b is None else zip(*(b.column(k).to_pylist() if k == 5 else b.column(k).to_numpy().tolist() for k in range(6)))
             for row in rows:
-                if row[0] != name:
+                if b is None or row[0] != name:
                     close()
                     if units >= FLUSH or b is None:
                         settle()
@@ -264,6 +274,33 @@ def _decide(kind: Kind, level: int, most: int) -> Callable:
     return decide
 
 
+def _parted(kind: Kind, level: int, buckets: list[list[list]], told: list[tuple]) -> list[list[list]]:
+    """The passages of buckets in shorter ones under the names of a further level, as buckets of different ones. What equal passages decide is told."""
+    flat = [(k, x) for k, bucket in enumerate(buckets) for x in bucket]
+    texts = [x[0] for _, x in flat]
+    row, at, size, names, _ = kind.passages(texts, level)
+    parts = kind.contents(pa.array(texts, pa.binary()), row, at, size).to_pylist()
+    met: dict[tuple, dict[bytes, list]] = {}
+    for r, a, n, name, content in zip(row.tolist(), at.tolist(), size.tolist(), names.tolist(), parts):
+        k, (_, first, _, rows) = flat[r]
+        met.setdefault((k, name), {}).setdefault(content, []).append(((first[0], first[1] + a), [(doc, key, x + a, n) for doc, key, x, _ in rows]))
+    out = []
+    for same in met.values():
+        bucket = []
+        for content, held in same.items():
+            first = min(x for x, _ in held)
+            own: list = []
+            for x, rows in held:
+                if x[0] > first[0] or kind.again and x > first:
+                    told.extend((0, doc, key, a, -n, None) for doc, key, a, n in rows)
+                else:
+                    own += rows
+            bucket.append([content, first, None, own])
+        if len(bucket) > 1:
+            out.append(bucket)
+    return out
+
+
 def _renamed(kind: Kind, level: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     """The passages of rows, in shorter ones that are named by a further level."""
     for k in range(0, len(rows), 10_000):

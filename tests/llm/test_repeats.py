@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sigloom.llm.recompression import remove_passages, word_kind, words_left
+from sigloom.llm import repeats
 from sigloom.llm.repeats import apply, ranges
 from sigloom.llm.suffix_array import byte_kind, bytes_left, remove_substrings, suffix_array, suffix_arrays
 
@@ -80,10 +81,11 @@ def test_passages(spark, case):
 KINDS = [(byte_kind(50), bytes_left, "a long, b long, c long, d string", brute_bytes), (word_kind(20), words_left, "a long, b long, d string", brute_words)]
 
 
-@pytest.mark.parametrize("bucket", [1, 3])
+@pytest.mark.parametrize("bucket, few", [(1, 16), (3, 1), (512, 1)])
 @pytest.mark.parametrize("kind, left, columns, brute", KINDS)
-def test_buckets_that_are_split(spark, kind, left, columns, brute, bucket):
-    """A bucket of more rows than a task may hold is named anew, level by level, with the same result."""
+def test_buckets_that_are_split(spark, monkeypatch, kind, left, columns, brute, bucket, few):
+    """A bucket of more rows than a task may hold or compare is named anew, level by level, with the same result."""
+    monkeypatch.setattr(repeats, "FEW", few)
     rows = [*DOCS, *CASES["runs and periods"], *((100 + i, f"{text(i % 7)} {PASSAGE[0]} {text(i % 5)}") for i in range(20)), (None, PASSAGE[0]), (None, "z " + PASSAGE[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = apply(docs, ranges(docs, kind, bucket), left, columns)
