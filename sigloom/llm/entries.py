@@ -8,13 +8,13 @@ from .common import table
 from .chat_format import rotate_perspectives
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
-from .licence_scan import KNOWN, SPELLINGS, scan_licences
+from .licence_scan import DIGESTS, KNOWN, SPELLINGS, scan_licences
 from .packing import pack
 from .recompression import remove_passages
 from .resampling import resample
 from .simhash import near_duplicates
 from .suffix_array import remove_substrings
-from .url_filter import filter_urls
+from .url_filter import WORDS, filter_urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -39,21 +39,27 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES["op10_url_filter"] = op10_url_filter
-ORACLES["op10_url_filter"] = r"""
+def _url_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    words = ", ".join(f"({quoted(r.name)}, {quoted(r.pattern)})" for r in WORDS)
+    return rf"""
 WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-words(word) AS (VALUES ('casino'), ('cheap-pills'), ('escort'), ('free-money'), ('payday-loan'), ('porn'), ('replica-watches'), ('spam-farm'), ('viagra'), ('xxx')),
+words(word, pattern) AS (VALUES {words}),
 rest AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r FROM pages),
 cut AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 fit AS (
   SELECT c.page_id, c.host, c.path,
-    (SELECT max_by({'rule': r.host || r.path, 'verdict': r.verdict}, length(r.host || r.path)) FROM rules r
+    (SELECT max_by({{'rule': r.host || r.path, 'verdict': r.verdict}}, length(r.host || r.path)) FROM rules r
      WHERE (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path)) AS place,
-    (SELECT min(w.word) FROM words w WHERE regexp_matches(c.host || c.path, '(?i)(^|[^a-z0-9])' || w.word || '([^a-z0-9]|$)')) AS word
+    (SELECT min(w.word) FROM words w WHERE regexp_matches(c.host || c.path, w.pattern)) AS word
   FROM cut c)
 SELECT page_id, host, path, place.rule AS rule, coalesce(place.verdict, CASE WHEN word IS NULL THEN 'allow' ELSE 'block' END) AS verdict, word FROM fit
 """
 
 
+ORACLES["op10_url_filter"] = _url_sql()
+
+
 def op3_chat_format(spark, sf_dir):
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -89,16 +95,32 @@ def _canonical_sql(text: str) -> str:
     return rf"trim(regexp_replace({kept}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
-def _licence_sql() -> str:
-    known = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in KNOWN.items())
+def licence_copies(spark, sf_dir):
+    """op7 over texts that are known licences, as files tell them: under a copyright line, in capitals, with other white space."""
+    docs, names = table(spark, sf_dir, "documents"), sorted(KNOWN)
+    which = F.element_at(F.array(*(F.lit(KNOWN[n]) for n in names)), (F.col("doc_id") % len(names) + 1).cast("int"))
+    text = F.concat(F.lit("Copyright (c) 2020 "), "source", F.lit("\n\n"), F.replace(F.upper(which), F.lit(" "), F.when(F.col("doc_id") % 2 == 0, "  ").otherwise("\t")))
+    return scan_licences(docs.select("doc_id", text.alias("text")))
+
+
+QUERIES["licence_copies"] = licence_copies
+
+
+def _licence_sql(read: str) -> str:
+    pairs = lambda d: ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in d.items())
     return f"""
-WITH known AS (SELECT sha256({_canonical_sql("words")}) AS digest, min(licence) AS licence FROM (VALUES {known}) k(licence, words) GROUP BY 1),
-read AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS c FROM documents)
+WITH texts AS (SELECT * FROM (VALUES {pairs(KNOWN)}) k(licence, words)),
+known AS (SELECT digest, min(licence) AS licence FROM (SELECT sha256({_canonical_sql("words")}) AS digest, licence FROM texts UNION ALL SELECT digest, licence FROM (VALUES {pairs(DIGESTS)}) d(licence, digest)) GROUP BY 1),
+read AS ({read})
 SELECT doc_id, sha256(c) AS digest, licence FROM read LEFT JOIN known ON known.digest = sha256(c) AND c <> ''
 """
 
 
-ORACLES["op7_licence_scan"] = _licence_sql()
+ORACLES["op7_licence_scan"] = _licence_sql(f"SELECT doc_id, {_canonical_sql('coalesce(text, chr(0))')} AS c FROM documents".replace("chr(0)", "''"))
+ORACLES["licence_copies"] = _licence_sql(
+    f"""SELECT doc_id, {_canonical_sql("'Copyright (c) 2020 ' || source || chr(10) || chr(10) || replace(upper(words), ' ', CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE chr(9) END)")} AS c
+  FROM documents JOIN (SELECT words, row_number() OVER (ORDER BY licence) - 1 AS n FROM texts) t ON t.n = doc_id % {len(KNOWN)}"""
+)
 
 
 def op1_simhash_dedup(spark, sf_dir):

@@ -40,6 +40,9 @@ KNOWN = {
     "BSD-2-Clause": (
         "BSD 2-Clause License\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org/>"
     ),
@@ -49,6 +52,22 @@ KNOWN = {
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
 
+#: Digests of the canonical form of long licences, of their texts as published.
+DIGESTS: dict[str, str] = {
+    "Apache-2.0": "84ed161685d232dab5187a7a7101279668d583e8fcead2d41433e4fd4a1dbe68",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b",
+    "GFDL-1.3": "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d",
+    "GPL-1": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "LGPL-2": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+    "MPL-2.0": "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56",
+}
+
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, with equivalent spellings made one, and words joined by single spaces without punctuation."""
@@ -58,22 +77,25 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " "))
 
 
-def known_digests(spark, known: dict[str, str]) -> DataFrame:
-    """The licence of each digest; of licences with equal canonical texts the first by name."""
-    rows = spark.createDataFrame(list(known.items()) or [], "licence string, words string")
-    return rows.groupBy(F.sha2(canonical(F.col("words")), 256).alias("known")).agg(F.min("licence").alias("licence"))
+def known_digests(spark, known: dict[str, str], digests: dict[str, str]) -> DataFrame:
+    """The licence of each digest, of texts and of digests; of licences with equal canonical texts the first by name."""
+    texts = spark.createDataFrame(list(known.items()) or [], "licence string, words string").select(F.sha2(canonical(F.col("words")), 256).alias("known"), "licence")
+    given = spark.createDataFrame([(d, name) for name, d in digests.items()], "known string, licence string")
+    return texts.unionByName(given).groupBy("known").agg(F.min("licence").alias("licence"))
 
 
-def scan_licences(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+def scan_licences(docs: DataFrame, known: dict[str, str] | None = None, digests: dict[str, str] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, digest (of the whole canonical text), licence (null where the digest is not known).
 
-    A null text is an empty one; empty canonical texts match no licence. Null ids and repeated rows give a row each, an empty
-    table none. Columns but doc_id and text are not read. No row moves for the join: the known digests are broadcast, their
-    number being that of the texts passed in.
+    known: texts by licence, digests: digests of canonical texts by licence; by default those built in, both. A null text is an
+    empty one; empty canonical texts match no licence. Null ids and repeated rows give a row each, an empty table none. Columns
+    but doc_id and text are not read. No row moves for the join while there are few known digests, which are broadcast.
     """
-    known = KNOWN if known is None else known
-    digests = known_digests(docs.sparkSession, {k: v for k, v in known.items() if v})
-    digests = F.broadcast(digests) if len(known) <= BROADCAST_KNOWN else digests
+    if known is None and digests is None:
+        known, digests = KNOWN, DIGESTS
+    known, digests = {k: v for k, v in (known or {}).items() if v}, digests or {}
+    listed = known_digests(docs.sparkSession, known, digests)
+    listed = F.broadcast(listed) if len(known) + len(digests) <= BROADCAST_KNOWN else listed
     read = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canonical"))
     read = read.select("doc_id", F.sha2("canonical", 256).alias("digest"), (F.col("canonical") == "").alias("blank"))
-    return read.join(digests, (F.col("digest") == F.col("known")) & ~F.col("blank"), "left").select("doc_id", "digest", "licence")
+    return read.join(listed, (F.col("digest") == F.col("known")) & ~F.col("blank"), "left").select("doc_id", "digest", "licence")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Kind, RangeHashes, apply, mix, ranges, runs, slices, sliding_min
+from .repeats import Kind, RangeHashes, apply, first_places, mix, ranges, runs, slices, sliding_min
 from .suffix_array import grams_of
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -41,11 +41,11 @@ def _argmin_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) ->
     return out
 
 
-def window_names(words: np.ndarray, opens: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The name of every window of `length` words that starts at starts: the symbol that recompression gives it at last. words:
-    hashes of all words; opens: which of them begin a text."""
+def window_names(words: np.ndarray, opens: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The name of every window of `length` words that starts at starts, and where it stands: the symbol that recompression
+    gives it at last, the first of equal ones. words: hashes of all words; opens: which of them begin a text."""
     n = len(words)
-    named = np.zeros(len(starts), np.uint64)
+    named, places = np.zeros(len(starts), np.uint64), starts.copy()
     # runs; the first and the last one that a window has may go on outside it
     head = opens.copy()
     head[1:] |= words[1:] != words[:-1]
@@ -76,16 +76,18 @@ def window_names(words: np.ndarray, opens: np.ndarray, starts: np.ndarray, lengt
         sure = a < b
         gone = ~sure
         if gone.any():
-            named[live[gone]] = names[_argmin_between(mix(names), left[gone], right[gone])]
+            chosen = _argmin_between(mix(names), left[gone], right[gone])
+            named[live[gone]], places[live[gone]] = names[chosen], at[chosen]
         live, left, right = live[sure], parent[a[sure]], parent[b[sure] - 1] + 1
         following = np.append(names[1:], np.uint64(0))
-        names = np.where(pair, mix(names * _A + following * _B + _C), names)[head]
+        names, at = np.where(pair, mix(names * _A + following * _B + _C), names)[head], at[head]
         first = np.append(first[:m][head], True)
         turn += 1
         if turn >= 64 and len(live):  # a few symbols that never form a pair
-            named[live] = names[_argmin_between(mix(names), left, right)]
+            chosen = _argmin_between(mix(names), left, right)
+            named[live], places[live] = names[chosen], at[chosen]
             break
-    return named
+    return named, places
 
 
 def word_kind(length: int) -> Kind:
@@ -112,11 +114,13 @@ def word_kind(length: int) -> Kind:
         if level == 0:
             opens = np.zeros(n, bool)
             opens[(ends - counts)[counts > 0]] = True
-            names = window_names(words, opens, starts, length)
+            names, places = window_names(words, opens, starts, length)
         else:
             gram = grams[level]
-            names = sliding_min(whole(np.arange(n - gram + 1), np.arange(gram, n + 1)), length - gram + 1)[starts]
-        first, many = runs(names, starts, level < len(grams) - 1)
+            values = whole(np.arange(n - gram + 1), np.arange(gram, n + 1))
+            least = sliding_min(values, length - gram + 1)
+            names, places = least[starts], first_places(values, least, starts)
+        first, many = runs(names, starts, level < len(grams) - 1, places)
         start, stop = starts[first], starts[first] + many + length - 1
         row = row_of[start]
         return row, start - (ends - counts)[row], stop - start, names[first], whole(start, stop)

@@ -50,7 +50,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 class Kind:
     """How a kind of unit (bytes, words) is named and looked at.
 
-    again: whether a window that stands earlier in the same document counts.
+    again: whether a window that stands earlier in the same document counts; then no two windows of a passage are equal.
     levels: how often windows can be named, each time by longer pieces; at the last level every window is a passage.
     passages(texts, level) -> (row, place, size, name, hash) arrays over a batch of texts, in order of row and place.
     contents(texts, row, place, size) -> the contents of passages, as an Arrow array of bytes.
@@ -387,14 +387,18 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def runs(names: np.ndarray, starts: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+def runs(names: np.ndarray, starts: np.ndarray, whole: bool, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The runs of neighbouring windows of one name, as their first windows' indices and numbers of windows; of one window each
-    if not whole. starts: where the windows start, in order; those that do not follow each other part runs."""
+    if not whole. starts: where the windows start, in order; those that do not follow each other part runs. places: where what
+    names a window stands; with them a run is named by one place, and as that is at another distance from each window, no two
+    windows of a run are equal."""
     n = len(names)
     if not whole:
         return np.arange(n), np.ones(n, np.int64)
     head = np.ones(n, bool)
     head[1:] = (names[1:] != names[:-1]) | (starts[1:] != starts[:-1] + 1)
+    if places is not None:
+        head[1:] |= places[1:] != places[:-1]
     first = np.flatnonzero(head)
     many = np.diff(np.append(first, n))
     if len(many) and many.max() > SPAN:
@@ -405,6 +409,14 @@ def runs(names: np.ndarray, starts: np.ndarray, whole: bool) -> tuple[np.ndarray
     return first, many
 
 
+def first_places(values: np.ndarray, least: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each start the first index from it on whose value is least[start]."""
+    ranks = np.unique(values, return_inverse=True)
+    n = len(values)
+    keys = np.sort(ranks[1] * n + np.arange(n))
+    return keys[np.searchsorted(keys, np.searchsorted(ranks[0], least[starts]) * n + starts)] % n
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Neighbouring texts that are of `most` together, or single longer ones."""
     k = 0

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,8 +51,19 @@ def word(token: str, verdict: str = "block") -> Rule:
 
 #: The places that are allowed or blocked by name.
 PLACES = (place("org/", "allow"), place("example.org/es/", "block"), place("example.org/en/1", "block"), place("com/fr/", "allow"), place("com/de/", "block"))
-#: Words of hosts and paths that mark unwanted pages where no place decides.
-WORDS = tuple(map(word, ("casino", "cheap-pills", "escort", "free-money", "payday-loan", "porn", "replica-watches", "spam-farm", "viagra", "xxx")))
+#: Expressions over host and path that mark unwanted pages where no place decides, and the whole tokens that each of their
+#: matches holds. Several tokens are candidates; the rarest one in the URLs is what a rule is filed under.
+PATTERNS = (
+    ("adult hosts", r"(?i)\A(?:[^/]*[.])?adult-[a-z0-9]+[.]", ("adult",)),
+    ("casino offers", r"(?i)(?:\A|[^a-z0-9])casino[^a-z0-9]+(?:[a-z0-9]+[^a-z0-9]+)?(?:bonus|offers?)(?:[^a-z0-9]|\z)", ("casino",)),
+    ("cheap shops", r"(?i)\A(?:[^/]*[.])?cheap-[a-z0-9]+[.]example[.][a-z]+/[a-z]{2}/[0-9]+(?:/|\z)", ("cheap", "example")),
+    ("farm hosts", r"(?i)\A(?:[^/]*[.])?[a-z0-9]+-farm[.]example[.](?:com|net|org)(?:/|\z)", ("farm", "example")),
+    ("numbered spam", r"(?i)(?:\A|[.-])spam-[a-z]+[.][^/]*/(?:en|fr)/[0-9]{1,3}(?:/|\z)", ("spam",)),
+    ("payday loans", r"(?i)(?:\A|[^a-z0-9])payday[^a-z0-9]+loans?(?:[^a-z0-9]|\z)", ("payday",)),
+    ("replica watches", r"(?i)(?:\A|[^a-z0-9])replica[^a-z0-9]+(?:[a-z0-9]+[^a-z0-9]+)*watches(?:[^a-z0-9]|\z)", ("replica", "watches")),
+)
+#: Words of hosts and paths that mark unwanted pages.
+WORDS = (*(Rule(name, pattern, "block", literals, 0) for name, pattern, literals in PATTERNS), *map(word, ("escort", "free-money", "porn", "viagra", "xxx")))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -72,11 +83,18 @@ def filed(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """The rules, each under the rarest of its literal tokens. Counted over all urls; what comes to the driver is one count a literal."""
     spark = urls.sparkSession
     literals = sorted({x for r in rules for x in r.literals})
-    names = spark.createDataFrame([(x,) for x in literals], "token string")
+    names = _rows(spark, [(x,) for x in literals], "token string")
     found = urls.select(F.explode(tokens(F.concat("host", "path"))).alias("token")).join(_small(names, len(literals)), "token", "left_semi").groupBy("token").count()
     counts = {r["token"]: r["count"] for r in found.collect()}
     rows = [(min(r.literals, key=lambda x: (counts.get(x, 0), x), default=ALWAYS), r.name, r.pattern, r.verdict, r.rank, r.listed) for r in rules]
-    return spark.createDataFrame(rows, "token string, name string, pattern string, ruled string, rank int, listed boolean")
+    return _rows(spark, rows, "token string, name string, pattern string, ruled string, rank int, listed boolean")
+
+
+def _rows(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
+    """A few rows as literals; no task has to read them from Python."""
+    columns = [f.split() for f in fields.split(", ")]
+    structs = [F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, columns))) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs).cast("array<struct<" + ", ".join(f"{n}: {k}" for n, k in columns) + ">>")))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:

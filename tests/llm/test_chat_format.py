@@ -43,3 +43,14 @@ def test_mask_covers_the_speaker(spark):
     rows = rotate_perspectives(spark.createDataFrame(CASES["three speakers"], "conv_id long, turn long, role string, text string")).filter("perspective = 'bob'").orderBy("start").collect()
     whole = "".join(r["segment"] for r in rows)
     assert [whole[r["mask_start"] : r["mask_end"]] for r in rows if r["mask_start"] is not None] == ["hé 😀<|im_end|>"]
+
+
+def test_turns_without_a_number_come_first(spark):
+    rows = [("c", 1, "b", "one"), ("c", None, "a", "none"), ("c", -300, "b", "before"), ("c", 700, "a", "last"), (None, None, "z", "")]
+    got = rotate_perspectives(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()
+    for person in ("a", "b"):
+        own = sorted((r for r in got if r["conv_id"] == "c" and r["perspective"] == person), key=lambda r: r["start"])
+        assert [r["turn"] for r in own] == [None, -300, 1, 700]
+        assert [r["start"] for r in own] == [sum(len(x["segment"]) for x in own[:k]) for k in range(4)]
+        assert all("".join(x["segment"] for x in own)[r["mask_start"] : r["mask_end"]] == r["segment"][r["mask_start"] - r["start"] : -1] for r in own if r["mask_start"] is not None)
+    assert sum(r["conv_id"] is None for r in got) == 1

@@ -1,7 +1,10 @@
+import os
+
+import pytest
 import pytest
 from pyspark.sql import functions as F
 
-from sigloom.llm.licence_scan import KNOWN, scan_licences
+from sigloom.llm.licence_scan import DIGESTS, KNOWN, scan_licences
 
 MIT = KNOWN["MIT"]
 SAME = [MIT, MIT.upper(), "Copyright (c) 2019 A. Person\n\n" + MIT, "  © 2020 me\n" + MIT.replace("license", "licence").replace("sublicense", "sub-license"), MIT.replace(",", " ").replace("\n", "\r\n"), MIT.replace(". ", ".\n * ")]
@@ -29,3 +32,18 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert scan_licences(empty).count() == 0
     assert scan_licences(spark.createDataFrame([(1, "a")], "doc_id long, text string"), {}).collect()[0]["licence"] is None
+
+
+SYSTEM = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(SYSTEM), reason="no licence texts on this system")
+def test_published_texts(spark):
+    """Whole licences as published, and told in other words of the same meaning, in capitals, and under a copyright line."""
+    files = {n: open(f"{SYSTEM}/{n}", encoding="utf-8", errors="replace").read() for n in os.listdir(SYSTEM) if n in DIGESTS}
+    assert files
+    forms = (lambda t: t, lambda t: "Copyright (c) 2024 A. Person\n\n" + t.upper(), lambda t: t.replace(" license", " licence").replace(",", " , "), lambda t: t + "\nand more")
+    rows = [(k, n, f(t)) for n, t in files.items() for k, f in enumerate(forms)]
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in scan_licences(docs).collect()}
+    assert got == {i: n if k < 3 else None for i, (k, n, _) in enumerate(rows)}

@@ -60,6 +60,7 @@ CASES = {
     "passages": DOCS,
     "copies": [(5, DOCS[0][1]), (3, DOCS[0][1]), (9, DOCS[0][1] + " x"), (4, "y " + DOCS[0][1]), (None, DOCS[0][1]), (None, DOCS[1][1])],
     "runs and periods": [(1, "aa " * 100), (2, "aa " * 30), (3, "aa bb " * 60), (4, "x " + "aa bb " * 15 + "y"), (5, "x" * 300), (6, "x" * 49), (7, "x" * 50), (8, "abcdefg" * 20), (9, "")],
+    "periods of one document": [(1, "se cion ciez ear asja. " * 5), (2, "a b c d e f g " * 9), (3, " ".join(f"p{k}" for k in range(23)) + " q r s " * 11)],
     "repeated rows": [(1, PASSAGE[0]), (2, PASSAGE[0]), (2, PASSAGE[0]), (2, "p " + PASSAGE[0]), (3, None), (3, "")],
     "long": [(1, PASSAGE[1]), (2, text(30_000) + " " + PASSAGE[1] + " " + text(100))],
     "empty": [],
@@ -86,7 +87,7 @@ KINDS = [(byte_kind(50), bytes_left, "a long, b long, c long, d string", brute_b
 def test_buckets_that_are_split(spark, monkeypatch, kind, left, columns, brute, bucket, few):
     """A bucket of more rows than a task may hold or compare is named anew, level by level, with the same result."""
     monkeypatch.setattr(repeats, "FEW", few)
-    rows = [*DOCS, *CASES["runs and periods"], *((100 + i, f"{text(i % 7)} {PASSAGE[0]} {text(i % 5)}") for i in range(20)), (None, PASSAGE[0]), (None, "z " + PASSAGE[0])]
+    rows = [*DOCS, *CASES["runs and periods"], *((200 + i, t) for i, t in CASES["periods of one document"]), *((100 + i, f"{text(i % 7)} {PASSAGE[0]} {text(i % 5)}") for i in range(20)), (None, PASSAGE[0]), (None, "z " + PASSAGE[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = apply(docs, ranges(docs, kind, bucket), left, columns)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
@@ -125,6 +126,11 @@ def test_a_window_is_named_alike_wherever_it_stands(window, before, after, level
         inner = named(window)
         assert inner == named(before + window + after)[len(before) : len(before) + len(inner)]
         assert inner == [named(window[k : k + 8])[0] for k in range(len(inner))]
+        if kind.again:
+            _, at, size, _, _ = kind.passages([join([x.encode() for x in window])], level)
+            for a, n in zip(at.tolist(), size.tolist()):
+                own = [tuple(window[k : k + 8]) for k in range(a, a + n - 7)]
+                assert len(set(own)) == len(own)
 
 
 def test_runs_of_nul(spark):
