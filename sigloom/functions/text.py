@@ -167,3 +167,25 @@ def plural(count: Column, noun: str) -> Column:
 
 def code_fence_stripped(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(text), r"(?s)\A```(?:json)?\s*(.*?)\s*```\z", "$1"))
+
+
+#: What is cut off the edges of phrases.
+EDGES = ",;:.-—–!?\"' \t\n"
+
+
+def phrase(text: Column, words: int) -> Column:
+    """The first words of a text, without punctuation at the edges."""
+    kept = F.slice(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), 1, words)
+    return F.btrim(F.array_join(kept, " "), F.lit(EDGES))
+
+
+def clean_title(title: Column) -> Column:
+    """A title without the name of its site: what follows the last of the first separator that leaves two words and cuts off five at most, itself counted."""
+    bare = normalize_whitespace(title)
+    count = lambda c: F.size(F.filter(F.split(c, " "), lambda w: w != ""))
+    out = bare
+    for mark in reversed(L.TITLE_SEPARATORS):
+        at = F.length(bare) - F.length(F.substring_index(bare, mark, -1)) - len(mark)
+        head, tail = F.substring(bare, F.lit(1), at), F.substring(bare, at + 1, F.length(bare))
+        out = F.when(F.contains(bare, F.lit(mark)) & (count(head) >= 2) & (count(tail) <= 5), F.trim(head)).otherwise(out)
+    return out

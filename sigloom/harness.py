@@ -35,8 +35,10 @@ MODEL = {
     "rule": """SELECT r_regionkey AS rule_id, r_name AS name, r_regionkey <> 4 AS enabled, CASE r_regionkey WHEN 0 THEN 'retain' WHEN 1 THEN 'save' WHEN 2 THEN 'mark_important' ELSE 'create_attention_event' END AS action,
         CASE r_regionkey WHEN 0 THEN NULL WHEN 1 THEN 'src1' WHEN 2 THEN NULL WHEN 3 THEN 'src3' ELSE 'src4' END AS source_filter, CASE r_regionkey WHEN 2 THEN 'rss' ELSE NULL END AS kind_filter,
         CASE r_regionkey WHEN 0 THEN 'TH' WHEN 1 THEN NULL WHEN 2 THEN 'le' ELSE NULL END AS title_pattern, CASE r_regionkey WHEN 3 THEN 'en' ELSE NULL END AS author_pattern,
+        CASE r_regionkey WHEN 2 THEN 'ou' ELSE NULL END AS content_pattern, CASE r_regionkey WHEN 3 THEN 'EXAMPLE.org/SRC3/1' ELSE NULL END AS url_pattern,
         CASE r_regionkey WHEN 1 THEN 1704067200 + 6000 ELSE NULL END AS published_after FROM region""",
     "rule_execution": "SELECT p_partkey AS item_id, p_size % 5 AS rule_id, CASE WHEN p_size % 3 = 0 THEN 'matched' ELSE 'skipped' END AS result FROM part",
+    "item_relation": """SELECT DISTINCT l_partkey AS from_item, l_partkey % 97 + 1 AS to_item, CASE l_linenumber WHEN 6 THEN 'same_change' WHEN 7 THEN 'contradicts' ELSE 'related' END AS relation FROM lineitem WHERE l_linenumber > 4""",
     "insight": """SELECT c_custkey AS insight_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'question' WHEN 'MACHINERY' THEN 'hypothesis' WHEN 'AUTOMOBILE' THEN 'investigation' WHEN 'FURNITURE' THEN 'insight' ELSE 'decision_candidate' END AS kind,
         CASE WHEN c_acctbal > 0 THEN 'open' ELSE 'resolved' END AS status, c_name AS statement FROM customer""",
     "insight_signal": "SELECT o_custkey AS insight_id, o_orderkey AS signal_id FROM orders WHERE o_orderkey % 3 = 0",

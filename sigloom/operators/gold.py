@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
@@ -68,3 +68,46 @@ def via_connections(connections: DataFrame, edges: DataFrame) -> DataFrame:
     matched = connections.filter("relation = 'matches'").groupBy("signal_id", F.col("target_id").alias("a")).agg(F.max("strength").alias("strength"))
     near = matched.join(edges, "a").groupBy("signal_id", F.col("b").alias("target_id")).agg(F.round(F.max("strength") * 0.5, 6).alias("strength"))
     return near.join(connections.select("signal_id", "target_id").distinct(), ["signal_id", "target_id"], "left_anti")
+
+
+def timeline(evidence: DataFrame, signals: DataFrame, sources: DataFrame, connections: DataFrame, contexts: DataFrame, insights: DataFrame) -> DataFrame:
+    """signal_id, at, kind, ref: what happened to signals, of seven kinds. sources and contexts: source_id or context_id, and at
+    when they came; they stand once for every signal that they are behind. insights: signal_id, insight_id, at."""
+    seen = timeline_roles(evidence).select("signal_id", "at", "kind", F.col("item_id").alias("ref"))
+    made = signals.select("signal_id", F.col("created_at").alias("at"), F.lit("signal_created").alias("kind"), F.col("signal_id").alias("ref"))
+    added = evidence.select("signal_id", "source_id").distinct().join(sources, "source_id").select("signal_id", "at", F.lit("source_added").alias("kind"), F.col("source_id").alias("ref"))
+    named = connections.filter("relation = 'matches'").select("signal_id", F.col("target_id").alias("context_id")).distinct()
+    cared = named.join(contexts, "context_id").select("signal_id", "at", F.lit("context_added").alias("kind"), F.col("context_id").alias("ref"))
+    saved = insights.select("signal_id", "at", F.lit("insight_saved").alias("kind"), F.col("insight_id").alias("ref"))
+    out = seen.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    for more in (made, added, cared, saved):
+        out = out.unionByName(more.withColumn("at", F.col("at").cast("timestamp_ntz")))
+    return out
+
+
+def is_meaningful(primary: Column, matched: Column, consolidates: Column, fresh: Column, kind: Column) -> Column:
+    """Whether an item is worth a signal: its user's own URL, a context that matches, a change that is known, or a concrete change that is fresh."""
+    return primary | matched | consolidates | (fresh & (kind != "describes"))
+
+
+def bundle_pairs(signals: DataFrame, evidence: DataFrame, relations: DataFrame, connections: DataFrame) -> DataFrame:
+    """a, b, relation: how the signals of a bundle (signal_id, place; eight at most) relate: as items of theirs do, in either
+    direction, else by a context that both match. Of several relations the first by name stands."""
+    own = evidence.join(F.broadcast(signals), "signal_id").select("item_id", "place").distinct()
+    ends = relations.join(own.select(F.col("item_id").alias("from_item"), F.col("place").alias("x")), "from_item").join(own.select(F.col("item_id").alias("to_item"), F.col("place").alias("y")), "to_item")
+    told = ends.filter("x <> y").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.lit(0).alias("rank"), "relation")
+    held = connections.filter("relation = 'matches'").join(F.broadcast(signals), "signal_id").select("target_id", "place").distinct()
+    both = held.select("target_id", F.col("place").alias("i")).join(held.select("target_id", F.col("place").alias("j")), "target_id").filter("i < j")
+    met = told.unionByName(both.select("i", "j", F.lit(1).alias("rank"), F.lit("shared_context").alias("relation"))).groupBy("i", "j").agg(F.min(F.struct("rank", "relation"))["relation"].alias("relation"))
+    a, b = (signals.select(F.col("signal_id").alias(x), F.col("place").alias(y)) for x, y in ("ai", "bj"))
+    return met.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("a", "b", "relation")
+
+
+def signal_detail(evidence: DataFrame, connections: DataFrame, insights: DataFrame) -> DataFrame:
+    """signal_id with the items that observed it in the order they came, its claims in their order, the contexts it matches, and the insights that cite it (signal_id, insight_id)."""
+    items = observations(evidence).groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first_at", "item_id"))), lambda x: x["item_id"]).alias("items"))
+    rank = case(F.col("claim"), L.CLAIM_PRIORITY)
+    claims = evidence.select("signal_id", "claim", rank.alias("rank")).distinct().groupBy("signal_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "claim"))), lambda x: x["claim"]).alias("claims"))
+    contexts = connections.filter("relation = 'matches'").groupBy("signal_id").agg(F.array_sort(F.collect_set("target_id")).alias("contexts"))
+    cited = insights.groupBy("signal_id").agg(F.array_sort(F.collect_set("insight_id")).alias("insights"))
+    return items.join(claims, "signal_id", "left").join(contexts, "signal_id", "left").join(cited, "signal_id", "left")

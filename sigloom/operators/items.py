@@ -35,6 +35,8 @@ def rule_matches() -> Column:
         & fits("source_filter", F.col("source_id") == F.col("source_filter"))
         & fits("kind_filter", F.col("source_kind") == F.col("kind_filter"))
         & fits("title_pattern", contains_ci(F.col("title"), F.col("title_pattern")))
+        & fits("content_pattern", contains_ci(F.col("content_text"), F.col("content_pattern")))
+        & fits("url_pattern", contains_ci(F.col("canonical_url"), F.col("url_pattern")))
         & fits("author_pattern", contains_ci(F.col("author"), F.col("author_pattern")))
         & fits("published_after", F.col("published_at") >= F.col("published_after"))
     )
@@ -43,6 +45,8 @@ def rule_matches() -> Column:
 def apply_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
     """One execution per new item and rule, skipped ones too. That is what the log is: items times rules. Rules are what users
     have written; they are broadcast if there are no more of them than BROADCAST_RULES, which is looked at first."""
+    for c in ("content_pattern", "url_pattern"):
+        rules = rules if c in rules.columns else rules.withColumn(c, F.lit(None).cast("string"))
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     return items.crossJoin(F.broadcast(rules) if few else rules).select("item_id", "rule_id", "action", F.when(rule_matches(), "matched").otherwise("skipped").alias("result"))
 

@@ -93,3 +93,12 @@ def envelope(rows: DataFrame) -> DataFrame:
 def label(status: Column, surfaces: Column) -> Column:
     """What is being watched, in words."""
     return F.when(status == "paused", "Paused").when(surfaces == 0, "Looking for information surfaces").otherwise(F.concat(F.lit("Watching "), surfaces.cast("string"), F.lit(" surface"), F.when(surfaces == 1, "").otherwise("s")))
+
+
+def pass_record(due: DataFrame, found: DataFrame) -> DataFrame:
+    """The record of one pass: how many sources were due and observed, what is new, and what failed. found: source_id, status, new_items."""
+    met = due.select("source_id").join(found, "source_id", "left")
+    return met.agg(
+        F.countDistinct("source_id").alias("due"), F.countDistinct(F.when(F.col("status").isNotNull(), F.col("source_id"))).alias("observed"),
+        F.coalesce(F.sum("new_items"), F.lit(0)).cast("long").alias("new_items"), F.count_if(F.col("status") == "failed").alias("failures"),
+    )

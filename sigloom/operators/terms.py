@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,28 @@ def change_verbs(texts: DataFrame, keep: str, column: str) -> DataFrame:
     first = F.get(F.array_sort(F.filter(found, lambda f: f["at"] > 0)), F.lit(0))
     same_size = F.octet_length(low) == F.octet_length(F.col(column))
     return texts.filter(same_size).select(keep, first.alias("f")).filter("f IS NOT NULL").select(keep, "f.kind", "f.verb")
+
+
+def surface_forms(items: DataFrame) -> DataFrame:
+    """item_id, stem, form: for each stem of an item the form in which it is written first, title before content."""
+    words = lambda c: F.transform(F.split(F.col(c), rf"[^{T.WORD_CHARS}\-']+"), lambda w: F.btrim(w, F.lit("-'")))
+    at = items.select("item_id", F.posexplode(F.concat(words("title"), words("content_text"))).alias("at", "word")).filter("word <> ''")
+    first = at.groupBy("item_id", "word").agg(F.min("at").alias("at"))
+    return first.groupBy("item_id", T.stem(F.col("word")).alias("stem")).agg(F.min_by("word", "at").alias("form"))
+
+
+def disputes(items: DataFrame) -> DataFrame:
+    """item_id, place of the sentences (0 is the title) that deny something, in whole words."""
+    said = F.concat(F.array("title"), F.slice(T.sentences(F.col("content_text")), 1, 80))
+    denial = "|".join(re.escape(d) for d in L.DENIALS)
+    return items.select("item_id", F.posexplode(said).alias("place", "sentence")).filter(F.lower("sentence").rlike(rf"(?<![{T.WORD_CHARS}])(?:{denial})(?![{T.WORD_CHARS}])")).select("item_id", "place")
+
+
+def stances(links: DataFrame, items: DataFrame, own: DataFrame) -> DataFrame:
+    """links (item_id, prior_id) with the stance of the item: it contradicts where a sentence that denies holds a term that both
+    share (own: item_id, term), else it supports."""
+    said = items.select("item_id", F.posexplode(F.concat(F.array("title"), F.slice(T.sentences(F.col("content_text")), 1, 80))).alias("place", "sentence"))
+    denying = said.join(disputes(items), ["item_id", "place"], "left_semi").select("item_id", F.explode(F.array_distinct(T.stems(F.col("sentence")))).alias("term")).distinct()
+    shared = links.select("item_id", "prior_id").join(own, "item_id").join(own.select(F.col("item_id").alias("prior_id"), "term"), ["prior_id", "term"])
+    against = shared.join(denying, ["item_id", "term"], "left_semi").select("item_id", "prior_id").distinct().withColumn("against", F.lit(True))
+    return links.join(against, ["item_id", "prior_id"], "left").withColumn("stance", F.when(F.col("against"), "contradicts").otherwise("supports")).drop("against")

@@ -68,6 +68,7 @@ def saved_filters(m):
 
 @query("""SELECT item_id, rule_id, action, CASE WHEN enabled AND (source_filter IS NULL OR source_id = source_filter) AND (kind_filter IS NULL OR source_kind = kind_filter)
   AND (title_pattern IS NULL OR contains(lower(title), lower(title_pattern))) AND (author_pattern IS NULL OR contains(lower(author), lower(author_pattern)))
+  AND (content_pattern IS NULL OR contains(lower(content_text), lower(content_pattern))) AND (url_pattern IS NULL OR contains(lower(canonical_url), lower(url_pattern)))
   AND (published_after IS NULL OR published_at >= published_after) THEN 'matched' ELSE 'skipped' END AS result FROM item CROSS JOIN rule""")
 def rule_matches(m):
     """Every rule on every new item, skipped ones logged too."""

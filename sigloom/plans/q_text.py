@@ -94,16 +94,28 @@ def fingerprints(m):
     return m.item.select("item_id", ids.fingerprint(c("title"), c("content_text"), c("canonical_url"), c("canonical_identity"), c("author"), c("published_at").cast("string")).alias("fingerprint"))
 
 
-@query("SELECT doc_id, sha256(array_to_string(list_filter(list_transform(str_split(text, chr(10)), lambda b: trim(regexp_replace(b, '\\s+', ' ', 'g'))), lambda b: b <> ''), chr(10))) AS content_hash FROM documents WHERE NOT regexp_matches(text, '[0-9]')")
+BARE = r"[^\p{L}\p{N}\s]*"
+AGO = rf"(^| ){BARE}[0-9]+{BARE} {BARE}(?i:seconds?|minutes?|hours?|secs?|mins?){BARE} (?i:ago)[^\s]*"
+JUST = rf"(^| ){BARE}(?i:just){BARE} (?i:now)[^\s]*"
+EDGE = r"regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
+DIGITS = rf"length(regexp_replace({EDGE}, '[^0-9]', '', 'g'))"
+MASK = rf"(length({EDGE}) >= 16 AND regexp_matches({EDGE}, '^[0-9a-fA-F-]+$')) OR (contains({EDGE}, ':') AND regexp_matches({EDGE}, '^[0-9:]+$') AND {DIGITS} >= 3) OR ({DIGITS} >= 6 AND contains({EDGE}, 'T') AND contains({EDGE}, '-'))"
+LINE = rf"regexp_replace(regexp_replace(trim(regexp_replace(b, '\s+', ' ', 'g')), '{AGO}', '\1#', 'g'), '{JUST}', '\1#', 'g')"
+BLOCKS = rf"list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda b: array_to_string(list_transform(str_split({LINE}, ' '), lambda w: CASE WHEN {MASK} THEN '#' ELSE w END), ' ')), lambda b: trim(b) <> '')"
+
+
+@query(f"SELECT doc_id, sha256(array_to_string({BLOCKS}, chr(10))) AS content_hash FROM documents")
 def content_hash(m):
-    """The hash of the blocks; of texts without digits, where nothing is masked. The mask has its own tests."""
-    return m.documents.filter(~F.col("text").rlike("[0-9]")).select("doc_id", ids.block_hash(T.normalized_blocks(F.col("text"))).alias("content_hash"))
+    """The hash of the blocks of every text."""
+    return m.documents.select("doc_id", ids.block_hash(T.normalized_blocks(F.col("text"))).alias("content_hash"))
 
 
-@query(name="block_normalise")
+@query(f"SELECT doc_id, array_to_string({BLOCKS}, chr(10)) AS blocks FROM (SELECT doc_id, text || chr(10) || '  seen 5 minutes  ago, (3 Hours) ago! at 2024-01-0' || doc_id % 9 || 'T10:00:00Z or 12:30:0' || doc_id % 9 || ' just now. id ' || md5(text) || ' no:1' AS text FROM documents)")
 def block_normalise(m):
-    """Blocks with what changes by itself masked; needs look-around, so there is no SQL for the oracle."""
-    return m.documents.select("doc_id", T.normalized_blocks(F.col("text")).alias("blocks"))
+    """Blocks with what changes by itself masked; each text has one line more that holds all that is masked."""
+    n = (F.col("doc_id") % 9).cast("string")
+    line = F.concat(F.lit("\n  seen 5 minutes  ago, (3 Hours) ago! at 2024-01-0"), n, F.lit("T10:00:00Z or 12:30:0"), n, F.lit(" just now. id "), F.md5("text"), F.lit(" no:1"))
+    return m.documents.select("doc_id", F.array_join(T.normalized_blocks(F.concat("text", line)), "\n").alias("blocks"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), '|') AS kept FROM (SELECT doc_id, str_split(text, ' ') AS l FROM documents)")
@@ -112,9 +124,14 @@ def repeats_removed(m):
     return m.documents.select("doc_id", F.array_join(T.without_repeats(F.split("text", " ")), "|").alias("kept"))
 
 
-@query(name="sentences")
+_ENDS = "regexp_replace({0}, '([.!?])([ \\t\\r\\f])([^a-z]|$)', '\\1' || chr(10) || '\\2\\3', 'g')"
+#: Twice, as an end may be the beginning of the next.
+SENTENCES = rf"list_filter(list_transform(str_split({_ENDS.format(_ENDS.format('{0}'))}, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(regexp_replace(s, '[^\p{{{{L}}}}\p{{{{N}}}}]', '', 'g')) >= 3)"
+
+
+@query(f"SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1)::INTEGER - 1 AS place FROM (SELECT doc_id, {SENTENCES.format('text')} AS l FROM documents)")
 def sentences(m):
-    """Verbatim sentences; needs look-around, so there is no SQL for the oracle."""
+    """Verbatim sentences."""
     return m.documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("place", "sentence"))
 
 
@@ -136,14 +153,44 @@ def grounded_excerpts(m):
     return m.documents.crossJoin(F.broadcast(b)).select("doc_id", T.grounded(F.col("text"), F.col("text2")).alias("grounded"), "item_id")
 
 
-@query(name="change_verb")
+def _verbs() -> list[tuple[str, str]]:
+    from .. import lexicon as L
+
+    return [(k, v) for k, vs in L.CHANGE_VERBS.items() for v in vs]
+
+
+def _verb_sql() -> str:
+    import re as _re
+
+    rows = ", ".join(f"({i}, '{k}', '{v}', '{_re.escape(v).replace(chr(92) + ' ', ' ').replace(chr(92) + '-', '-')}')" for i, (k, v) in enumerate(_verbs()))
+    edge = r"[^\p{L}\p{N}]"
+    return rf"""WITH verbs(i, kind, verb, pattern) AS (VALUES {rows}), d AS (SELECT doc_id, text || ' it ' || verb || ' this' AS text FROM documents JOIN verbs ON i = doc_id % {len(_verbs())}),
+t AS (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM d WHERE strlen(lower(text)) = strlen(text)),
+p AS (SELECT doc_id, i, kind, verb, length(regexp_extract(t, '(?s)^(.*?){edge}' || pattern || '{edge}', 1)) AS pos FROM t JOIN verbs ON contains(t, verb) AND regexp_matches(t, '{edge}' || pattern || '{edge}'))
+SELECT doc_id, arg_min(kind, (pos, i)) AS kind, arg_min(verb, (pos, i)) AS verb FROM p GROUP BY 1"""
+
+
+@query(_verb_sql())
 def change_verb(m):
-    """The first verb of change in each title; look-around again."""
-    lines = m.documents.select("doc_id", F.concat(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), F.lit(" now released")).alias("title"))
-    return terms.change_verbs(lines, "doc_id", "title")
+    """The first verb of change in each text, to each of which one of the verbs in turn is added."""
+    which = F.element_at(T.lit_array([v for _, v in _verbs()]), (F.col("doc_id") % len(_verbs()) + 1).cast("int"))
+    return terms.change_verbs(m.documents.select("doc_id", F.concat("text", F.lit(" it "), which, F.lit(" this")).alias("title")), "doc_id", "title")
+
+
+def _topic_sql() -> str:
+    from .. import lexicon as L
+    from ..operators.interpret import padded
+
+    rows = ", ".join(f"({i}, '{k}', '{padded(p)}')" for i, (k, ps) in enumerate(L.TOPICS.items()) for p in ps)
+    own = lambda c: f"' ' || array_to_string(list_transform({TOKENS.format(c)}, lambda t: {_stem('t')}), ' ') || ' '"
+    other = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.TOPIC_OF_KIND.items())
+    return f"""WITH phrases(rank, topic, needle) AS (VALUES {rows}), said AS (SELECT item_id, unnest(list_slice({SENTENCES.format('content_text')}, 1, 80)) AS s FROM item),
+stemmed AS (SELECT item_id, {own('s')} AS b, 1.0::DOUBLE AS w FROM said UNION ALL SELECT item_id, {own('title')}, 3.0::DOUBLE FROM item),
+scores AS (SELECT item_id, rank, topic, sum(w) AS score FROM stemmed JOIN phrases ON contains(b, needle) GROUP BY 1, 2, 3), best AS (SELECT item_id, arg_max(topic, (score, -rank)) AS topic, max(score) AS score FROM scores GROUP BY 1)
+SELECT item.item_id, coalesce(best.topic, CASE source_kind {other} ELSE 'General' END) AS topic, round(CASE WHEN score IS NULL THEN 0.1 ELSE least(1.0, score / 8.0) END, 3)::DOUBLE AS confidence FROM item LEFT JOIN best ON best.item_id = item.item_id"""
 
 
-@query(name="topic_of_items")
+@query(_topic_sql())
 def topic_of_items(m):
     """The topic of each item."""
     return terms.topics(m.item)

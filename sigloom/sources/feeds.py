@@ -104,6 +104,17 @@ def page_items(pages: DataFrame) -> DataFrame:
 ADAPTERS = {"rss": xml_entries, "atom": xml_entries, "json_feed": json_entries}
 
 
+def dispatched(documents: DataFrame) -> DataFrame:
+    """documents (feed_id, adapter_kind, body): the entries that the adapter of each document's source reads, and for kinds that
+    have none a row with the error."""
+    columns = [c.split(" ")[0] for c in NORMALIZED.split(", ")]
+    read = [adapter(documents.filter(F.col("adapter_kind") == kind)).select(*columns, F.lit(None).cast("string").alias("error")) for kind, adapter in ADAPTERS.items()]
+    other = documents.filter(F.col("adapter_kind").isNull() | ~F.col("adapter_kind").isin(*ADAPTERS))
+    error = F.concat(F.lit("no source adapter registered for "), F.coalesce("adapter_kind", F.lit("none")))
+    refused = other.select("feed_id", *(F.lit(None).cast("string").alias(c) for c in columns[1:]), error.alias("error"))
+    return reduce(DataFrame.unionByName, [*read, refused])
+
+
 def robots_rules(files: DataFrame, agent: str = "sigloom") -> DataFrame:
     """files (site, body): site, verdict, prefix of the rules that apply to all agents or to one that holds `agent`. A group of
     user-agent lines is one block; it ends with the first rule."""

@@ -14,7 +14,7 @@ STATE = "item_id long, state string, at timestamp, states int"
 
 
 def new_items(items: DataFrame, late: str | None = None) -> DataFrame:
-    """Items of a stream that were not seen just so before (`fingerprint`). With `late`, what is known is forgotten that long
+    """Arriving items that were not seen just so before (`fingerprint`). With `late`, what is known is forgotten that long
     after it came; without, it is kept for good, as items are."""
     if late is None:
         return items.dropDuplicates(["fingerprint"])
