@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import inspect
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import lexicon as L
 from .functions import ids
 from .functions import text as T
 from .functions import url as U
-from .operators import answers, gold, items, observe, ranking, retrieval
+from .operators import answers, gold, items, observe, ranking, records, retrieval
 
 
 class InvalidInput(ValueError):
@@ -20,6 +21,10 @@ class NotFound(LookupError):
     pass
 
 
+class UnknownCapability(LookupError):
+    pass
+
+
 class Engine:
     """tables: name -> DataFrame of the collections that are asked for (item, item_state, signal, evidence, source, connection,
     item_link, rule, rule_execution, context, insight, insight_signal, observation, snapshot, target)."""
@@ -27,6 +32,18 @@ class Engine:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
         self.spark, self.tables = spark, tables
 
+    def call(self, capability: str, **given):
+        """What a capability (a method, with `.` or `_` between its words) gives. Errors are UnknownCapability, InvalidInput (also for parameters that do not fit) and NotFound."""
+        name = capability.replace(".", "_")
+        method = getattr(type(self), name, None) if name and not name.startswith("_") and name != "call" else None
+        if not callable(method):
+            raise UnknownCapability(capability)
+        try:
+            inspect.signature(method).bind(self, **given)
+        except TypeError as e:
+            raise InvalidInput(f"{capability}: {e}") from None
+        return method(self, **given)
+
     def _t(self, name: str) -> DataFrame:
         if name not in self.tables:
             raise NotFound(f"no table {name}")
@@ -75,6 +92,16 @@ class Engine:
     def signal_get(self, signal_id) -> dict[str, DataFrame]:
         return {n: self._one(n, "signal_id", signal_id) for n in ("signal", "evidence", "connection")} | {"observations": gold.observations(self._one("evidence", "signal_id", signal_id))}
 
+    def signal_detail(self, signal_id) -> DataFrame:
+        """One row: the items of a signal in first-seen order, its claims, contexts and insights."""
+        return gold.signal_detail(*(self._one(n, "signal_id", signal_id) for n in ("evidence", "connection", "insight_signal")))
+
+    def signal_resolve(self, signal_id) -> DataFrame:
+        return self.signal_status(signal_id, "resolved")
+
+    def signal_dismiss(self, signal_id) -> DataFrame:
+        return self.signal_status(signal_id, "dismissed")
+
     def signal_status(self, signal_id, status: str) -> DataFrame:
         if status not in ("open", "resolved", "dismissed"):
             raise InvalidInput(f"no status {status}")
@@ -126,22 +153,66 @@ class Engine:
     def observation_status(self) -> DataFrame:
         return self._t("source").agg(F.count("*").alias("sources"), F.count_if(F.col("status") == "paused").alias("paused"), F.min("next_observation_at").alias("next_due"))
 
+    def target_get(self, target_id) -> dict[str, DataFrame]:
+        return {"target": self._one("target", "target_id", target_id), "sources": self.target_sources(target_id)}
+
+    def target_sources(self, target_id) -> DataFrame:
+        return self._one("source", "target_id", target_id)
+
+    def target_add(self, text: str) -> DataFrame:
+        row = self.target_parse(text).first()
+        if row["error"] or row["canonical"] is None:
+            raise InvalidInput(row["error"] or "no http(s) URL")
+        return self.target_parse(text).select(ids.target_id(F.col("canonical"), F.col("scope")).alias("target_id"), "canonical", "scope", F.lit("watching").alias("status"))
+
+    def target_status(self, target_id, status: str) -> DataFrame:
+        """The target, paused or resumed; it stays in any case."""
+        if status not in ("paused", "watching"):
+            raise InvalidInput(f"no status {status}")
+        return self._one("target", "target_id", target_id).withColumn("status", F.lit(status))
+
+    def target_pause(self, target_id) -> DataFrame:
+        return self.target_status(target_id, "paused")
+
+    def target_resume(self, target_id) -> DataFrame:
+        return self.target_status(target_id, "watching")
+
+    def observation_run(self, now: int, force: bool = False) -> DataFrame:
+        """The record of a pass over what is due."""
+        return records.pass_record(self.observation_due(now, force), self._t("observation"))
+
     # rules and attention
+    def attention_list(self) -> DataFrame:
+        """What rules have called attention to: matched executions of rules that create events."""
+        calls = self._t("rule").filter("action = 'create_attention_event'").select("rule_id", "name")
+        return self._t("rule_execution").filter("result = 'matched'").join(calls, "rule_id").select("item_id", "rule_id", "name")
+
+    def attention_summary(self) -> DataFrame:
+        return self.attention_list().groupBy("rule_id", "name").agg(F.countDistinct("item_id").alias("items"))
+
+    def attention_resolve(self, item_id, at: int) -> DataFrame:
+        return self.item_transition(item_id, "acted_on", at)
+
     def apply_rules(self, new_items: DataFrame) -> DataFrame:
         return items.apply_rules(new_items, self._t("rule"))
 
     # questions
     def retrieve(self, question: str, now) -> dict[str, DataFrame]:
-        """The signals that answer a question, and their evidence within the budget."""
+        """The signals that answer a question, their evidence within the budget, the contexts they match, the insights that cite them, how far back the question looks, and, where relations of items are known, how the signals relate."""
         q = F.lit(question)
         named = retrieval.mentioned(self._t("context"), q)
-        shape = self.spark.range(1).select(T.intent(q).alias("intent"), F.size(T.content_terms(q)).alias("n")).first()
+        shape = self.spark.range(1).select(T.intent(q).alias("intent"), F.size(T.content_terms(q)).alias("n"), T.window_days(q).alias("days")).first()
         general = shape["n"] == 0 or shape["intent"] in retrieval.GENERAL and named.isEmpty()
         ranks = self.signal_list(now).select("signal_id", "total")
         rows = self._t("signal").select("signal_id", "status", F.concat_ws(" ", "topic", "change_kind").alias("text"), F.col("created_at").alias("updated_at"))
         best = retrieval.top_signals(retrieval.scores(rows, self._t("connection"), named, q, ranks, general))
-        evidence = gold.round_robin(self._t("evidence").join(F.broadcast(best.select("signal_id")), "signal_id", "left_semi")).orderBy("signal_id", "place").limit(L.BUNDLE_EVIDENCE)
-        return {"intent": self.spark.createDataFrame([(shape["intent"],)], "intent string"), "signals": best, "evidence": evidence}
+        placed = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("updated_at"), "signal_id")))
+        parts = retrieval.bundle_parts(placed, self._t("evidence"), self._t("connection"), self._t("insight_signal"))
+        head = self.spark.createDataFrame([(shape["intent"], shape["days"])], "intent string, window_days int")
+        out = {"intent": head, "signals": best, "evidence": parts["evidence"][0], "contexts": parts["context"][0], "insights": parts["insight"][0]}
+        if "item_relation" in self.tables:
+            out["pairs"] = gold.bundle_pairs(placed.select("signal_id", "place"), self._t("evidence"), self._t("item_relation"), self._t("connection"))
+        return out
 
     def ask(self, question: str, now, reasoner=None) -> tuple[answers.Answer, list[str]]:
         """An answer from what retrieve() finds (8 signals and 60 pieces of evidence at most), checked against it."""
@@ -160,6 +231,20 @@ class Engine:
     def insight_list(self) -> DataFrame:
         return self._t("insight")
 
+    def insight_get(self, insight_id) -> dict[str, DataFrame]:
+        return {"insight": self._one("insight", "insight_id", insight_id), "signals": self._one("insight_signal", "insight_id", insight_id)}
+
+    def insight_status(self, insight_id, status: str) -> DataFrame:
+        if status not in ("open", "resolved", "dropped"):
+            raise InvalidInput(f"no status {status}")
+        return self._one("insight", "insight_id", insight_id).withColumn("status", F.lit(status))
+
+    def insight_resolve(self, insight_id) -> DataFrame:
+        return self.insight_status(insight_id, "resolved")
+
+    def insight_drop(self, insight_id) -> DataFrame:
+        return self.insight_status(insight_id, "dropped")
+
     def insight_save(self, statement: str, kind: str = "insight", signal_ids: tuple = ()) -> DataFrame:
         if not statement.strip():
             raise InvalidInput("an insight needs a statement")

@@ -163,3 +163,46 @@ def test_engine(spark):
         e.signal_get(1)
     assert e.source_add("http://www.X.org/?utm_a=1").first()["canonical_url"] == "https://x.org/"
     assert e.target_parse("x.org/*").first()["scope"] == "descendants"
+
+
+def test_capabilities_and_their_errors(spark):
+    from sigloom.engine import UnknownCapability
+    from sigloom.harness import MODEL, Model
+
+    root = "/root/testdata/sf0.001"
+    m = Model(spark, root)
+    target = spark.createDataFrame([(1, "watching"), (2, "paused")], "target_id long, status string")
+    engine = Engine(spark, {n: m.view(n) for n in MODEL if n != "question"} | {"target": target})
+    for name, given, error in (
+        ("nothing.known", {}, UnknownCapability), ("_t", {"name": "item"}, UnknownCapability), ("call", {}, UnknownCapability), ("", {}, UnknownCapability), ("item.get", {}, InvalidInput), ("item.get", {"item_id": None}, InvalidInput),
+        ("signal.status", {"signal_id": 1, "status": "odd"}, InvalidInput), ("insight.status", {"insight_id": 1, "status": "x"}, InvalidInput), ("target.status", {"target_id": 1, "status": "x"}, InvalidInput), ("target.add", {"text": "ftp://x"}, InvalidInput),
+    ):
+        with pytest.raises(error):
+            engine.call(name, **given)
+    with pytest.raises(NotFound):
+        Engine(spark, {}).call("source.list")
+    assert engine.call("target.pause", target_id=1).first()["status"] == "paused" and engine.call("target.resume", target_id=2).first()["status"] == "watching"
+    assert engine.call("insight.drop", insight_id=1).first()["status"] == "dropped"
+    assert engine.call("signal.detail", signal_id=1).count() <= 1
+    assert engine.call("attention.summary").columns == ["rule_id", "name", "items"]
+    assert engine.call("attention.resolve", item_id=1, at=5).first()["state"] == "acted_on"
+    added = engine.call("target.add", text="https://x.org/docs/*").first()
+    assert added["scope"] == "descendants" and added["target_id"].startswith("target_")
+
+
+def test_fallback_is_told():
+    fails = lambda *a: 1 / 0
+    answer, events = answers.answered(fails, lambda *a: answers.Answer("local", "sufficient"), "changes")
+    assert answer.summary == "local" and events and events[0].startswith("fallback: ")
+    assert answers.answered(None, lambda *a: 1) == (1, []) and answers.answered(lambda *a: 2, fails) == (2, [])
+
+
+def test_title_functions_agree(spark):
+    from sigloom.functions import text as T
+
+    titles = ["Acme ships Runtime | Site", "A | b c d e f g", "One two - three — four", "No site here", "Two  words - a b c d e f", " x · y ", "a b | c | d", "", "Acme ships — it, now!"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string").select("i", T.clean_title(F.col("t")).alias("c"), T.phrase(F.col("t"), 3).alias("p")).collect()
+    for r in rows:
+        assert r["c"] == interpret.clean_title(titles[r["i"]]) and r["p"] == interpret.phrase(titles[r["i"]], 3)
+    assert interpret.names("The Acme Portable Runtime ships in Paris") == "Acme Portable Runtime"
+    assert interpret.names("nothing here") == "" and interpret.names("A Big, Bold Move 2 Go Far Away Now") == "Bold Move 2 Go Far"
