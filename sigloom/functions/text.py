@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 
-WORD_CHARS = r"\p{IsAlphabetic}\p{N}"
+#: The signs of words, inside a class; ASCII stands first, as it is found soonest.
+WORD_CHARS = r"a-zA-Z0-9\p{IsAlphabetic}\p{N}"
+#: A word: a run of word signs and those of versions and names, without the dots, dashes and quotes at its edges.
+TOKEN = rf"[{WORD_CHARS}+#](?:[{WORD_CHARS}.+#'\-]*[{WORD_CHARS}+#])?"
 
 
 def lit_array(values) -> Column:
@@ -46,36 +49,23 @@ def slug(label: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words; signs inside versions and names stay."""
-    parts = F.split(text, rf"[^{WORD_CHARS}.+#'\-]+")
-    return F.filter(F.transform(parts, lambda t: F.lower(F.regexp_replace(t, r"^[.\-']+|[.\-']+$", ""))), lambda t: t != "")
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
+
+
+#: What goes from a lower-case word: ing and ed, es after ch, sh and x, else s; four characters stay, of plurals three, and no s stands last.
+SUFFIXES = r"(?s)\A(?:(.{3,}[^s])(?:ing|ed)|(.{2,}(?:ch|sh)|.{3,}x)es|(.{2,}[^s])s)\z"
 
 
 def stem(token: Column) -> Column:
-    """A small stemmer: the first suffix that leaves enough goes, unless an s would stand before it."""
-    t = F.lower(token)
-
-    def fits(suffix: str, least: int) -> Column:
-        n = len(suffix)
-        rest = F.substring(t, F.lit(1), F.length(t) - n)
-        return F.endswith(t, F.lit(suffix)) & (F.length(t) - n >= least) & ~F.endswith(rest, F.lit("s"))
-
-    def cut(n: int) -> Column:
-        return F.substring(t, F.lit(1), F.length(t) - n)
-
-    return (
-        F.when(F.length(t) <= 3, t)
-        .when(fits("ies", 3), F.concat(cut(3), F.lit("y")))
-        .when(fits("ing", 4), cut(3))
-        .when(fits("ed", 4), cut(2))
-        .when(fits("es", 4), F.when(cut(2).rlike("(ch|sh|x)$"), cut(2)).otherwise(F.concat(cut(2), F.lit("e"))))
-        .when(fits("s", 3), cut(1))
-        .otherwise(t)
-    )
+    """A small stemmer of lower-case words: the first suffix that leaves enough goes, unless an s would stand before it."""
+    ends = lambda *suffixes: reduce(lambda a, b: a | b, [F.endswith(token, F.lit(s)) for s in suffixes])
+    plural_y = ends("ies") & (F.length(token) >= 6) & ~ends("sies")
+    return F.when(plural_y, F.concat(F.substring(token, F.lit(1), F.length(token) - 3), F.lit("y"))).when(ends("s", "ing", "ed"), F.regexp_replace(token, SUFFIXES, "$1$2$3")).otherwise(token)
 
 
 def is_term(token: Column) -> Column:
     """Whether a token says something: no stop word, no number, three characters or a known short term."""
-    return ~token.isin(L.STOP_WORDS) & ~token.rlike(r"^[0-9.]+$") & ((F.length(token) >= 3) | token.isin(*L.SHORT_TERMS))
+    return ((F.length(token) >= 3) | token.isin(*L.SHORT_TERMS)) & ~token.isin(L.STOP_WORDS) & ~token.rlike(r"^[0-9.]+$")
 
 
 def sentences(text: Column) -> Column:

@@ -18,13 +18,16 @@ def term_head(content: Column, most: int = 4000) -> Column:
 
 
 def key_terms(items: DataFrame, most: int, keep: str = "item_id") -> DataFrame:
-    """keep, term, weight, place: the terms of each item by weight (3 a time in the title, 1 in the content), then by first place."""
-    title, content = T.tokens(F.col("title")), T.tokens(term_head(F.col("content_text")))
-    both = F.concat(F.transform(title, lambda t: F.struct(t.alias("t"), F.lit(3.0).alias("w"))), F.transform(content, lambda t: F.struct(t.alias("t"), F.lit(1.0).alias("w"))))
-    at = items.select(keep, F.posexplode(both).alias("at", "x")).filter(T.is_term(F.col("x.t")))
-    weights = at.groupBy(keep, T.stem(F.col("x.t")).alias("term")).agg(F.sum("x.w").alias("weight"), F.min("at").alias("first"))
-    place = F.row_number().over(Window.partitionBy(keep).orderBy(F.desc("weight"), "first"))
-    return weights.withColumn("place", place.cast("long")).filter(F.col("place") <= most).select(keep, "term", "weight", "place")
+    """keep, term, weight, place, many: the terms of each item by weight (3 a time in the title, 1 in the content), then by first
+    place, and how many terms the item has here. Tokens are judged and stemmed after they are exploded, as generated code."""
+    title = T.tokens(F.col("title"))
+    words = items.select(keep, F.size(title).alias("titled"), F.concat(title, T.tokens(term_head(F.col("content_text")))).alias("words"))
+    # what stands beside the explosion in one select would be computed for every token
+    at = words.select(keep, "titled", F.posexplode("words").alias("at", "t")).filter(T.is_term(F.col("t")))
+    weights = at.groupBy(keep, T.stem(F.col("t")).alias("term")).agg(F.sum(F.when(F.col("at") < F.col("titled"), 3.0).otherwise(1.0)).alias("weight"), F.min("at").alias("first"))
+    own = Window.partitionBy(keep)
+    kept = weights.withColumn("place", F.row_number().over(own.orderBy(F.desc("weight"), "first")).cast("long")).filter(F.col("place") <= most)
+    return kept.select(keep, "term", "weight", "place", F.count("*").over(own).alias("many"))  # after the limit, which is applied before rows move
 
 
 def topic_scores(items: DataFrame) -> DataFrame:
@@ -51,11 +54,9 @@ def topics(items: DataFrame) -> DataFrame:
 def similar(items: DataFrame, prior: DataFrame, most_terms: int = 18, most_links: int = 8) -> DataFrame:
     """item_id, prior_id, shared, overlap, kind: links to earlier items by shared terms, the strongest first. The terms of the
     priors are as many as PRIORS times most_terms, and are broadcast as that bound is set."""
-    own = key_terms(items, most_terms).select("item_id", "term")
-    old = key_terms(prior.limit(L.PRIORS), most_terms).select(F.col("item_id").alias("prior_id"), "term")
-    sizes, old_sizes = own.groupBy("item_id").agg(F.count("*").alias("n")), old.groupBy("prior_id").agg(F.count("*").alias("m"))
-    shared = own.join(F.broadcast(old), "term").filter("item_id <> prior_id").groupBy("item_id", "prior_id").agg(F.count("*").alias("shared"))
-    pairs = shared.join(sizes, "item_id").join(F.broadcast(old_sizes), "prior_id")
+    own = key_terms(items, most_terms).select("item_id", "term", F.col("many").alias("n"))
+    old = key_terms(prior.limit(L.PRIORS), most_terms).select(F.col("item_id").alias("prior_id"), "term", F.col("many").alias("m"))
+    pairs = own.join(F.broadcast(old), "term").filter("item_id <> prior_id").groupBy("item_id", "prior_id").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("m").alias("m"))
     overlap = F.round(F.col("shared").cast("double") / F.greatest(F.lit(1), F.least("n", "m")), 6)
     kind = F.when((F.col("overlap") >= 0.45) & (F.col("shared") >= 5), "same_change").when((F.col("overlap") >= 0.25) & (F.col("shared") >= 3), "related")
     linked = pairs.withColumn("overlap", overlap).withColumn("kind", kind).filter("kind IS NOT NULL")
@@ -79,7 +80,7 @@ def surface_forms(items: DataFrame) -> DataFrame:
     words = lambda c: F.transform(F.split(F.col(c), rf"[^{T.WORD_CHARS}\-']+"), lambda w: F.btrim(w, F.lit("-'")))
     at = items.select("item_id", F.posexplode(F.concat(words("title"), words("content_text"))).alias("at", "word")).filter("word <> ''")
     first = at.groupBy("item_id", "word").agg(F.min("at").alias("at"))
-    return first.groupBy("item_id", T.stem(F.col("word")).alias("stem")).agg(F.min_by("word", "at").alias("form"))
+    return first.groupBy("item_id", T.stem(F.lower("word")).alias("stem")).agg(F.min_by("word", "at").alias("form"))
 
 
 def disputes(items: DataFrame) -> DataFrame:

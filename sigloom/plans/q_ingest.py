@@ -53,11 +53,15 @@ def same_site(m):
     return m.pages.crossJoin(F.broadcast(first)).select("page_id", U.same_site(F.col("seed"), secure).alias("same"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages WHERE contains(html, '<title>') AND NOT regexp_matches(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[&<]')""")
+_DECODED = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+for _name, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+    _DECODED = f"replace({_DECODED}, '&{_name};', '{_sign}')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_DECODED}, '\s+', ' ', 'g')) AS title FROM pages")
 def page_titles(m):
-    """The titles of pages that have one and write it without references."""
-    pages = m.pages.filter(F.contains("html", F.lit("<title>")) & ~F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).rlike("[&<]"))
-    return html.parsed_pages(pages).select("page_id", "title")
+    """The titles of all pages."""
+    return html.parsed_pages(m.pages).select("page_id", "title")
 
 
 @query(name="page_main_text")
@@ -86,44 +90,51 @@ def format_sniff(m):
 
 
 def _escaped(c):
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-FEED = r"SELECT doc_id, trim(text) AS content_text, lang AS author, 'https://example.org/' || source || '/' || doc_id AS canonical_url, make_timestamp((1704067200 + doc_id * 60) * 1000000::BIGINT) AS published_at FROM documents WHERE doc_id % 2 = {0} AND NOT regexp_matches(text, '[^\t\n\x20-\x{{D7FF}}]')"
+#: Signs that XML has no way to write.
+UNWRITTEN = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]"
+FEED = rf"SELECT doc_id, trim({{0}}) AS content_text, lang AS author, 'https://example.org/' || source || '/' || doc_id AS canonical_url, make_timestamp((1704067200 + doc_id * 60) * 1000000::BIGINT) AS published_at FROM documents"
+XML_FEED = FEED.format(f"regexp_replace(text, '{UNWRITTEN}', '', 'g')")
 
 
-def _feed_rows(m, k: int):
+def _feed_rows(m):
     c = F.col
     at = F.timestamp_seconds(1704067200 + c("doc_id") * 60)
-    return m.documents.filter(f"doc_id % 2 = {k}").filter(~c("text").rlike(r"[^\t\n\x20-퟿]")).select("doc_id", "text", "lang", F.concat(F.lit("http://www.example.org/"), "source", F.lit("/"), "doc_id", F.lit("/?utm_source=x")).alias("link"), at.alias("at"))
+    return m.documents.select("doc_id", "text", "lang", F.concat(F.lit("http://www.example.org/"), "source", F.lit("/"), "doc_id", F.lit("/?utm_source=x")).alias("link"), at.alias("at"))
+
+
+def _xml_text():
+    return _escaped(F.trim(F.regexp_replace("text", UNWRITTEN, "")))
 
 
 def _feed_result(entries):
     return feeds.normalized(entries).select(F.col("feed_id").alias("doc_id"), F.trim("content_text", F.lit(" ")).alias("content_text"), "author", "canonical_url", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 
 
-@query(FEED.format(0))
+@query(XML_FEED)
 def feed_rss(m):
     """RSS documents, made of the documents and read again."""
-    d = _feed_rows(m, 0)
-    body = F.concat(F.lit("<rss><channel><item><title>t</title><link>"), _escaped(F.col("link")), F.lit("</link><author>"), F.col("lang"), F.lit(" (x)</author><pubDate>"), F.date_format("at", "d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate><description>"), _escaped(F.trim("text")), F.lit("</description></item></channel></rss>"))
+    d = _feed_rows(m)
+    body = F.concat(F.lit("<rss><channel><item><title>t</title><link>"), _escaped(F.col("link")), F.lit("</link><author>"), F.col("lang"), F.lit(" (x)</author><pubDate>"), F.date_format("at", "d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate><description>"), _xml_text(), F.lit("</description></item></channel></rss>"))
     return _feed_result(feeds.xml_entries(d.select(F.col("doc_id").alias("feed_id"), body.alias("body"))))
 
 
-@query(FEED.format(1))
+@query(XML_FEED)
 def feed_atom(m):
     """Atom documents, made of the documents and read again."""
-    d = _feed_rows(m, 1)
-    body = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><id>i</id><title>t</title><link href='"), _escaped(F.col("link")), F.lit("'/><author><name>"), F.col("lang"), F.lit("</name></author><updated>"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated><summary>"), _escaped(F.trim("text")), F.lit("</summary></entry></feed>"))
+    d = _feed_rows(m)
+    body = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><id>i</id><title>t</title><link href='"), _escaped(F.col("link")), F.lit("'/><author><name>"), F.col("lang"), F.lit("</name></author><updated>"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated><summary>"), _xml_text(), F.lit("</summary></entry></feed>"))
     return _feed_result(feeds.xml_entries(d.select(F.col("doc_id").alias("feed_id"), body.alias("body"))))
 
 
-@query(FEED.format(1))
+@query(FEED.format("text"))
 def feed_json(m):
     """JSON Feeds, made of the documents and read again."""
-    d = _feed_rows(m, 1)
+    d = _feed_rows(m)
     entry = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("link").alias("url"), F.trim("text").alias("content_text"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_published"), F.struct(F.col("lang").alias("name")).alias("author"))
     body = F.to_json(F.struct(F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.array(entry).alias("items")))
     return _feed_result(feeds.json_entries(d.select(F.col("doc_id").alias("feed_id"), body.alias("body"))))
@@ -183,11 +194,10 @@ def dates(m):
     return m.orders.select("o_orderkey", parsed(text).cast("timestamp_ntz").alias("at"), shown(t).alias("shown"))
 
 
-@query("SELECT doc_id, text AS inner FROM documents WHERE trim(text) = text AND NOT contains(text, '`')".replace("AS inner", "AS body"))
+@query(r"SELECT doc_id, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body FROM documents")
 def code_fences(m):
     """What stands in a code fence."""
-    d = m.documents.filter("trim(text) = text AND NOT contains(text, '`')")
-    return d.select("doc_id", code_fence_stripped(F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))).alias("body"))
+    return m.documents.select("doc_id", code_fence_stripped(F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))).alias("body"))
 
 
 @query(f"""WITH {CANONICAL}, s AS (SELECT canonical, 0 AS ord, page_id FROM canon UNION ALL SELECT 'https://' || bare || f AS canonical, 1, page_id FROM canon, (SELECT unnest({list(L.CONVENTIONAL_FEEDS)}) AS f)),

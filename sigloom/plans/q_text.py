@@ -39,8 +39,8 @@ def tokens_freq(m):
 @query(f"SELECT {_stem('t')} AS stem, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS t FROM documents) WHERE {_is_term('t')} GROUP BY 1")
 def stem_terms(m):
     """Stems of the tokens that are terms."""
-    at = m.documents.select(F.explode(T.tokens(F.col("text"))).alias("t")).filter(T.is_term(F.col("t")))
-    return at.groupBy(T.stem(F.col("t")).alias("stem")).agg(F.count("*").alias("n"))
+    at = tokens_freq(m).filter(T.is_term(F.col("token")))  # each distinct token is judged and stemmed once
+    return at.groupBy(T.stem(F.col("token")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 HEAD = "CASE WHEN strlen(content_text) <= 4000 OR substr(hex(encode(content_text)), 8001, 1) IN ('8', '9', 'A', 'B') THEN content_text ELSE decode(unhex(substr(hex(encode(content_text)), 1, 8000))) END".replace("strlen(content_text) <= 4000 OR", "strlen(content_text) <= 4000 OR")
@@ -53,7 +53,7 @@ terms AS (SELECT item_id, term, weight, row_number() OVER (PARTITION BY item_id
 @query(f"WITH {TERMS} SELECT item_id, term, weight, place::BIGINT AS place FROM terms WHERE place <= 18")
 def key_terms_top(m):
     """The key terms of each item."""
-    return terms.key_terms(m.item, 18)
+    return terms.key_terms(m.item, 18).drop("many")
 
 
 @query(f"""WITH {TERMS}, k AS (SELECT item_id, term FROM terms WHERE place <= 18), old AS (SELECT * FROM k WHERE item_id IN (SELECT item_id FROM item ORDER BY published_at DESC, item_id LIMIT 200)),
@@ -146,11 +146,20 @@ def phrase_mentions(m):
     return stems.join(F.broadcast(phrases) if few else phrases, F.contains("s", "p")).select("item_id", "context_id")
 
 
-@query(r"""SELECT doc_id, contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text2, '\s+', ' ', 'g')))) AND strlen(b.text2) >= 2 AS grounded, b.item_id FROM documents, (SELECT item_id, text AS text2 FROM benchmark WHERE item_id < 5) b""")
+@query(r"""WITH n AS (SELECT count(*) AS many FROM benchmark), b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS place, text AS cited FROM benchmark),
+cited AS (SELECT d.doc_id, d.text, CASE d.doc_id % 3 WHEN 0 THEN translate(replace(substr(d.text, 11, 60), ' ', '  '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 1 THEN substr(d.text, 11, 60) || ' and more' ELSE b.cited END AS excerpt FROM documents d CROSS JOIN n LEFT JOIN b ON b.place = d.doc_id % n.many)
+SELECT doc_id, contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(excerpt, '\s+', ' ', 'g')))) AND strlen(trim(regexp_replace(excerpt, '\s+', ' ', 'g'))) >= 2 AS grounded FROM cited""")
 def grounded_excerpts(m):
-    """Whether an excerpt stands in the text."""
-    b = m.benchmark.filter("item_id < 5").select("item_id", F.col("text").alias("text2"))
-    return m.documents.crossJoin(F.broadcast(b)).select("doc_id", T.grounded(F.col("text"), F.col("text2")).alias("grounded"), "item_id")
+    """Whether the excerpt that each text is cited with stands in it: a part of it written otherwise, a part with more
+    after it, or a benchmark item, in turn."""
+    d, turn = F.col("doc_id"), F.col("doc_id") % 3
+    items = m.benchmark.select("item_id", F.col("text").alias("cited"))
+    place = F.row_number().over(Window.orderBy("item_id")) - 1  # the benchmark's ids, which are few against the documents
+    b = items.select("item_id", place.cast("long").alias("place")).join(items, "item_id")
+    own = F.substring("text", 11, 60)
+    cited = m.documents.withColumn("place", d % F.lit(m.benchmark.count())).join(b, "place", "left")
+    excerpt = F.when(turn == 0, F.translate(F.replace(own, F.lit(" "), F.lit("  ")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(turn == 1, F.concat(own, F.lit(" and more"))).otherwise(F.col("cited"))
+    return cited.select("doc_id", T.grounded(F.col("text"), excerpt).alias("grounded"))
 
 
 def _verbs() -> list[tuple[str, str]]:
