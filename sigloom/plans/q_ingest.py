@@ -9,6 +9,7 @@ from ..functions import ids
 from ..functions import url as U
 from ..functions.text import code_fence_stripped, lit_array
 from ..functions.time import parsed, shown
+from ..operators import discovery
 from ..sources import feeds, html
 from .catalogue import query
 
@@ -215,3 +216,15 @@ def target_ids(m):
     """One URL with another scope is another target."""
     scope = F.when(F.col("page_id") % 2 == 0, "descendants").otherwise("resource")
     return m.pages.select("page_id", ids.target_id(U.canonical(F.col("url")), scope).alias("id"))
+
+
+@query(name="discovery_surfaces")
+def discovery_surfaces(m):
+    """Surfaces around every page: the page, declared feeds, sections, repositories, what its sitemap implies, feeds of sections,
+    and conventional addresses that are known to be feeds."""
+    c = F.col
+    site = U.origin(c("url"))
+    rules = feeds.robots_rules(m.pages.select(U.bare_host(c("url")).alias("site")).distinct().withColumn("body", F.lit("User-agent: *\nDisallow: /en/\nAllow: /en/1")))
+    locations = m.pages.select("page_id", F.explode(F.transform(lit_array(("/blog/a", "/blog/b", "/blog/c", "/docs/a")), lambda p: F.concat(site, p))).alias("location"))
+    known = m.pages.select(F.concat(site, F.lit("/feed.xml")).alias("url"), F.lit("rss").alias("format"))
+    return discovery.discovered(html.parsed_pages(m.pages), rules, locations, known)

@@ -145,14 +145,14 @@ def sitemap_locations(files: DataFrame, most: int = 5000) -> DataFrame:
     return rows.select("site", "is_index", "place", F.replace(F.trim("raw"), F.lit("&amp;"), F.lit("&")).alias("location"))
 
 
-def sitemap_sections(locations: DataFrame, seed: Column) -> DataFrame:
-    """Sections that locations imply: the first of the first two parts of a path that names one, with how many pages lie below."""
+def sitemap_sections(locations: DataFrame, seed: Column, *by: str) -> DataFrame:
+    """Sections that locations imply, for each `by`: the first of the first two parts of a path that names one, with how many pages lie below."""
     own = locations.filter(U.same_site(seed, F.col("location")))
     parts = U.segments(F.col("location"))
     first, second = U.section_of(F.get(parts, F.lit(0))), U.section_of(F.get(parts, F.lit(1)))
     root = F.when(first.isNotNull(), parts[0]).when(second.isNotNull(), F.concat(parts[0], F.lit("/"), parts[1]))
-    found = own.select(F.concat(U.origin(F.col("location")), F.lit("/"), root).alias("root"), F.coalesce(first, second).alias("kind")).filter("kind IS NOT NULL")
-    return found.groupBy("root").agg(F.first("kind").alias("kind"), F.count("*").alias("pages"))
+    found = own.select(*by, F.concat(U.origin(F.col("location")), F.lit("/"), root).alias("root"), F.coalesce(first, second).alias("kind")).filter("kind IS NOT NULL")
+    return found.groupBy(*by, "root").agg(F.min("kind").alias("kind"), F.count("*").alias("pages"))
 
 
 def classified_link(seed: Column, url: Column, text: Column) -> Column:
