@@ -56,13 +56,17 @@ def tokens(text: Column) -> Column:
 SUFFIXES = r"(?s)\A(?:(.{3,}[^s])(?:ing|ed)|(.{2,}(?:ch|sh)|.{3,}x)es|(.{2,}[^s])s)\z"
 
 
-def stem(token: Column) -> Column:
+def stemmed(token: Column) -> Column:
     """A small stemmer of lower-case words: the first suffix that leaves enough goes, unless an s would stand before it."""
     ends = lambda *suffixes: reduce(lambda a, b: a | b, [F.endswith(token, F.lit(s)) for s in suffixes])
     plural_y = ends("ies") & (F.length(token) >= 6) & ~ends("sies")
     return F.when(plural_y, F.concat(F.substring(token, F.lit(1), F.length(token) - 3), F.lit("y"))).when(ends("s", "ing", "ed"), F.regexp_replace(token, SUFFIXES, "$1$2$3")).otherwise(token)
 
 
+def stem(token: Column) -> Column:
+    return stemmed(F.lower(token))
+
+
 def is_term(token: Column) -> Column:
     """Whether a token says something: no stop word, no number, three characters or a known short term."""
     return ((F.length(token) >= 3) | token.isin(*L.SHORT_TERMS)) & ~token.isin(L.STOP_WORDS) & ~token.rlike(r"^[0-9.]+$")
@@ -75,7 +79,7 @@ def sentences(text: Column) -> Column:
 
 
 def stems(text: Column) -> Column:
-    return F.transform(tokens(text), stem)
+    return F.transform(tokens(text), stemmed)
 
 
 def contains_phrase(stemmed: Column, phrase: Column) -> Column:
@@ -87,7 +91,7 @@ def contains_phrase(stemmed: Column, phrase: Column) -> Column:
 def content_terms(question: Column) -> Column:
     parts = F.transform(F.split(question, rf"[^{WORD_CHARS}\-.]+"), lambda w: F.lower(F.regexp_replace(w, r"^[.\-]+|[.\-]+$", "")))
     kept = F.filter(parts, lambda w: (F.octet_length(w) >= 2) & ~w.isin(L.QUESTION_WORDS))
-    return F.array_sort(F.array_distinct(F.transform(kept, stem)))
+    return F.array_sort(F.array_distinct(F.transform(kept, stemmed)))
 
 
 def intent(question: Column) -> Column:

@@ -24,7 +24,7 @@ def key_terms(items: DataFrame, most: int, keep: str = "item_id") -> DataFrame:
     words = items.select(keep, F.size(title).alias("titled"), F.concat(title, T.tokens(term_head(F.col("content_text")))).alias("words"))
     # what stands beside the explosion in one select would be computed for every token
     at = words.select(keep, "titled", F.posexplode("words").alias("at", "t")).filter(T.is_term(F.col("t")))
-    weights = at.groupBy(keep, T.stem(F.col("t")).alias("term")).agg(F.sum(F.when(F.col("at") < F.col("titled"), 3.0).otherwise(1.0)).alias("weight"), F.min("at").alias("first"))
+    weights = at.groupBy(keep, T.stemmed(F.col("t")).alias("term")).agg(F.sum(F.when(F.col("at") < F.col("titled"), 3.0).otherwise(1.0)).alias("weight"), F.min("at").alias("first"))
     own = Window.partitionBy(keep)
     kept = weights.withColumn("place", F.row_number().over(own.orderBy(F.desc("weight"), "first")).cast("long")).filter(F.col("place") <= most)
     return kept.select(keep, "term", "weight", "place", F.count("*").over(own).alias("many"))  # after the limit, which is applied before rows move
@@ -80,7 +80,7 @@ def surface_forms(items: DataFrame) -> DataFrame:
     words = lambda c: F.transform(F.split(F.col(c), rf"[^{T.WORD_CHARS}\-']+"), lambda w: F.btrim(w, F.lit("-'")))
     at = items.select("item_id", F.posexplode(F.concat(words("title"), words("content_text"))).alias("at", "word")).filter("word <> ''")
     first = at.groupBy("item_id", "word").agg(F.min("at").alias("at"))
-    return first.groupBy("item_id", T.stem(F.lower("word")).alias("stem")).agg(F.min_by("word", "at").alias("form"))
+    return first.groupBy("item_id", T.stem(F.col("word")).alias("stem")).agg(F.min_by("word", "at").alias("form"))
 
 
 def disputes(items: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def tokens_freq(m):
 def stem_terms(m):
     """Stems of the tokens that are terms."""
     at = tokens_freq(m).filter(T.is_term(F.col("token")))  # each distinct token is judged and stemmed once
-    return at.groupBy(T.stem(F.col("token")).alias("stem")).agg(F.sum("n").alias("n"))
+    return at.groupBy(T.stemmed(F.col("token")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 HEAD = "CASE WHEN strlen(content_text) <= 4000 OR substr(hex(encode(content_text)), 8001, 1) IN ('8', '9', 'A', 'B') THEN content_text ELSE decode(unhex(substr(hex(encode(content_text)), 1, 8000))) END".replace("strlen(content_text) <= 4000 OR", "strlen(content_text) <= 4000 OR")
