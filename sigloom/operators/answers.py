@@ -5,52 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 INSUFFICIENT = "There is not enough evidence to answer that."
 
-POINTS = "signal_id long, section string, statement string, basis string, evidence_ids array<long>"
-
-#: Which claims head an observation.
-HEADS = (("change",), ("corroboration", "subject"))
-
-
-def headline(rows: list[dict]) -> int | None:
-    for claims in HEADS:
-        for r in rows:
-            if r["claim"] in claims:
-                return r["evidence_id"]
-    return rows[0]["evidence_id"] if rows else None
-
-
-def synthesis(subject: str, change: str, observations: list[dict]) -> list[tuple[str, str, str, list[int]]]:
-    """(section, statement, basis, evidence_ids) of what observations agree on, add, dispute and leave open. An observation:
-    label, host, disputes, evidence (evidence_id, claim, excerpt), in order of time."""
-    for_, against = [o for o in observations if not o["disputes"]], [o for o in observations if o["disputes"]]
-    heads = lambda os: [h for o in os if (h := headline(o["evidence"])) is not None]
-    said = change[:1].lower() + change[1:]
-    hosts = {o["host"] for o in for_}
-    out: list[tuple] = []
-    if len(for_) >= 2:
-        by = "one publisher" if len(hosts) == 1 else f"{len(hosts)} publishers"
-        out.append(("agreements", f"{len(for_)} observations from {by} agree that {subject} {said}.", "observed", heads(for_)))
-    for o in observations[1:]:
-        details = [e for e in o["evidence"] if e["claim"] == "detail"][:2] if not o["disputes"] else []
-        out += [("new_information", f"{o['label']} adds: “{e['excerpt']}”", "observed", [e["evidence_id"]]) for e in details]
-    for o in against:
-        e = next((e for e in o["evidence"] if e["claim"] == "contradiction"), o["evidence"][0] if o["evidence"] else None)
-        if e:
-            out.append(("differences", f"{o['label']} disputes it: “{e['excerpt']}”", "observed", [e["evidence_id"]]))
-    if against:
-        out.append(("uncertainties", f"Sources disagree about whether {subject} {said}; neither side settles it yet.", "inferred", heads(against) + heads(for_)))
-    if len(for_) == 1:
-        out.append(("uncertainties", f"Only {for_[0]['label']} reports this so far; it has not been independently corroborated.", "inferred", heads(for_)))
-    elif len(for_) >= 2 and len(hosts) == 1:
-        out.append(("uncertainties", f"All observations come from {for_[0]['host']}; they may not be independent.", "inferred", heads(for_)))
-    return out
-
-
 def checked(points: list[tuple], known: set[int]) -> tuple[list[tuple], list[str]]:
     """The points whose citations belong to the signal, and why others are refused."""
     kept, refused = [], []
@@ -68,20 +27,42 @@ def checked(points: list[tuple], known: set[int]) -> tuple[list[tuple], list[str
 
 
 def syntheses(evidence: DataFrame, signals: DataFrame) -> DataFrame:
-    """Points for every signal with two items at least. A signal's evidence is read in one piece; it is what one change has been
-    said to be, and is sorted by the shuffle that brings it together."""
-    rows = evidence.select("signal_id", "evidence_id", "item_id", "source_id", "claim", "excerpt", "observed_at").join(signals.select("signal_id", "subject_key", "change_kind"), "signal_id")
-
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["observed_at", "evidence_id"])
-        observations = []
-        for _, g in rows.groupby("item_id", sort=False):
-            observations.append({"label": f"source {g['source_id'].iloc[0]}", "host": f"source {g['source_id'].iloc[0]}", "disputes": bool((g["claim"] == "contradiction").any()), "evidence": g[["evidence_id", "claim", "excerpt"]].to_dict("records")})
-        points = synthesis(f"subject {rows['subject_key'].iloc[0]}", str(rows["change_kind"].iloc[0]), observations) if len(observations) >= 2 else []
-        kept, _ = checked(points, set(rows["evidence_id"]))
-        return pd.DataFrame([(key[0], *p) for p in kept], columns=["signal_id", "section", "statement", "basis", "evidence_ids"])
-
-    return rows.groupBy("signal_id").applyInPandas(work, POINTS)
+    """signal_id, section, statement, basis, evidence_ids: what the observations of each signal agree on, add, dispute and leave open.
+
+    evidence (signal_id, evidence_id, item_id, label, host, claim, excerpt, observed_at), signals (signal_id, subject, change).
+    An observation is what one item gives to a signal; it disputes if it holds a contradiction, and it is headed by its first
+    change, else its first corroboration or subject, else its first evidence. A signal of one observation has no points. Order
+    is by time, unknown times last, then by evidence_id; evidence without an item is one observation. What is gathered of a
+    signal is one number an observation, which is what its points cite.
+    """
+    order = F.struct(F.col("observed_at").isNull().alias("untimed"), "observed_at", "evidence_id")
+    placed = evidence.select("signal_id", "item_id", "claim", order.alias("at"), "label", "host", F.coalesce("excerpt", F.lit("")).alias("excerpt"))
+    first = lambda *claims: F.min(F.when(F.col("claim").isin(*claims), F.col("at")))["evidence_id"]
+    seen = placed.groupBy("signal_id", "item_id").agg(
+        F.min(F.struct("at", "label", "host")).alias("start"), F.coalesce(F.bool_or(F.col("claim") == "contradiction"), F.lit(False)).alias("disputes"), first("change").alias("change"),
+        first("corroboration", "subject").alias("second"), F.min(F.when(F.col("claim") == "contradiction", F.struct("at", "excerpt"))).alias("contra"),
+    ).select("signal_id", "item_id", "start.*", "disputes", "contra", F.coalesce("change", "second", "start.at.evidence_id").alias("head"))
+    heads = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("at", "head", "host")))), lambda x: F.struct(x["head"].alias("head"), x["host"].alias("host")))
+    whole = seen.groupBy("signal_id").agg(F.min("at").alias("opened"), F.min(F.when(~F.col("disputes"), F.struct("at", "label", "host"))).alias("one"), heads(~F.col("disputes")).alias("pro"), heads(F.col("disputes")).alias("con"))
+    whole = whole.filter(F.size("pro") + F.size("con") >= 2).join(signals.select("signal_id", "subject", "change"), "signal_id")
+    n, hosts, said = F.size("pro"), F.size(F.array_distinct(F.col("pro.host"))), F.concat(F.lower(F.substr("change", F.lit(1), F.lit(1))), F.substr("change", F.lit(2)))
+    publishers = F.when(hosts == 1, "one publisher").otherwise(F.format_string("%d publishers", hosts))
+    point = lambda when, section, basis, ids, text, *parts: F.when(when, F.struct(F.lit(section).alias("section"), F.format_string(text, *parts).alias("statement"), F.lit(basis).alias("basis"), ids.alias("evidence_ids")))
+    pro, con = F.col("pro.head"), F.col("con.head")
+    told = F.array(
+        point(n >= 2, "agreements", "observed", pro, "%d observations from %s agree that %s %s.", n, publishers, F.col("subject"), said),
+        point(F.size("con") > 0, "uncertainties", "inferred", F.concat(con, pro), "Sources disagree about whether %s %s; neither side settles it yet.", F.col("subject"), said),
+        point(n == 1, "uncertainties", "inferred", pro, "Only %s reports this so far; it has not been independently corroborated.", F.col("one.label")),
+        point((n >= 2) & (hosts == 1), "uncertainties", "inferred", pro, "All observations come from %s; they may not be independent.", F.col("one.host")),
+    )
+    points = whole.select("signal_id", F.inline(F.filter(told, lambda x: x.isNotNull())))
+    several = seen.join(whole.select("signal_id", "opened"), "signal_id")
+    details = placed.filter("claim = 'detail'").withColumn("k", F.row_number().over(Window.partitionBy("signal_id", "item_id").orderBy("at"))).filter("k <= 2")
+    later = several.filter(~F.col("disputes") & (F.col("at") > F.col("opened"))).select("signal_id", F.col("item_id").alias("of"), F.col("label").alias("by"))
+    held = details.join(later, (details.signal_id == later.signal_id) & details.item_id.eqNullSafe(later.of)).select(details.signal_id, "by", "at", "excerpt")
+    against = several.filter("disputes").select("signal_id", F.col("label").alias("by"), "contra.at", "contra.excerpt")
+    quoted = lambda rows, section, verb: rows.select("signal_id", F.lit(section).alias("section"), F.format_string(f"%s {verb}: “%s”", "by", "excerpt").alias("statement"), F.lit("observed").alias("basis"), F.array("at.evidence_id").alias("evidence_ids"))
+    return points.unionByName(quoted(held, "new_information", "adds")).unionByName(quoted(against, "differences", "disputes it"))
 
 
 @dataclass

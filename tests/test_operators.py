@@ -85,13 +85,33 @@ def test_clusters(spark):
     ]
     got = {r["item_id"]: r["signal_id"] for r in cluster.clustered(spark.createDataFrame(rows, "item_id long, source_kind string, title string, content_text string, published_at long")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+    untimed = [(5, "web", rows[1][2], rows[1][3], None)]
+    got = {r["item_id"]: r["signal_id"] for r in cluster.clustered(spark.createDataFrame(rows + untimed, "item_id long, source_kind string, title string, content_text string, published_at long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1}
 
 
-def test_synthesis():
-    e = lambda i, c: {"evidence_id": i, "claim": c, "excerpt": f"x{i}"}
-    obs = [{"label": "a", "host": "a", "disputes": False, "evidence": [e(1, "change")]}, {"label": "b", "host": "b", "disputes": False, "evidence": [e(2, "corroboration"), e(3, "detail")]}, {"label": "c", "host": "c", "disputes": True, "evidence": [e(4, "contradiction")]}]
-    points = answers.synthesis("S", "Adds y", obs)
-    assert [(p[0], p[3]) for p in points] == [("agreements", [1, 2]), ("new_information", [3]), ("differences", [4]), ("uncertainties", [4, 1, 2])]
+def test_synthesis(spark):
+    rows = [
+        (1, 1, 10, "a", "a", "change", "x1", 1), (1, 2, 20, "b", "b", "corroboration", "x2", 2), (1, 3, 20, "b", "b", "detail", "x3", 3), (1, 4, 30, "c", "c", "contradiction", "x4", 4),
+        (1, 5, 10, "a", "a", "detail", "x5", 5), (1, 6, 20, "b", "b", "detail", "x6", 6), (1, 7, 20, "b", "b", "detail", "x7", 7), (2, 8, 10, "a", "a", "change", "x", 1),
+        (3, 11, None, "a", "h", "reason", None, None), (3, 12, 10, "b", "h", None, "x", None), (4, 13, 1, "d", "d", "subject", "y", 1), (4, 14, 2, "e", "e", "contradiction", "z", 0),
+    ]
+    evidence = spark.createDataFrame(rows, "signal_id long, evidence_id long, item_id long, label string, host string, claim string, excerpt string, observed_at long").repartition(3)
+    signals = spark.createDataFrame([(k, "S", "Adds y") for k in range(1, 5)], "signal_id long, subject string, change string")
+    got = {(r["signal_id"], r["section"], r["statement"], r["basis"], tuple(r["evidence_ids"])) for r in answers.syntheses(evidence, signals).collect()}
+    assert got == {
+        (1, "agreements", "2 observations from 2 publishers agree that S adds y.", "observed", (1, 2)),
+        (1, "new_information", "b adds: “x3”", "observed", (3,)), (1, "new_information", "b adds: “x6”", "observed", (6,)),
+        (1, "differences", "c disputes it: “x4”", "observed", (4,)),
+        (1, "uncertainties", "Sources disagree about whether S adds y; neither side settles it yet.", "inferred", (4, 1, 2)),
+        (3, "agreements", "2 observations from one publisher agree that S adds y.", "observed", (11, 12)),
+        (3, "uncertainties", "All observations come from h; they may not be independent.", "inferred", (11, 12)),
+        (4, "differences", "e disputes it: “z”", "observed", (14,)),
+        (4, "uncertainties", "Sources disagree about whether S adds y; neither side settles it yet.", "inferred", (14, 13)),
+        (4, "uncertainties", "Only d reports this so far; it has not been independently corroborated.", "inferred", (13,)),
+    }
+    assert answers.syntheses(evidence.limit(0), signals).count() == 0
+    points = [("agreements", "z", "observed", [1, 2])]
     kept, refused = answers.checked(points + [("agreements", "z", "observed", [99])], {1, 2, 3, 4})
     assert kept == points and len(refused) == 2
 
