@@ -60,17 +60,17 @@ CONTEXT = {"context_id": 1, "name": "Portable compute", "kind": "project", "alia
 
 
 def test_interpretation():
-    r = interpret.read("Acme introduces Portable Runtime | Acme Blog", "The runtime moves containers between clouds. It runs on Linux and Kubernetes.", "web", [CONTEXT])
+    r = interpret.read("Acme introduces Portable Runtime | Acme Blog", "The runtime moves containers between clouds. It runs on Linux and Kubernetes.", "web", interpret.Contexts([CONTEXT]))
     assert (r.topic, r.subject, r.kind) == ("Compute & Infrastructure", "Acme", "introduces")
     assert r.change == "Introduces Portable Runtime" and r.contexts[0]["context_id"] == 1 and "Portable compute" in r.why
-    quiet = interpret.read("Notes on gardening", "Tulips like sun. They grow.", "web", [CONTEXT])
+    quiet = interpret.read("Notes on gardening", "Tulips like sun. They grow.", "web", interpret.Contexts([CONTEXT]))
     assert (quiet.topic, quiet.kind, quiet.contexts, quiet.why) == ("General", "describes", [], None)
     assert interpret.subject_of("Announcing Tokio 2.0: a runtime")[0] == "Tokio 2.0" and interpret.names("the New Rust Compiler is here") == "New Rust Compiler"
     assert interpret.clean_title("A long title - Site") == "A long title" and interpret.verb_of("Widget drops support")[0] == "removes"
 
 
 def test_gate():
-    r = interpret.read("Acme ships X", "Body text here.", "web", [CONTEXT])
+    r = interpret.read("Acme ships X", "Body text here.", "web", interpret.Contexts([CONTEXT]))
     assert interpret.gate(r, "Acme ships X", "Body text here.", {1})[0] is r
     r.excerpts["change"] = ["never said"]
     kept, refused = interpret.gate(r, "Acme ships X", "Body text here.", {1})
