@@ -21,6 +21,9 @@ from .components import components
 
 BLOCKS = 6
 
+#: Fingerprints of one key that are compared without being parted further.
+FEW = 1024
+
 
 def fingerprint(text: bytes, size: int = 3) -> int:
     """The SimHash of the shingles of `size` words: a bit is 1 if set in over half the XXH64 of the shingles; 0 without words."""
@@ -57,10 +60,11 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 3, few: int = FEW) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints `fp`, all of at most `distance` differing bits, that connect whatever
     such pairs connect. A task compares the fingerprints of one key with those not yet reached from one of them, so a dense
-    group costs about its size; what it holds is eight bytes for each distinct fingerprint of a key."""
+    group costs about its size; over `few` fingerprints are parted by more of their bits first, so that one of many strangers does
+    not compare them all. What a task holds is 24 bytes for each distinct fingerprint of a key."""
     edges = np.linspace(0, 64, BLOCKS + 1).round().astype(int)
     blocks = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges[:-1], edges[1:])]
     masks = [sum(m) for m in combinations(blocks, BLOCKS - distance)]
@@ -68,15 +72,21 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     filed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((3, 0), np.int64)
+        held: list[np.ndarray] = []  # rows whose last key may go on in the next batch
         for b in _and_end(batches):
-            now = rest if b is None else np.concatenate([rest, np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)])], axis=1)
+            if b is not None:
+                if not b.num_rows:
+                    continue
+                held.append(np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)]))
+                if len(held) > 1 and (held[-1][:2, -1] == held[0][:2, 0]).all():
+                    continue  # one key still: nothing is copied
+            now = np.concatenate([*held, np.zeros((3, 0), np.int64)], axis=1)
             new = np.flatnonzero((now[0, 1:] != now[0, :-1]) | (now[1, 1:] != now[1, :-1])) + 1
             bounds = np.concatenate(([0], new, [now.shape[1]])) if b is None else np.concatenate(([0], new))
             done = bounds[-1]
             if done or b is None:
                 yield _edges(now[2, :done].view(np.uint64), bounds)
-            rest = now[:, done:]
+            held = [now[:, done:]]
 
     def _edges(fps: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         found: list[np.ndarray] = []
@@ -85,10 +95,23 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
         near = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= distance] if len(pairs) else pairs
         found.append(np.stack([fps[near], fps[near + 1]], axis=1))
         for a, n in zip(bounds[:-1][sizes > 2], sizes[sizes > 2]):
-            found.append(_forest(fps[a : a + n]))
+            found += map(_forest, _parted(fps[a : a + n]))
         out = np.concatenate(found).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
 
+    def _parted(fps: np.ndarray) -> Iterator[np.ndarray]:
+        """The pigeonholes once more, in the bits that a large group differs in: close pairs agree on one of `distance` + 1 shares of them."""
+        if len(fps) <= few:
+            yield fps
+            return
+        differing = np.bitwise_or.reduce(fps ^ fps[0])
+        bits = [1 << b for b in range(64) if int(differing) >> b & 1]
+        for k in range(distance + 1):
+            mask = np.uint64(sum(bits[k :: distance + 1]))
+            rows = fps[np.argsort(fps & mask, kind="stable")]
+            ends = np.flatnonzero(np.diff(rows & mask)) + 1
+            yield from (g for g in np.split(rows, ends) if len(g) > 1)
+
     def _forest(fps: np.ndarray) -> np.ndarray:
         out, todo, open_ = [], np.unique(fps), []
         while len(todo) or open_:

@@ -69,3 +69,27 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 140)}
+
+
+@pytest.mark.parametrize("few", [1, 20, 1024])
+def test_one_key_over_many_batches(spark, few):
+    random.seed(few)
+    centre = [0xABCD_EF01 << 32 | random.getrandbits(32) for _ in range(300)]
+    fps = sorted(set(centre) | {c ^ sum(1 << b for b in random.sample(range(32), random.randint(1, 3))) for c in centre[:40] for _ in range(9)})
+    group = list(range(len(fps)))
+    find = lambda x: x if group[x] == x else find(group[x])
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                group[find(i)] = find(j)
+    want = {frozenset(fps[i] for i in range(len(fps)) if find(i) == g) for g in map(find, range(len(fps)))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        edges = [(r["a"] & (2**64 - 1), r["b"] & (2**64 - 1)) for r in links(spark.createDataFrame([(f - (1 << 64),) for f in fps], "fp long"), few=few).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(bin(a ^ b).count("1") <= 3 for a, b in edges)
+    at, group = {f: i for i, f in enumerate(fps)}, list(range(len(fps)))
+    for a, b in edges:
+        group[find(at[a])] = find(at[b])
+    assert {frozenset(fps[i] for i in range(len(fps)) if find(i) == g) for g in map(find, range(len(fps)))} == want
