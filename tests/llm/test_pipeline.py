@@ -1,7 +1,18 @@
+import math
 import random
+import re
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
+from test_decontamination import brute as leaks
+from test_packing import brute as pieces
+from test_simhash import mark
+from tokenizers import Tokenizer
+
+from sigloom.llm.resampling import Grams, resample, variates
 
 
 def test_stages_on_planted_documents(spark, tmp_path):
@@ -61,3 +72,67 @@ def test_rows_that_share_an_id_are_decided_each(spark):
     got = [tuple(r)[:2] for r in corpus_pipeline.near(spark, docs, "").collect()]
     assert [sum(k is None and t.startswith(x) for k, t in got) for x in far[:3]] == [1, 1, 1]
     assert {g for g in got if g[0]} == {(7, far[4]), (7, far[5]), (3, far[3] + " q"), (9, far[7])} and len(got) == 8
+
+
+def drawn(docs, labels):
+    """The documents of the largest keys, by sorting all keys: {row: key}, and how many are drawn."""
+    counts = [np.bincount(Grams().buckets([t or ""])[0], minlength=1 << 16) for _, t in docs]
+    good, judged = {i for i, quality, toxic in labels if quality == 1 and not toxic}, {i for i, _, _ in labels}
+    raw, target = sum(counts), sum(c for (i, _), c in zip(docs, counts) if i in good)
+    ratio, share = np.log((target + 8) / (raw * target.sum() / raw.sum() + 8)), len(good) / len(judged)
+    weights = [min(-math.log(share), float(c @ ratio)) for c in counts]
+    k = sum(w + math.log(share) >= math.log(0.001) for w in weights)
+    keys = [w + variates(pa.array([i], pa.int64()), 0)[0] for w, (i, _) in zip(weights, docs)]
+    return {d for d, key in zip(docs, keys) if key >= sorted(keys, reverse=True)[k - 1]}
+
+
+def stays(docs, names, order):
+    """The first of each group of docs."""
+    groups = {}
+    for d, g in zip(docs, names):
+        groups.setdefault(g, []).append(d)
+    return {min(g, key=order) for g in groups.values()}
+
+
+def near_groups(docs):
+    marks, group = [mark(t) for _, t in docs], list(range(len(docs)))
+    for _ in docs:
+        for i in range(len(docs)):
+            for j in range(len(docs)):
+                if bin(marks[i] ^ marks[j]).count("1") <= 3:
+                    group[j] = group[i] = min(group[i], group[j])
+    return group
+
+
+def test_against_brute_force(spark, tmp_path):
+    random.seed(11)
+    text = lambda n: " ".join("".join(random.choices("abcdefgh", k=random.randint(2, 7))) for _ in range(n)) + "."
+    item, rows = text(14), [(i, text(random.randint(3, 70))) for i in range(40)]
+    junk = [(100 + i, " ".join("".join(random.choices("QXZ", k=4)) + "!?" for _ in range(40))) for i in range(10)]
+    copies = [(200 + i, rows[i][1].replace(" ", "\t\n", 2)) for i in range(6)] + [(220, rows[0][1]), (221, "<|endoftext|> x")]
+    leaky = [(300, f"{text(9)} {item} {text(9)}"), (301, " ".join(reversed([item[: len(item) // 2], item[len(item) // 2 :]])))]
+    long = text(400)
+    docs = rows + junk + copies + leaky + [(400, long), (401, long.replace(long.split()[200], "zz", 1)), (None, text(20)), (500, ""), (501, None)]
+    labels = [(i, 1, 0) for i, _ in rows[:30]] + [(i, 0, 0) for i, _ in junk]
+    d = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    kept = drawn(docs, labels)
+    read = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    assert {r["doc_id"] for r in resample(read("documents"), read("labels")).filter("kept").collect()} == {i for i, _ in kept} and not {i for i, _ in kept} & {i for i, _ in junk}
+    last = lambda i: (i is None, i or 0)
+    kept = list(kept)
+    kept = list(stays(kept, [re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in kept], lambda x: (-len(x[1] or ""), last(x[0]))))
+    kept = list(stays(kept, near_groups(kept), lambda x: last(x[0])))
+    bad = {k for k, found, *_ in leaks(kept, [(1, item)]) if found}
+    kept = [x for x in kept if x[0] not in bad]
+    assert bad >= {300}
+    want = pieces(kept, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    got = corpus_pipeline.run(spark, d).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == want
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 1024
