@@ -187,8 +187,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: flo
 
 
 def _row_key(docs: DataFrame) -> Column:
-    """A hash of doc_id and text."""
-    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    """A digest of the text, which alone decides what a row holds: 16 bytes, so that no two texts of any corpus share one."""
+    return F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
 
 
 def _met(docs: DataFrame, benchmark: DataFrame, least: int, share: float) -> DataFrame:
@@ -213,17 +213,17 @@ def _met(docs: DataFrame, benchmark: DataFrame, least: int, share: float) -> Dat
             for row, name, doc, item in zip(*(b.column(k).to_pylist() for k in range(4))):
                 rows += [(row, i, s) for i, s in Benchmark([(name, item)], least, share).leaks(doc)]
             cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["row_key", "item_id", "coverage"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["row_key", "item_id", "coverage"])
 
     binary = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     items = benchmark.filter("item_id IS NOT NULL").select("item_id", binary)
     read = docs.select(_row_key(docs).alias("row_key"), binary)
     item_seeds = cut(items.select(F.col("item_id").alias("k"), "text").mapInArrow(seeds([], True), "k long, size int, seed long"))
     sizes = [r["size"] for r in item_seeds.select("size").distinct().collect()]
-    doc_seeds = read.select(F.col("row_key").alias("k"), "text").mapInArrow(seeds(sizes, False), "k long, size int, seed long")
+    doc_seeds = read.select(F.col("row_key").alias("k"), "text").mapInArrow(seeds(sizes, False), "k binary, size int, seed long")
     met = doc_seeds.join(item_seeds.withColumnRenamed("k", "item_id"), ["size", "seed"]).select(F.col("k").alias("row_key"), "item_id").distinct()
     pairs = met.join(items.withColumnRenamed("text", "item"), "item_id").join(read.distinct(), "row_key").select("row_key", "item_id", "text", "item")
-    return pairs.mapInArrow(tiled, "row_key long, item_id long, coverage double").groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
+    return pairs.mapInArrow(tiled, "row_key binary, item_id long, coverage double").groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, least: int, share: float) -> DataFrame:
