@@ -14,6 +14,7 @@ from .recompression import remove_passages
 from .resampling import resample
 from .simhash import near_duplicates
 from .suffix_array import remove_substrings
+from .target_resampling import resample_to
 from .url_filter import WORDS, filter_urls
 
 QUERIES: dict = {}
@@ -191,3 +192,45 @@ kept AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2), '' ORDER BY p) AS t
 SELECT h.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
 FROM h LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def op11_target_resampling(spark, sf_dir):
+    return resample_to(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op11_target_resampling"] = op11_target_resampling
+
+#: CRC-32 by half bytes; its table follows from the polynomial.
+_NIBBLES = []
+for _n in range(16):
+    for _ in range(4):
+        _n = (_n >> 1) ^ (0xEDB88320 if _n & 1 else 0)
+    _NIBBLES.append(_n)
+
+
+def _crc_sql(text: str) -> str:
+    """The CRC-32 of a text's UTF-8 bytes, lower half byte first."""
+    halves = f"flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: [('0x' || h[2])::BIGINT, ('0x' || h[1])::BIGINT]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda a, n: xor(a >> 4, ({_NIBBLES}::BIGINT[])[(xor(a, n) & 15) + 1])), 4294967295)"
+
+
+ORACLES["op11_target_resampling"] = rf"""
+WITH texts AS (SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark),
+words AS (SELECT side, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT side, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS feature FROM words),
+named AS (SELECT feature, {_crc_sql("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM runs)),
+found AS (SELECT side, row, bucket, count(*) AS n FROM runs JOIN named USING (feature) GROUP BY ALL),
+sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM found WHERE side = 'd')::DOUBLE AS all_s, (SELECT coalesce(sum(n), 0) FROM found WHERE side = 't')::DOUBLE AS all_t),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 't'), 0)::DOUBLE AS t FROM found GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((c.t + 1) * (z.all_s + 10000) / ((c.s + 1) * (z.all_t + 10000))))::BIGINT AS gain FROM counts c, sums z),
+weighed AS (SELECT row, sum(n) AS n_features, sum(n * gain) AS weight FROM found JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1),
+scored AS (
+  SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weighed USING (row) WHERE side = 'd'),
+placed AS (SELECT *, words >= 20 AS able, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+  CASE WHEN able AND place <= 5 * (SELECT count(*) FROM placed WHERE able) // 100 THEN place END::BIGINT AS rank
+FROM placed
+"""
