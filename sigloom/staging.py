@@ -8,10 +8,15 @@ import gc
 import tempfile
 import time
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where the tables lie that cut() wrote.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def folder(spark: SparkSession) -> str:
     """The folder that all executors share. It is the cluster's; only where it names none (tests) a local one is made."""
     context = spark.sparkContext
@@ -26,11 +31,19 @@ def folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to a table in the shared folder, so that a lost executor costs no recomputation of what led to
     them and iterations do not grow the plan. Written as Parquet, which takes a fraction of the room of a checkpoint. The
-    tables go when the driver ends."""
+    tables go when they are discarded, at the latest when the driver ends."""
     spark, path = df.sparkSession, f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table that cut() wrote for df; plans that read it can run no more. Other DataFrames are left alone."""
+    if path := _PATHS.pop(df, None):
+        _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
