@@ -34,3 +34,19 @@ def test_against_brute_force(spark, urls):
 def test_literals_are_whole_tokens():
     assert place("example.org/en/1", "block").literals == ("example", "org", "en")
     assert [p.literals for p in PLACES][0] == ("org",)
+
+
+def long_urls():
+    """URLs of 100 kB that hold the literals of each rule, as matches and as near misses."""
+    out = [f"http://x.com/replica-{'a-' * n}watche{end}" for n in (2000, 50_000) for end in ("s", "sx", "s/", "")]
+    out += [f"http://x.com/watches-{'a/' * 50_000}replica", f"http://x.com/{'a-' * 50_000}replica watches", f"http://x.com/{'replica-' * 300}{'a' * 50_000}watches"]
+    for rule in WORDS:
+        for fill in ("a" * 100_000, "a-" * 50_000, ("-".join(rule.literals) + "-") * 300 + "a." * 50_000):
+            out += [f"http://{fill}.{'-'.join(rule.literals)}.net/{fill}", f"http://x.net/{'/'.join(rule.literals)}/{fill}", f"http://{rule.literals[0]}-{fill}.net/{rule.name.replace(' ', '-')}"]
+    return out
+
+
+def test_long_urls(spark):
+    urls = long_urls()
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(8)
+    assert sorted(map(tuple, filter_urls(pages).collect())) == [(i, *brute(u)) for i, u in enumerate(urls)]
