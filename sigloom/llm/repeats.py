@@ -67,14 +67,14 @@ class Kind:
 
 
 def ranges(docs: DataFrame, kind: Kind, bucket: int = BUCKET) -> DataFrame:
-    """doc_id (LAST for null), text_key and spans: the [start, stop) of each row of docs that has such passages, as start * 2^32 + stop."""
+    """doc_id (LAST for null), text_key and spans: the [start, stop) of each row of docs that has such passages, as start * 2^32 + stop. Equal rows have one row of spans, each of which stands there once."""
     spark = docs.sparkSession
     read = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     long_enough = read.filter(F.octet_length("text") >= kind.length)
     named = long_enough.mapInArrow(_named(kind), "name long, hash long, doc_id long, text_key long, at int, size int")
     met = cut(named.repartition("name").sortWithinPartitions("name", "hash", "doc_id", "at", "text_key").mapInArrow(_met(kind), PLACED))
     release(spark)
-    wanted = met.filter("size > 0").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("name", "at", "size")).alias("wanted"))
+    wanted = met.filter("size > 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("name", "at", "size")).alias("wanted"))
     found = long_enough.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted").mapInArrow(_contents(kind), f"{PLACED}, content binary")
     decided = met.filter("size < 0")
     for level in range(kind.levels):
@@ -85,7 +85,7 @@ def ranges(docs: DataFrame, kind: Kind, bucket: int = BUCKET) -> DataFrame:
         if found.isEmpty():
             break
     span = F.shiftleft(F.col("at").cast("long"), 32) + F.col("at") - F.col("size")
-    return decided.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("spans"))
+    return decided.groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("spans"))
 
 
 def _batch(columns: list, names: str = PLACED) -> pa.RecordBatch:

@@ -139,3 +139,13 @@ def test_runs_of_nul(spark):
     want = brute_bytes(rows)
     assert {r[0]: r[2] for r in want} == {1: 0, 2: 120, 3: 50, 4: 0, 5: 90, None: 0}
     assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("kind, left, columns, brute", KINDS)
+def test_equal_rows_cost_no_square(spark, kind, left, columns, brute):
+    """Each of many equal rows gets each span once."""
+    rows = [(1, " ".join(PASSAGE)), *[(None, f"{PASSAGE[0]} q {PASSAGE[1]}")] * 300]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spans = ranges(docs, kind)
+    assert 0 < max(len(set(r["spans"])) for r in spans.collect()) == max(len(r["spans"]) for r in spans.collect()) < 300
+    assert sorted(map(tuple, apply(docs, spans, left, columns).collect()), key=repr) == brute(rows)
