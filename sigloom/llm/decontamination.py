@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 #: Words of a benchmark up to which its texts are held by every task (8 bytes a seed and the words). Larger ones are joined by their seeds.
 BROADCAST_WORDS = 2_000_000
@@ -235,11 +235,12 @@ def _joined(docs: DataFrame, benchmark: DataFrame, least: int, share: float) ->
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns; judged where they are read, so no text moves unless the benchmark is too large to be held."""
+    """The rows of docs that hold no item, with all their columns, whatever their names; judged where they are read, so no text moves unless the benchmark is too large to be held.
+    Rows are judged as by find_leaks(): null and empty texts stay, repeated rows stay or go together, an empty table stays one."""
     items = _items(benchmark)
     if items is None:
-        leaky = _met(docs, benchmark, least, share).select(F.col("row_key").alias("leaky"))
-        return docs.join(leaky, _row_key(docs) == F.col("leaky"), "left_anti")
+        leaky = unused(docs, "leaky")
+        return docs.join(_met(docs, benchmark, least, share).select(F.col("row_key").alias(leaky)), _row_key(docs) == F.col(leaky), "left_anti")
     text = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,8 @@ from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .licence_scan import DIGESTS, KNOWN, SPELLINGS, scan_licences
 from .packing import pack
+from .prefix_trie import prefix_trie
+from .quality_rules import DOCUMENTS, LEAST_WORDS, MOST_LOST, MOST_REPEATED, SHARE, quality_rules
 from .recompression import remove_passages
 from .resampling import resample
 from .simhash import near_duplicates
@@ -42,7 +44,7 @@ def op10_url_filter(spark, sf_dir):
 QUERIES["op10_url_filter"] = op10_url_filter
 def _url_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    words = ", ".join(f"({quoted(r.name)}, {quoted(r.pattern)})" for r in WORDS)
+    words = ", ".join(f"({quoted(r.name)}, {quoted(r.pattern.replace('(?>', '(?:'))})" for r in WORDS)
     return rf"""
 WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 words(word, pattern) AS (VALUES {words}),
@@ -234,3 +236,59 @@ SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score
   CASE WHEN able AND place <= 5 * (SELECT count(*) FROM placed WHERE able) // 100 THEN place END::BIGINT AS rank
 FROM placed
 """
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"), branched=True)
+
+
+QUERIES["op12_prefix_trie"] = op12_prefix_trie
+ORACLES["op12_prefix_trie"] = rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {{'role': role, 'text': text}} AS s FROM said),
+convs AS (SELECT c, {_crc_sql("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id AS c FROM said)),
+rebuilt AS (SELECT c, 0 AS own, p, s FROM convs JOIN placed ON conv_id = c - c % 5 AND p <= h UNION ALL SELECT c, 1, p, s FROM convs JOIN placed ON conv_id = c AND p > h),
+turns AS (SELECT c, s, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d FROM rebuilt),
+members AS (
+  SELECT c, d, s.text AS text, list(s) OVER (PARTITION BY c ORDER BY d) AS path, d = count(*) OVER (PARTITION BY c) AS last FROM turns
+  UNION ALL SELECT c, 0, '', list_filter([{{'role': '', 'text': ''}}], lambda x: false), c NOT IN (SELECT c FROM turns) FROM convs),
+nodes AS (
+  SELECT path, d AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * strlen(any_value(text)) AS saved, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ends
+  FROM members GROUP BY path, d),
+children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+full_ AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN children k ON n.path = k.path),
+subtrees AS (SELECT path[1:a] AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT path, saved, n_children, unnest(range(0, depth + 1)) AS a FROM full_) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_ n JOIN subtrees t ON n.path = t.path LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+"""
+
+
+def op13_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_quality_rules"] = op13_quality_rules
+ORACLES["op13_quality_rules"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT row, doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM docs),
+runs AS (SELECT row, p, w[p:p + 2] AS k FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS p FROM words)),
+again AS (SELECT row, p FROM (SELECT row, p, count(*) OVER (PARTITION BY row, k) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT row, count(*) AS n FROM (SELECT DISTINCT row, p + i AS q FROM again, (SELECT unnest([0, 1, 2]) AS i)) GROUP BY 1),
+lines AS (
+  SELECT *, trim(lower(regexp_replace(regexp_replace(line, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS same,
+    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
+  FROM (SELECT row, source, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+twice AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
+hosts AS (SELECT source, count(*) AS n FROM docs GROUP BY 1),
+common AS (
+  SELECT c.source, same FROM (SELECT source, same, count(DISTINCT row) AS n FROM lines GROUP BY ALL) c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
+  WHERE c.n > {DOCUMENTS} AND c.n > {SHARE} * h.n),
+gone AS (SELECT row, count(*) AS lines, sum(n) AS words FROM lines l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.same = c.same GROUP BY 1),
+base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(twice.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.lines, 0)::BIGINT AS removed_lines, coalesce(gone.words, 0)::BIGINT AS removed_words
+  FROM words LEFT JOIN twice USING (row) LEFT JOIN covered USING (row) LEFT JOIN gone USING (row))
+SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND n_words - removed_words >= {LEAST_WORDS} AND removed_words <= {MOST_LOST} * n_words AS kept
+FROM base
+"""
