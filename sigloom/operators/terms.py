@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,15 +65,31 @@ def similar(items: DataFrame, prior: DataFrame, most_terms: int = 18, most_links
     return linked.withColumn("place", place).filter(F.col("place") <= most_links).select("item_id", "prior_id", "shared", "overlap", "kind")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def quoted(text: str) -> str:
+    """A pattern for the text itself."""
+    return "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in text)
+
+
+#: Each verb of change with its kind; of several kinds the first.
+KIND_OF = {v: k for k, vs in reversed(L.CHANGE_VERBS.items()) for v in vs}
+#: Any of them with no letter or digit next to it; of those at one place the first in the list.
+VERB = rf"(?<![{T.WORD_CHARS}])({'|'.join(quoted(v) for vs in L.CHANGE_VERBS.values() for v in vs)})(?![{T.WORD_CHARS}])"
+
+
+def verb(text: Column) -> Column:
+    """The first verb of change as (kind, verb, at from 1), null where there is none, or where lower case has another length."""
+    found = lambda low: let(F.regexp_extract(low, VERB, 1), lambda v: F.when(v != "", F.struct(T.case(v, KIND_OF).alias("kind"), v.alias("verb"), F.regexp_instr(low, F.lit(VERB)).alias("at"))))
+    return let(F.lower(text), lambda low: F.when(F.octet_length(low) == F.octet_length(text), found(low)))
+
+
 def change_verbs(texts: DataFrame, keep: str, column: str) -> DataFrame:
     """keep, kind, verb: the verb of change that stands first in each text, the first in the list of equals."""
-    low = F.lower(F.col(column))
-    verbs = [(k, v) for k, vs in L.CHANGE_VERBS.items() for v in vs]
-    at = lambda v: F.regexp_instr(low, F.lit(rf"(?<![{T.WORD_CHARS}])" + "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in v) + rf"(?![{T.WORD_CHARS}])"))
-    found = F.array(*[F.struct(at(v).alias("at"), F.lit(i).alias("i"), F.lit(k).alias("kind"), F.lit(v).alias("verb")) for i, (k, v) in enumerate(verbs)])
-    first = F.get(F.array_sort(F.filter(found, lambda f: f["at"] > 0)), F.lit(0))
-    same_size = F.octet_length(low) == F.octet_length(F.col(column))
-    return texts.filter(same_size).select(keep, first.alias("f")).filter("f IS NOT NULL").select(keep, "f.kind", "f.verb")
+    return texts.select(keep, verb(F.col(column)).alias("f")).filter("f IS NOT NULL").select(keep, "f.kind", "f.verb")
 
 
 def surface_forms(items: DataFrame) -> DataFrame:

@@ -28,4 +28,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
     return register
 
 
-from . import q_bundle, q_ingest, q_joins, q_observe, q_parts, q_records, q_retrieval, q_signals, q_text  # noqa: E402, F401
+from . import q_bundle, q_ingest, q_joins, q_observe, q_parts, q_reading, q_records, q_retrieval, q_signals, q_text  # noqa: E402, F401

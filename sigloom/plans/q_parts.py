@@ -31,7 +31,7 @@ MARKS = ", ".join(q(x) for x in L.TITLE_SEPARATORS)
 def _cleaned(t: str) -> str:
     out = t
     for mark in reversed(L.TITLE_SEPARATORS):
-        at = f"(length({t}) - length((str_split({t}, {q(mark)}))[-1]) - {len(mark)})"
+        at = f"length(regexp_extract({t}, {q('(?s)^(.*)' + mark.replace('|', '[|]'))}, 1))"  # the last mark, also where it overlaps the one before
         count = lambda x: f"len(list_filter(str_split({x}, ' '), lambda w: w <> ''))"
         head, tail = f"substr({t}, 1, {at})", f"substr({t}, {at} + 1)"
         out = f"CASE WHEN contains({t}, {q(mark)}) AND {count(head)} >= 2 AND {count(tail)} <= 5 THEN trim({head}) ELSE {out} END"

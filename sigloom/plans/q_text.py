@@ -168,15 +168,22 @@ def _verbs() -> list[tuple[str, str]]:
     return [(k, v) for k, vs in L.CHANGE_VERBS.items() for v in vs]
 
 
-def _verb_sql() -> str:
+def _verb_pattern() -> str:
+    """Before a verb of change (1), and the verb (2): the leftmost one, of those at one place the first in the list; a text has a space in front."""
     import re as _re
 
-    rows = ", ".join(f"({i}, '{k}', '{v}', '{_re.escape(v).replace(chr(92) + ' ', ' ').replace(chr(92) + '-', '-')}')" for i, (k, v) in enumerate(_verbs()))
-    edge = r"[^\p{L}\p{N}]"
-    return rf"""WITH verbs(i, kind, verb, pattern) AS (VALUES {rows}), d AS (SELECT doc_id, text || ' it ' || verb || ' this' AS text FROM documents JOIN verbs ON i = doc_id % {len(_verbs())}),
-t AS (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM d WHERE strlen(lower(text)) = strlen(text)),
-p AS (SELECT doc_id, i, kind, verb, length(regexp_extract(t, '(?s)^(.*?){edge}' || pattern || '{edge}', 1)) AS pos FROM t JOIN verbs ON contains(t, verb) AND regexp_matches(t, '{edge}' || pattern || '{edge}'))
-SELECT doc_id, arg_min(kind, (pos, i)) AS kind, arg_min(verb, (pos, i)) AS verb FROM p GROUP BY 1"""
+    verbs = "|".join(_re.escape(v).replace(chr(92) + " ", " ").replace(chr(92) + "-", "-") for _, v in _verbs())
+    return rf"(?s)^(.*?)[^\p{{L}}\p{{N}}]({verbs})(?:[^\p{{L}}\p{{N}}]|$)"
+
+
+VERB_PATTERN = _verb_pattern()
+
+
+def _verb_sql() -> str:
+    rows = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(_verbs()))
+    return rf"""WITH verbs(i, kind, verb) AS (VALUES {rows}), d AS (SELECT doc_id, text || ' it ' || verb || ' this' AS text FROM documents JOIN verbs ON i = doc_id % {len(_verbs())}),
+t AS (SELECT doc_id, regexp_extract(' ' || lower(text), '{VERB_PATTERN}', 2) AS verb FROM d WHERE strlen(lower(text)) = strlen(text))
+SELECT doc_id, kind, verb FROM (SELECT t.doc_id, t.verb, v.kind, row_number() OVER (PARTITION BY doc_id ORDER BY v.i) AS k FROM t JOIN verbs v ON v.verb = t.verb) WHERE k = 1"""
 
 
 @query(_verb_sql())
