@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
+from ..staging import cut
 
 BROADCAST_RULES = 10_000
 
@@ -51,6 +52,48 @@ def apply_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
     return items.crossJoin(F.broadcast(rules) if few else rules).select("item_id", "rule_id", "action", F.when(rule_matches(), "matched").otherwise("skipped").alias("result"))
 
 
+#: What a rule may ask of an item: its columns, and those of the item; by equality, or by a text that the item's holds.
+EQUAL = {"source_filter": "source_id", "kind_filter": "source_kind"}
+HELD = {"title_pattern": "title", "url_pattern": "canonical_url", "author_pattern": "author", "content_pattern": "content_text"}
+
+
+def _pieces(text: Column) -> Column:
+    """The runs of three signs of a text, A-Z lower-cased; those of a pattern stand in every text that holds it."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda k: F.substring(low, k, F.lit(3)))))
+
+
+def matched_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """item_id, rule_id, action of the rules that items match, as apply_rules() finds them, for any number of rules.
+
+    Each enabled rule is filed under what it asks for that fewest items have: a source, a kind, or three signs in a row of one of
+    its patterns; the content's only if it asks for nothing else. Items fetch the rules under what they have, and those are
+    checked whole. A rule that asks for none of these (nothing, a time, or patterns of one or two signs) is put to all items, as
+    it may match them all. item_id and rule_id tell rows apart; nulls and empty tables are fine.
+    """
+    for c in HELD:
+        rules = rules if c in rules.columns else rules.withColumn(c, F.lit(None).cast("string"))
+    rules = rules.filter("enabled")
+    one = lambda c: F.when(c.isNotNull(), F.array(c.cast("string")))
+    light = [F.struct(F.lit(name).alias("field"), one(F.col(name)).alias("tokens")) for name in EQUAL] + [F.struct(F.lit(name).alias("field"), _pieces(F.col(name)).alias("tokens")) for name in HELD if name != "content_pattern"]
+    asked = F.flatten(F.transform(F.array(*light), lambda f: F.transform(F.coalesce(f["tokens"], F.array().cast("array<string>")), lambda t: F.struct(f["field"].alias("field"), t.alias("token")))))
+    last = F.transform(F.coalesce(_pieces(F.col("content_pattern")), F.array().cast("array<string>")), lambda t: F.struct(F.lit("content_pattern").alias("field"), t.alias("token")))
+    none = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("token")))
+    ways = F.when(F.size(asked) > 0, asked).when(F.size(last) > 0, last).otherwise(none)
+    keys = cut(rules.select("rule_id", F.explode(ways).alias("k")).select("rule_id", "k.field", "k.token"))
+    wanted = keys.select("field", "token").distinct()
+    has = items.select("item_id", F.lit("").alias("field"), F.lit("").alias("token"))
+    for name, column in EQUAL.items():
+        has = has.unionByName(items.select("item_id", F.lit(name).alias("field"), F.col(column).cast("string").alias("token")))
+    for name, column in HELD.items():
+        has = has.unionByName(items.select("item_id", F.lit(name).alias("field"), F.explode(_pieces(F.col(column))).alias("token")))
+    has = cut(has.join(wanted, ["field", "token"], "left_semi"))
+    counts = has.groupBy("field", "token").agg(F.count("*").alias("n"))
+    filed = keys.join(counts, ["field", "token"], "left").groupBy("rule_id").agg(F.min_by(F.struct("field", "token"), F.struct(F.coalesce("n", F.lit(0)), "field", "token")).alias("k"))
+    met = has.join(filed.select("rule_id", "k.field", "k.token"), ["field", "token"]).select("item_id", "rule_id")
+    return met.join(items, "item_id").join(rules, "rule_id").filter(rule_matches()).select("item_id", "rule_id", "action")
+
+
 def deduplicated(observed: DataFrame) -> DataFrame:
     """What becomes of observed items in order of arrival (`seq`): `new`, `fingerprint` (seen just so), or `identity` (the same
     item told otherwise), and the item it stands for. A fingerprint is looked for before an identity. Groups are kept by grouped

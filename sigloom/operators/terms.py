@@ -54,9 +54,9 @@ def topics(items: DataFrame) -> DataFrame:
 
 def similar(items: DataFrame, prior: DataFrame, most_terms: int = 18, most_links: int = 8) -> DataFrame:
     """item_id, prior_id, shared, overlap, kind: links to earlier items by shared terms, the strongest first. The terms of the
-    priors are as many as PRIORS times most_terms, and are broadcast as that bound is set."""
+    priors are as many as PRIORS times most_terms, and are broadcast as that bound is set; priors are the newest items (published_at), those without a time last, of equals the first by id."""
     own = key_terms(items, most_terms).select("item_id", "term", F.col("many").alias("n"))
-    old = key_terms(prior.limit(L.PRIORS), most_terms).select(F.col("item_id").alias("prior_id"), "term", F.col("many").alias("m"))
+    old = key_terms(prior.orderBy(F.desc_nulls_last("published_at"), "item_id").limit(L.PRIORS), most_terms).select(F.col("item_id").alias("prior_id"), "term", F.col("many").alias("m"))
     pairs = own.join(F.broadcast(old), "term").filter("item_id <> prior_id").groupBy("item_id", "prior_id").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("m").alias("m"))
     overlap = F.round(F.col("shared").cast("double") / F.greatest(F.lit(1), F.least("n", "m")), 6)
     kind = F.when((F.col("overlap") >= 0.45) & (F.col("shared") >= 5), "same_change").when((F.col("overlap") >= 0.25) & (F.col("shared") >= 3), "related")

@@ -76,8 +76,12 @@ def signal_details(m):
 SELECT signal_id, (SELECT string_agg(evidence_id::VARCHAR, ',' ORDER BY n) FROM k WHERE k.signal_id = s.signal_id AND n <= 3) AS excerpts, (SELECT string_agg(item_id::VARCHAR, ',' ORDER BY n) FROM i WHERE i.signal_id = s.signal_id AND n <= 2) AS details FROM (SELECT DISTINCT signal_id FROM evidence) s""")
 def truncated_lists(m):
     """Lists that are cut: three excerpts, two details."""
-    text = lambda c, most: F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(c)), 1, most), lambda x: x.cast("string")), ",")
-    return m.evidence.groupBy("signal_id").agg(text("evidence_id", 3).alias("excerpts"), text("item_id", 2).alias("details"))
+    def first(column: str, most: int, name: str):
+        place = F.row_number().over(Window.partitionBy("signal_id").orderBy(column))  # cut before rows move, so none is gathered that is not shown
+        kept = m.evidence.select("signal_id", column).distinct().withColumn("place", place).filter(F.col("place") <= most)
+        return kept.groupBy("signal_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(column)), lambda x: x.cast("string")), ",").alias(name))
+
+    return first("evidence_id", 3, "excerpts").join(first("item_id", 2, "details"), "signal_id")
 
 
 @query("SELECT source_id AS id, title, publisher, status FROM source")

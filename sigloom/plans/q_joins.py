@@ -75,6 +75,15 @@ def rule_matches(m):
     return items.apply_rules(m.item, m.rule)
 
 
+@query("""SELECT item_id, rule_id, action FROM item JOIN rule ON enabled AND (source_filter IS NULL OR source_id = source_filter) AND (kind_filter IS NULL OR source_kind = kind_filter)
+  AND (title_pattern IS NULL OR contains(lower(title), lower(title_pattern))) AND (author_pattern IS NULL OR contains(lower(author), lower(author_pattern)))
+  AND (content_pattern IS NULL OR contains(lower(content_text), lower(content_pattern))) AND (url_pattern IS NULL OR contains(lower(canonical_url), lower(url_pattern)))
+  AND (published_after IS NULL OR published_at >= published_after)""")
+def matched_rules(m):
+    """The rules that items match, fetched through what fewest items have."""
+    return items.matched_rules(m.item, m.rule)
+
+
 @query("""WITH o AS (SELECT item_id AS seq, md5(concat(title, '|', content_text, '|', source_id)) AS fingerprint, canonical_identity FROM item),
 p AS (SELECT *, min(seq) OVER (PARTITION BY fingerprint) AS ps, min(seq) OVER (PARTITION BY canonical_identity) AS si FROM o)
 SELECT seq, CASE WHEN ps < seq THEN 'fingerprint' WHEN si < seq THEN 'identity' ELSE 'new' END AS outcome, CASE WHEN ps < seq THEN least(ps, si) WHEN si < seq THEN si ELSE seq END AS item_seq FROM p""")

@@ -65,7 +65,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, p
 SELECT item_id, prior_id, shared, overlap, kind FROM r WHERE k <= 8""")
 def similar_items(m):
     """Links to the 200 newest items by shared key terms."""
-    return terms.similar(m.item, m.item.orderBy(F.desc("published_at"), "item_id"))
+    return terms.similar(m.item, m.item)
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM documents")
