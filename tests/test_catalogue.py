@@ -22,6 +22,23 @@ def oracle():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_change_set():
+    """The queries of a change set show its tables one by one; here it is made once for all of them."""
+    from sigloom.plans import q_reading
+
+    make, held = q_reading._change_set, {}
+
+    def once(m):
+        if m.sf_dir not in held:
+            held[m.sf_dir] = make(m)
+        return held[m.sf_dir]
+
+    q_reading._change_set = once
+    yield
+    q_reading._change_set = make
+
+
 def shown(value) -> str:
     """Numbers alike whatever their type, as one side may have nulls among them and so floats."""
     if value is None or value is pd.NA or value is pd.NaT or value != value:
