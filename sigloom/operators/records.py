@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,16 +67,6 @@ def prior_candidates(shared: DataFrame, most: int = 12) -> DataFrame:
     return shared.filter("shared > 0").withColumn("place", place).filter(F.col("place") <= most)
 
 
-def observation_pass(sources: DataFrame, observe: Callable[[DataFrame], DataFrame], now: int, rounds: int = 2) -> list[DataFrame]:
-    """One pass of the schedule: what is due is observed, and what that registers is observed in a second round."""
-    out, due = [], sources.filter(F.col("next_observation_at").isNull() | (F.col("next_observation_at") <= now)).orderBy(F.asc_nulls_first("next_observation_at"), "source_id").limit(L.DUE_SOURCES)
-    for _ in range(rounds):
-        found = observe(due)
-        out.append(found)
-        due = found.select("source_id").join(sources.select("source_id"), "source_id", "left_anti")
-    return out
-
-
 def card(ranked: DataFrame) -> DataFrame:
     """Signals as text: place, what, from how many sources, and why."""
     line = F.concat(F.lit("#"), F.col("position").cast("string"), F.lit(" "), F.col("subject"), F.lit(" · "), F.col("change_kind"), F.lit(" · "), F.col("sources").cast("string"), F.lit(" sources"))
