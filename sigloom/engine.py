@@ -11,6 +11,7 @@ from .functions import ids
 from .functions import text as T
 from .functions import url as U
 from .operators import answers, gold, items, observe, ranking, records, retrieval
+from .operators.reasoner import compose
 
 
 class InvalidInput(ValueError):
@@ -197,35 +198,72 @@ class Engine:
         return items.apply_rules(new_items, self._t("rule"))
 
     # questions
-    def retrieve(self, question: str, now) -> dict[str, DataFrame]:
-        """The signals that answer a question, their evidence within the budget, the contexts they match, the insights that cite them, how far back the question looks, and, where relations of items are known, how the signals relate."""
+    def retrieve(self, question: str, now, focus: tuple = (), history: tuple = ()) -> dict[str, DataFrame]:
+        """What a question is answered from: the best signals that it looks back to, their evidence within the budget, the contexts
+        that it names or they connect to, the insights that cite them, what happened to them, and, where relations of items are known, how they relate.
+        focus: signals that the question is about; without, a question that points back ("that", "these") is about the last
+        signals of history (a tuple of signal ids an earlier answer)."""
+        if not question.strip():
+            raise InvalidInput("a question needs words")
         q = F.lit(question)
         named = retrieval.mentioned(self._t("context"), q)
-        shape = self.spark.range(1).select(T.intent(q).alias("intent"), F.size(T.content_terms(q)).alias("n"), T.window_days(q).alias("days")).first()
+        shape = self.spark.range(1).select(T.intent(q).alias("intent"), F.size(T.content_terms(q)).alias("n"), T.window_days(q).cast("int").alias("days"), T.is_anaphoric(q).alias("back")).select("*", (F.lit(now).cast("timestamp") - F.make_interval(days=F.col("days"))).alias("since")).first()
+        if not focus and shape["back"]:
+            focus = next((h for h in reversed(history) if h), ())
+        about = self.spark.createDataFrame([(i,) for i in focus], "signal_id long") if focus else None
         general = shape["n"] == 0 or shape["intent"] in retrieval.GENERAL and named.isEmpty()
         ranks = self.signal_list(now).select("signal_id", "total")
-        rows = self._t("signal").select("signal_id", "status", F.concat_ws(" ", "topic", "change_kind").alias("text"), F.col("created_at").alias("updated_at"))
-        best = retrieval.top_signals(retrieval.scores(rows, self._t("connection"), named, q, ranks, general))
+        seen = self._t("evidence").groupBy("signal_id").agg(F.max("observed_at").alias("seen"))
+        texts = [c for c in ("topic", "subject", "change", "why_it_matters", "change_kind") if c in self._t("signal").columns]
+        rows = self._t("signal").join(seen, "signal_id", "left").select("signal_id", "status", F.concat_ws(" ", *texts).alias("text"), F.col("created_at").alias("updated_at"), F.coalesce("seen", "created_at").alias("last_at"))
+        since = None if shape["days"] is None else F.lit(shape["since"])
+        scored = retrieval.scores(rows, self._t("connection"), named, q, ranks, general, since, about)
+        best = retrieval.top_signals(scored)
         placed = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("updated_at"), "signal_id")))
         parts = retrieval.bundle_parts(placed, self._t("evidence"), self._t("connection"), self._t("insight_signal"))
-        head = self.spark.createDataFrame([(shape["intent"], shape["days"])], "intent string, window_days int")
-        out = {"intent": head, "signals": best, "evidence": parts["evidence"][0], "contexts": parts["context"][0], "insights": parts["insight"][0]}
+        head = self.spark.createDataFrame([(shape["intent"], shape["days"], shape["since"], bool(focus))], "intent string, window_days int, since timestamp, focused boolean")
+        mine = lambda t: t.join(placed.select("signal_id"), "signal_id", "left_semi")
+        links = gold.best_connections(mine(self._t("connection"))).select("signal_id", F.col("target_id").alias("context_id"), "relation", "strength")
+        met = links.select("context_id").union(named.select("context_id")).distinct()
+        contexts = self._t("context").join(met, "context_id", "left_semi").join(named.select("context_id", F.lit(True).alias("mentioned")), "context_id", "left").fillna(False, ["mentioned"])
+        when = lambda name, key: self._t(name).select(key, F.col("created_at").alias("at")) if "created_at" in self._t(name).columns else self._t(name).select(key, F.lit(None).cast("timestamp").alias("at"))
+        told = mine(self._t("insight_signal")).join(when("insight", "insight_id"), "insight_id").select("signal_id", "insight_id", "at")
+        line = gold.timeline(mine(self._t("evidence")), mine(self._t("signal")), when("source", "source_id"), mine(self._t("connection")), when("context", "context_id"), told).filter("at IS NOT NULL")
+        out = {"intent": head, "signals": best, "evidence": parts["evidence"][0], "contexts": contexts, "connections": links, "insights": parts["insight"][0], "timeline": line}
         if "item_relation" in self.tables:
             out["pairs"] = gold.bundle_pairs(placed.select("signal_id", "place"), self._t("evidence"), self._t("item_relation"), self._t("connection"))
         return out
 
-    def ask(self, question: str, now, reasoner=None) -> tuple[answers.Answer, list[str]]:
-        """An answer from what retrieve() finds (8 signals and 60 pieces of evidence at most), checked against it."""
-        bundle = self.retrieve(question, now)
-        intent = bundle["intent"].first()["intent"]
-        detail = self._t("signal").join(F.broadcast(bundle["signals"].select("signal_id")), "signal_id", "left_semi").collect()
-        evidence = [r.asDict() for r in bundle["evidence"].collect()]
-        signals = [{"signal_id": r["signal_id"], "subject": f"subject {r['subject_key']}", "change": r["change_kind"], "sources": len({e["source_id"] for e in evidence if e["signal_id"] == r["signal_id"]}), "contexts": 0} for r in detail]
-        if not signals:
-            return answers.Answer(answers.INSUFFICIENT, "insufficient"), []
-        answer, events = answers.answered(reasoner, answers.compose, intent, signals, evidence)
-        kept, refused = answers.verified(answer, {e["evidence_id"]: e["signal_id"] for e in evidence}, {s["signal_id"] for s in signals}, set())
-        return kept, events + refused
+    def ask(self, question: str, now, reasoner=None, focus: tuple = (), history: tuple = ()) -> tuple[answers.Answer, list[str]]:
+        """An answer from what retrieve() finds, checked against it, and the events: failed and fallback of the reasoner (a callable
+        of the bundle as `operators/reasoner.py` describes it), rejected for what the gate withheld. Rows of eight signals and 60 pieces of evidence come to the driver, with
+        their connections and history."""
+        found = self.retrieve(question, now, focus, history)
+        head = found["intent"].first()
+        best = [r.asDict() for r in found["signals"].collect()]
+        few = self.spark.createDataFrame([(r["signal_id"],) for r in best], "signal_id long")
+        detail = {r["signal_id"]: r.asDict() for r in self._t("signal").join(F.broadcast(few), "signal_id", "left_semi").collect()}
+        contexts = [r.asDict() for r in found["contexts"].select("context_id", "name", "kind", "mentioned").orderBy("context_id").collect()]
+        of = {c["context_id"]: c for c in contexts}
+        evidence = [r.asDict() for r in found["evidence"].orderBy("signal_id", "place").collect()]
+        last: dict = {}
+        for e in evidence:
+            last[e["signal_id"]] = max(filter(None, (last.get(e["signal_id"]), e["observed_at"])), default=None)
+        signals = []
+        for r in best:
+            s = detail[r["signal_id"]]
+            signals.append({"signal_id": r["signal_id"], "subject": s.get("subject") or str(s.get("subject_key")), "change": s.get("change") or s.get("change_kind"), "why": s.get("why_it_matters"), "topic": s.get("topic"), "last_at": last.get(r["signal_id"]) or s.get("created_at")})
+        ids = self._t("insight").join(F.broadcast(found["insights"]), "insight_id").join(self._t("insight_signal").join(F.broadcast(few), "signal_id"), "insight_id").groupBy("insight_id", "kind", "status", "statement").agg(F.array_sort(F.collect_set("signal_id")).alias("signal_ids"))
+        bundle = {
+            "intent": head["intent"], "since": head["since"], "signals": signals, "evidence": evidence, "contexts": contexts, "mentioned": [c["context_id"] for c in contexts if c["mentioned"]],
+            "connections": [c | {"name": of[c["context_id"]]["name"], "kind": of[c["context_id"]]["kind"]} for r in found["connections"].orderBy("signal_id", F.desc("strength"), "context_id").collect() if (c := r.asDict())["context_id"] in of],
+            "pairs": [r.asDict() for r in found["pairs"].orderBy("a", "b").collect()] if "pairs" in found else [],
+            "timeline": [r.asDict() for r in found["timeline"].collect()] if head["intent"] == "evolution" else [],
+            "insights": [r.asDict() for r in ids.orderBy("insight_id").collect()],
+        }
+        answer, events = answers.answered(reasoner, compose, bundle)
+        kept, refused = answers.verified(answer, {e["evidence_id"]: e["signal_id"] for e in evidence}, set(detail), set(of))
+        return kept, events + [f"rejected: {r}" for r in refused]
 
     # insights
     def insight_list(self) -> DataFrame:

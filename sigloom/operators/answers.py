@@ -103,35 +103,11 @@ def verified(answer: Answer, evidence: dict[int, int], signals: set, contexts: s
     return Answer(summary.strip() or INSUFFICIENT, enough, kept, open_, answer.follow_ups[:5]), refused
 
 
-def compose(intent: str, signals: list[dict], evidence: list[dict]) -> Answer:
-    """An answer from a bundle by intent: what changed, why it matters, what disputes it, how it connects, what is open."""
-    if not signals:
-        return Answer(INSUFFICIENT, "insufficient")
-    by: dict = {}
-    for e in evidence:
-        by.setdefault(e["signal_id"], []).append(e)
-    out = []
-    for s in signals[:4] if intent != "patterns" else signals:
-        own = by.get(s["signal_id"], [])
-        disputes = [e["evidence_id"] for e in own if e["claim"] == "contradiction"]
-        ids = [e["evidence_id"] for e in own if e["claim"] in ("change", "corroboration")][:3] or [e["evidence_id"] for e in own][:1]
-        text = {
-            "contradictions": f"{s['subject']}: {len(disputes)} observation(s) dispute it.",
-            "evidence": f"{s['subject']}: {len(own)} piece(s) of evidence support this.",
-            "uncertainty": f"{s['subject']}: {'disputed' if disputes else 'not disputed'}, from {s['sources']} source(s).",
-            "connections": f"{s['subject']} connects to {s['contexts']} of your contexts.",
-            "why_matters": f"{s['subject']}: {s.get('why') or 'it has no stated relation to your contexts'}.",
-        }.get(intent, f"{s['subject']}: {s['change']}.")
-        out.append({"text": text, "basis": "connected" if intent == "connections" else "inferred" if intent in ("why_matters", "uncertainty") else "observed", "evidence_ids": disputes or ids if intent == "contradictions" else ids, "signal_ids": [s["signal_id"]], "context_ids": []})
-    return Answer(f"{len(out)} signal(s) answer this.", "sufficient", out, [], ["What evidence supports this?"])
-
-
 def answered(primary: Callable | None, local: Callable, *args) -> tuple[Answer, list[str]]:
-    """The primary reasoner's answer, or, when it fails, the local one's and the event."""
+    """The primary reasoner's answer, or, when it fails, the local one's, with the events: that it fell back, and what failed."""
     if primary is not None:
         try:
             return primary(*args), []
         except Exception as e:  # any failure of an outside service is answered locally, and told
-            return local(*args), [f"fallback: {e}"]
+            return local(*args), [f"fallback: {e}", f"failed: {type(e).__name__}"]
     return local(*args), []
-
