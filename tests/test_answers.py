@@ -85,3 +85,37 @@ def test_every_intent_keeps_to_the_bundle():
             assert more or answer.sufficiency != "sufficient"
             assert len({s["text"] for s in answer.statements}) == len(answer.statements)
         assert compose({"intent": intent, "signals": []}).sufficiency == "insufficient"
+
+
+def test_many_questions_as_each_alone(spark):
+    """Every question of a table against the scores of one question at a time; nulls, ties, repeated rows and hot shapes with it."""
+    from pyspark.sql import functions as F
+
+    from sigloom.functions import text as T
+    from sigloom.operators import questions, retrieval
+
+    texts = ["What of rust tools?", "What changed this week?", "What am I building with rust tools?", "what am i building?", "", None, "What is uncertain about caches this month?", "gardens and rust", "zebra", "How do gardens relate lately?"]
+    asked = [(i, texts[i % len(texts)]) for i in range(40)] + [(100 + i, "What of rust tools?") for i in range(60)]
+    told = ["rust cache", "garden tools", None, "", "cache cache", "tool"]
+    signals = spark.createDataFrame([(i, ("open", "resolved", None)[i % 3], told[i % 6], dt.datetime(2024, 1, 1 + i % 9), dt.datetime(2024, 1, 31) - dt.timedelta(days=i)) for i in range(45)], "signal_id long, status string, text string, updated_at timestamp, last_at timestamp")
+    contexts = spark.createDataFrame([(1, "Rust tools", "project"), (2, "Gardens", "interest"), (3, None, None), (4, "", "project"), (5, "Gardens rust", "interest")], "context_id long, name string, kind string")
+    connections = spark.createDataFrame([(i % 45, 1 + i % 5, ("matches", "via", None)[i % 3], None if i % 7 == 0 else i / 100) for i in range(30, 97)], "signal_id long, target_id long, relation string, strength double")
+    ranks = spark.createDataFrame([(i, float(i % 12)) for i in range(0, 45, 3)], "signal_id long, total double")
+    got = {}
+    for r in questions.retrieved(spark.createDataFrame(asked, "question_id long, question string"), signals, connections, contexts, ranks, F.lit(NOW)).collect():
+        got.setdefault(r["question_id"], []).append((r["place"], r["signal_id"], r["score"]))
+    known = connections.fillna(0.0, ["strength"])
+    for text in texts:
+        q = F.lit(text or "")
+        named = retrieval.mentioned(contexts.fillna("", ["name"]), q)
+        n, intent, days = spark.range(1).select(F.size(T.content_terms(q)), T.intent(q), T.window_days(q).cast("int")).first()
+        general = n == 0 or intent in retrieval.GENERAL and named.isEmpty()
+        since = None if days is None else F.lit(NOW - dt.timedelta(days=days))
+        scored = retrieval.scores(signals.fillna("", ["text"]), known, named, q, ranks.join(signals.select("signal_id"), "signal_id", "right").fillna(0.0), general, since)
+        want = [(k + 1, r["signal_id"], r["score"]) for k, r in enumerate(retrieval.top_signals(scored).collect())]
+        for i, t in asked:
+            if t == text:
+                assert sorted(got.get(i, [])) == want, text
+    assert set(got) - {100 + i for i in range(60)} < set(range(40)) and not [i for i, t in asked if t == "zebra" and i in got]
+    empty = questions.retrieved(spark.createDataFrame([], "question_id long, question string"), signals, connections, contexts.limit(0), ranks, F.lit(NOW))
+    assert empty.columns == ["question_id", "place", "signal_id", "score"] and empty.count() == 0
