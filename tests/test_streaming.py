@@ -167,3 +167,31 @@ def test_a_stream_that_is_run_again_writes_nothing_twice(spark, tmp_path):
     q = other.stream(read, f"{tmp_path}/other", availableNow=True)
     with pytest.raises(Exception, match="LeaseLost"):
         q.awaitTermination(120)
+
+
+def test_streamed_snapshots_as_those_of_a_table(rocks, tmp_path):
+    """In four batches with a restart between each, hot source included, against the operator over the whole table."""
+    from sigloom.operators import observe
+    from sigloom.streaming import snapshots
+
+    pages = [["a b", "c"], ["a b", "c"], ["c", "a b", "a b"], ["c", "new words that are six long"], [], ["x", "y", "y"], ["y", "x"], ["v 1.2", "c"]]
+    rows = [(1 if i % 3 else i % 5 + 2, i, i // 2 * 60, pages[i * 7 % 8]) for i in range(80)]
+    schema = "source_id long, snapshot_id long, s long, lines array<string>"
+    table = rocks.createDataFrame(rows, schema).select("source_id", "snapshot_id", F.timestamp_seconds("s").alias("observed_at"), "lines", F.transform("lines", F.lower).alias("blocks"), F.md5(F.array_join("lines", "|")).alias("hash"))
+    rocks.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for lot in range(4):
+            some = table.filter(F.col("snapshot_id").between(lot * 20, lot * 20 + 19))
+            some.union(some.limit(3)).repartition(3).orderBy(F.rand(lot)).write.mode("append").parquet(f"{tmp_path}/in")
+            out = snapshots.changes(rocks.readStream.schema(table.schema).parquet(f"{tmp_path}/in"))
+            write = lambda df, _: df.write.mode("append").parquet(f"{tmp_path}/out")
+            q = out.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+            assert q.awaitTermination(120) and q.exception() is None
+    finally:
+        rocks.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = rocks.read.parquet(f"{tmp_path}/out")
+    shown = lambda df: sorted(map(str, df.select("source_id", "snapshot_id", "observed_at", "change", "added", "removed").collect()))
+    assert shown(got) == shown(observe.snapshot_changes(table))
+    told = lambda df: sorted(map(tuple, df.select("source_id", "snapshot_id", "novelty").collect()))
+    assert told(got) == told(observe.novelty(table))
+    assert {r["change"] for r in got.select("change").collect()} == {"baseline", "unchanged", "changed", "materially_changed"}
