@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from ..functions import ids
+from ..functions import failures, ids
 from ..functions import url as U
 from ..functions.text import code_fence_stripped, lit_array
-from ..functions.time import parsed, shown
+from ..functions.time import parsed, retry_minutes, shown
 from ..operators import discovery
 from ..sources import feeds, html
 from .catalogue import query
@@ -176,7 +176,27 @@ def fetch_errors(m):
     """What failures are, and whether to try soon again."""
     k = F.col("event_id") % 5
     s = F.when(k == 0, 401).when(k == 1, 403).when(k == 2, 429).when(k == 3, 503).otherwise(404)
-    return m.events.select("event_id", s.alias("status"), ((s == 429) | (s >= 500)).alias("temporary"), F.when(s == 401, "authentication").when(s == 403, "authorization").otherwise("network").alias("category"))
+    return m.events.select("event_id", s.alias("status"), failures.is_temporary(F.lit("http"), s).alias("temporary"), failures.category(F.lit("http"), s).alias("category"))
+
+
+@query("""WITH f AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'policy' WHEN 1 THEN 'dns' WHEN 2 THEN 'timeout' WHEN 3 THEN 'http' WHEN 4 THEN 'too_large' WHEN 5 THEN 'redirects' ELSE 'network' END AS kind,
+  (400 + event_id // 7 % 120)::INTEGER AS status, CASE WHEN event_id % 2 = 0 THEN event_id % 300 END AS wait, event_id * 3000 AS bytes, 'user ' || user_id AS detail FROM events)
+SELECT event_id, kind, kind IN ('timeout', 'dns', 'network') OR kind = 'http' AND (status = 429 OR status >= 500) AS temporary,
+CASE WHEN kind = 'http' AND status = 401 THEN 'authentication' WHEN kind = 'http' AND status = 403 OR kind = 'policy' THEN 'authorization' ELSE 'network' END AS category,
+CASE kind WHEN 'dns' THEN 'Could not resolve the host (' || detail || ')' WHEN 'timeout' THEN 'Timed out' WHEN 'policy' THEN 'Not fetched: ' || detail WHEN 'too_large' THEN 'Document larger than ' || (bytes // 1048576) || ' MB'
+  WHEN 'redirects' THEN 'Too many redirects' WHEN 'network' THEN 'Network error (' || detail || ')'
+  ELSE CASE WHEN status IN (404, 410) THEN 'Source unavailable (HTTP ' || status || ')' WHEN status = 429 THEN 'Rate limited (HTTP 429)' || CASE WHEN wait IS NULL THEN '' ELSE '; asked to wait ' || wait || 's' END
+  WHEN status >= 500 THEN 'Server error (HTTP ' || status || ')' ELSE 'HTTP ' || status END END AS told,
+CASE WHEN kind = 'http' AND wait IS NOT NULL THEN greatest(wait, 60)::DOUBLE / 60 WHEN kind IN ('timeout', 'dns', 'network') OR kind = 'http' AND (status = 429 OR status >= 500) THEN 10.0::DOUBLE ELSE 120.0::DOUBLE END AS minutes FROM f""")
+def fetch_failures(m):
+    """All kinds of failures: whether they pass, what they are, how they are told, and the wait after a second one in a row."""
+    e, names = F.col("event_id"), failures.KINDS
+    kind = F.element_at(F.array(*map(F.lit, names)), (e % len(names)).cast("int") + 1)
+    status, wait = (400 + F.floor(e / 7) % 120).cast("int"), F.when(e % 2 == 0, e % 300)
+    f = m.events.select("event_id", kind.alias("kind"), status.alias("status"), wait.alias("wait"), (e * 3000).alias("bytes"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("detail"))
+    k, s, passing = F.col("kind"), F.col("status"), failures.is_temporary(F.col("kind"), F.col("status"))
+    again = retry_minutes(F.lit(60), F.lit(2), passing, failures.asked_to_wait(k, F.col("wait")))
+    return f.select("event_id", "kind", passing.alias("temporary"), failures.category(k, s).alias("category"), failures.described(k, s, F.col("wait"), F.col("bytes"), F.col("detail")).alias("told"), again.alias("minutes"))
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Acct' || page_id % 50 WHEN 1 THEN NULL ELSE NULL END AS account, CASE page_id % 4 WHEN 2 THEN 'own/repo' || page_id % 9 ELSE NULL END AS repository FROM pages""")

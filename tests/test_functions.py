@@ -114,3 +114,16 @@ def test_small_texts(spark):
     assert rows(spark, text.blank_as_null, ["  ", "", "x "]) == [None, None, "x "]
     assert value(spark, text.without_repeats(F.array(*[F.lit(x) for x in "aabba"]))) == ["a", "b", "a"]
     assert [value(spark, text.plural(F.lit(n), "source")) for n in (1, 2)] == ["1 source", "2 sources"]
+
+
+def test_failures_with_unknown_parts(spark):
+    from sigloom.functions import failures as X
+
+    given = [("http", 503, None, None, None), ("http", 429, 7, None, None), ("http", 410, None, None, None), ("http", None, None, None, None), ("dns", None, None, None, None), ("too_large", None, None, 3 << 20, None), ("policy", None, None, None, "private"), ("odd", None, None, None, None), (None, 500, None, None, None)]
+    t = spark.createDataFrame(given, "k string, s int, w long, b long, d string")
+    c = [F.col(x) for x in "kswbd"]
+    got = [tuple(r) for r in t.select(X.is_temporary(*c[:2]), X.category(*c[:2]), X.described(*c)).collect()]
+    assert got == [
+        (True, "network", "Server error (HTTP 503)"), (True, "network", "Rate limited (HTTP 429); asked to wait 7s"), (False, "network", "Source unavailable (HTTP 410)"), (False, "network", "HTTP "), (True, "network", "Could not resolve the host ()"),
+        (False, "network", "Document larger than 3 MB"), (False, "authorization", "Not fetched: private"), (False, "network", None), (False, "network", None),
+    ]
