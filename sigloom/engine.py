@@ -26,6 +26,10 @@ class UnknownCapability(LookupError):
     pass
 
 
+class Internal(RuntimeError):
+    """A capability failed for a reason that is not the caller's; the cause is attached."""
+
+
 class Engine:
     """tables: name -> DataFrame of the collections that are asked for (item, item_state, signal, evidence, source, connection,
     item_link, rule, rule_execution, context, insight, insight_signal, observation, snapshot, target)."""
@@ -34,7 +38,7 @@ class Engine:
         self.spark, self.tables = spark, tables
 
     def call(self, capability: str, **given):
-        """What a capability (a method, with `.` or `_` between its words) gives. Errors are UnknownCapability, InvalidInput (also for parameters that do not fit) and NotFound."""
+        """What a capability (a method, with `.` or `_` between its words) gives. Errors are UnknownCapability, InvalidInput (also for parameters that do not fit), NotFound, and Internal for all else."""
         name = capability.replace(".", "_")
         method = getattr(type(self), name, None) if name and not name.startswith("_") and name != "call" else None
         if not callable(method):
@@ -43,7 +47,12 @@ class Engine:
             inspect.signature(method).bind(self, **given)
         except TypeError as e:
             raise InvalidInput(f"{capability}: {e}") from None
-        return method(self, **given)
+        try:
+            return method(self, **given)
+        except (UnknownCapability, InvalidInput, NotFound):
+            raise
+        except Exception as e:
+            raise Internal(f"{capability}: {type(e).__name__}") from e
 
     def _t(self, name: str) -> DataFrame:
         if name not in self.tables:

@@ -119,3 +119,16 @@ def test_many_questions_as_each_alone(spark):
     assert set(got) - {100 + i for i in range(60)} < set(range(40)) and not [i for i, t in asked if t == "zebra" and i in got]
     empty = questions.retrieved(spark.createDataFrame([], "question_id long, question string"), signals, connections, contexts.limit(0), ranks, F.lit(NOW))
     assert empty.columns == ["question_id", "place", "signal_id", "score"] and empty.count() == 0
+
+
+def test_other_failures_are_internal(spark, engine):
+    from sigloom.engine import Internal, NotFound
+
+    broken = Engine(spark, engine.tables | {"signal": spark.range(1)})
+    with pytest.raises(Internal) as told:
+        broken.call("retrieve", question="What changed?", now=NOW)
+    assert told.value.__cause__ is not None and "retrieve" in str(told.value)
+    with pytest.raises(NotFound):
+        Engine(spark, {}).call("retrieve", question="What changed?", now=NOW)
+    with pytest.raises(InvalidInput):
+        engine.call("ask", question=" ", now=NOW)
