@@ -1,4 +1,4 @@
-"""A table that streams write exactly once, by one holder at a time."""
+"""A table that micro-batches are written to exactly once, by one holder at a time."""
 
 from __future__ import annotations
 
@@ -42,11 +42,11 @@ class _Folder:
         return {s.getPath().getName(): s for s in self.fs.listStatus(self.path)}
 
     def read(self, name: str) -> str:
-        stream = self.fs.open(self.jvm.org.apache.hadoop.fs.Path(self.path, name))
+        file = self.fs.open(self.jvm.org.apache.hadoop.fs.Path(self.path, name))
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return bytes(file.readAllBytes()).decode()
         finally:
-            stream.close()
+            file.close()
 
     def remove(self, name: str) -> None:
         self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(self.path, name), True)
@@ -114,7 +114,7 @@ class Ledger:
         return f"{int(batch):020d}"
 
     def write(self, rows: DataFrame, batch: int) -> bool:
-        """The rows as those of the batch; False if it has some already. As step of `foreachBatch`, it makes a stream exactly-once."""
+        """The rows as those of the batch; False if it has some already. As step of `foreachBatch`, it makes a query exactly-once."""
         if not self.lease.acquire():
             raise LeaseLost(f"{self.lease.holder} does not hold the lease")
         if self.entry(batch) in self.entries.files():
@@ -148,6 +148,6 @@ class Ledger:
             rows.remove(p)
         return sorted(dead)
 
-    def stream(self, batches: DataFrame, checkpoint: str, **trigger):
-        """A query that writes each batch of a stream here."""
+    def follow(self, batches: DataFrame, checkpoint: str, **trigger):
+        """A streaming query that writes each of its batches here."""
         return batches.writeStream.foreachBatch(lambda rows, batch: self.write(rows, batch) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()

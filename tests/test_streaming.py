@@ -160,11 +160,11 @@ def test_a_stream_that_is_run_again_writes_nothing_twice(spark, tmp_path):
     ledger = Ledger(spark, f"{tmp_path}/t", ROWS, Lease(spark, f"{tmp_path}/lease", "a"))
     read = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     for checkpoint in ("one", "one", "lost"):  # the last has no memory of what it did and replays all batches
-        q = ledger.stream(read, f"{tmp_path}/{checkpoint}", availableNow=True)
+        q = ledger.follow(read, f"{tmp_path}/{checkpoint}", availableNow=True)
         assert q.awaitTermination(120) and q.exception() is None
     assert sorted(r["id"] for r in ledger.read().collect()) == list(range(20)) and len(ledger.batches()) == 4
     other = Ledger(spark, f"{tmp_path}/t", ROWS, Lease(spark, f"{tmp_path}/lease", "b"))
-    q = other.stream(read, f"{tmp_path}/other", availableNow=True)
+    q = other.follow(read, f"{tmp_path}/other", availableNow=True)
     with pytest.raises(Exception, match="LeaseLost"):
         q.awaitTermination(120)
 
