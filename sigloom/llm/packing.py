@@ -7,11 +7,13 @@ pieces then take the places of their length by rank, which is counted within par
 
 from __future__ import annotations
 
+import codecs
 import zlib
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Distinct pre-tokens whose ids a task keeps at once.
+#: Distinct pre-tokens whose ids a task keeps at once; above, the half that came most often stays.
 CACHE = 400_000
 
 #: Characters that are split into pre-tokens at once; documents are longer or shorter, and each is taken whole.
@@ -30,12 +32,23 @@ BATCH = 1_000_000
 #: Fixed value: how the vocabulary's tokenizer parts a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The pattern for texts of PLAIN characters only, whose letters, numbers and white space are spelt out as ranges. Contractions begin
+#: with a sign that letters and numbers cannot begin with, so they may stand behind these.
+PLAIN = "\\0-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20c0"
+LETTERS, NUMBERS, SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 
-def _byte_signs() -> dict[int, str]:
-    """How byte-level vocabularies write bytes: printable ones as themselves, the others by signs from 256 on, in order."""
+
+def _plain_pattern(letters: str, numbers: str, spaces: str) -> str:
+    a, n, other = f"[{letters}]++", f"[{numbers}]++", f"[^{spaces}{letters}{numbers}]++"
+    return rf" {a}|{a}| {n}|{n}|'(?:[stmd]|re|ve|ll)| {other}|{other}|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+
+
+def _byte_signs() -> str:
+    """How byte-level vocabularies write each byte: printable ones as themselves, the others by signs from 256 on, in order."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = (b for b in range(256) if b not in plain)
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+    signs = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return "".join(signs[b] for b in range(256))
 
 
 class Encoder:
@@ -53,43 +66,65 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not added
         self.merge, self.signs = self.tokenizer.model.tokenize, _byte_signs()
         self.any_parts = regex.compile(PATTERN).findall
-        self.ascii_parts = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII).findall
-        contents = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
-        self.odd = re.compile("|".join(["[\x1c-\x1f\x85]", *contents])).search
+        self.ascii_parts = re.compile(_plain_pattern("A-Za-z", "0-9", "\t-\r ")).findall
+        self.plain_parts = re.compile(_plain_pattern(LETTERS, NUMBERS, SPACES)).findall
+        self.not_plain = re.compile(f"[^{PLAIN}]").search
+        self.contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.odd = re.compile("[\x1c-\x1f\x85]").search
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
+        #: Numbers new pre-tokens as they come.
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _shed(self) -> None:
+        """Keeps the pre-tokens that came most often, half of CACHE, with half their counts, so that what came of late counts more."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE // 2])
+        stays = np.zeros(len(self.uses), bool)
+        stays[keep] = True
+        names = [w for w, stay in zip(self.number, stays.tolist()) if stay]
+        sizes = np.diff(self.starts)
+        self.ids, self.uses = self.ids[np.repeat(stays, sizes)], self.uses[keep] // 2
+        self.starts = np.concatenate(([0], np.cumsum(sizes[keep])))
+        self.number = defaultdict(count(len(names)).__next__, zip(names, range(len(names))))
 
     def _parts(self, text: str) -> list[str]:
-        if self.odd(text):
+        if self.odd(text) or any(c in text for c in self.contents):
             return [f"\0whole {text}"]
-        return self.ascii_parts(text) if text.isascii() else self.any_parts(text)
-
-    def _merged(self, part: str) -> list[int]:
-        if part.startswith("\0whole "):
-            return self.tokenizer.encode(part[7:], add_special_tokens=False).ids
-        return [x.id for x in self.merge(part.encode().decode("latin-1").translate(self.signs))]
+        if text.isascii():
+            return self.ascii_parts(text)
+        return self.any_parts(text) if self.not_plain(text) else self.plain_parts(text)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Merges the parts and appends what came of each."""
+        # byte 255 is in no text's UTF-8, so it can stand between the parts while their bytes are written as signs
+        written = codecs.charmap_decode("\udcff".join(parts).encode("utf-8", "surrogateescape"), "strict", self.signs)[0].split(self.signs[255])
+        found: list[int] = []
+        ends = []
+        for part, signs in zip(parts, written):
+            found += self.tokenizer.encode(part[7:], add_special_tokens=False).ids if part.startswith("\0whole ") else [x.id for x in self.merge(signs)]
+            ends.append(len(found))
+        self.ids = np.concatenate([self.ids, np.array(found, np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.array(ends)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(parts), np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text ends."""
         if len(self.number) > CACHE:
-            self._clear()
-        words = [self._parts(t) for t in texts]
-        flat = [w for ws in words for w in ws]
-        if new := list({w for w in flat if w not in self.number}):
-            found = [self._merged(w) for w in new]
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.ids = np.concatenate([self.ids, np.array([x for ids in found for x in ids], np.uint32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(ids) for ids in found])])
-        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+            self._shed()
+        words, known = [self._parts(t) for t in texts], len(self.number)
+        word_ends = np.cumsum([len(ws) for ws in words], dtype=np.int64)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(word_ends[-1]) if words else 0)
+        if new := [*islice(reversed(self.number), len(self.number) - known)][::-1]:
+            self._learn(new)
+        self.uses += np.bincount(at, minlength=len(self.uses))
         sizes = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         index = np.arange(total) + np.repeat(self.starts[at] - (ends - sizes), sizes)
-        word_ends = np.cumsum([len(ws) for ws in words])
         return self.ids[index], np.concatenate(([0], ends))[word_ends]
 
 

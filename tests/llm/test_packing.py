@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from sigloom.llm import packing
 from sigloom.llm.entries import op4_best_fit_packing
 from sigloom.llm.packing import Encoder, _better, _meets, pack, plan
 
@@ -112,3 +113,35 @@ def test_the_query_takes_added_tokens_as_the_library_does(spark, tmp_path):
     assert got == brute(rows, Tokenizer.from_file(VOCABULARY))
     ids, ends = Encoder(VOCABULARY, added=True).encode(MARKED[:1])
     assert ids.tolist() == [64, 220, 50256, 275]
+
+
+def test_common_parts_are_merged_once_however_many_rare_ones_come(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 200)
+    encoder, merged, tokenizer = Encoder(VOCABULARY), Counter(), Tokenizer.from_file(VOCABULARY)
+    merge = encoder.merge
+    encoder.merge = lambda signs: merged.update([signs]) or merge(signs)
+    for k in range(40):
+        texts = [" the of and in" * 3 + "".join(f" {n}" for n in range(100 * k, 100 * k + 100)), "the\x1cof", ""]
+        ids, ends = encoder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.number) <= 310
+    assert [merged[f"Ġ{w}"] for w in ("the", "of", "and", "in")] == [1, 1, 1, 1]
+
+
+SIGNS = "'  \n\tsdmtrevlSD .,!12²½\xa0é’…—–€ªßÿĀɏ\u2010\0"
+OURS, THEIRS = Encoder(VOCABULARY, added=True), Tokenizer.from_file(VOCABULARY)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(st.text(SIGNS, max_size=12), st.text(st.characters(max_codepoint=0x24F), max_size=8), st.text(max_size=6)), max_size=4))
+def test_every_kind_of_text_gets_the_ids_of_the_library(texts):
+    ids, ends = OURS.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [THEIRS.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_classes_of_plain_characters_are_those_of_unicode():
+    import regex
+
+    plain = regex.findall(f"[{packing.PLAIN}]", "".join(map(chr, range(0x3000))))
+    for own, theirs in ((packing.LETTERS, r"\p{L}"), (packing.NUMBERS, r"\p{N}"), (packing.SPACES, r"\s")):
+        assert regex.findall(f"[{own}]", "".join(plain)) == regex.findall(theirs, "".join(plain))
