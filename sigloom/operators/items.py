@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
-from ..staging import cut
+from ..staging import cut_dense as cut
 
 BROADCAST_RULES = 10_000
 

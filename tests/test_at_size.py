@@ -2,6 +2,7 @@
 
 import pytest
 
+from sigloom import staging
 from sigloom.operators import answers
 from sigloom.sources import html
 
@@ -19,3 +20,18 @@ def test_observations_of_one_time_and_id(spark):
     signals = spark.createDataFrame([(1, "S", "Adds y")], "signal_id long, subject string, change string")
     got = [r["statement"] for r in answers.syntheses(evidence, signals).collect() if r["section"] == "new_information"]
     assert sorted(got) == ["b adds: “y”", "b adds: “z”"]
+
+
+def test_dense_tables_are_not_broadcast(spark):
+    """A million rows take 40 kB as Parquet and 16 MB and more as rows."""
+    rows = staging.cut_dense(spark.range(1_000_000).selectExpr("id DIV 1000 AS id", "'token' AS token"))
+    plan = lambda a: a.join(rows, "id")._jdf.queryExecution().sparkPlan().toString()
+    some = spark.range(10_000_000).selectExpr("id", "id AS x")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")
+        assert "Broadcast" not in plan(some)
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", "1.0")
+        assert "Broadcast" in plan(some)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
