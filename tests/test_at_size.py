@@ -1,9 +1,11 @@
 """What larger and odd tables have shown."""
 
+import re
+
 import pytest
 
 from sigloom import staging
-from sigloom.operators import answers
+from sigloom.operators import answers, reading
 from sigloom.sources import html
 
 
@@ -35,3 +37,28 @@ def test_dense_tables_are_not_broadcast(spark):
         assert "Broadcast" in plan(some)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def few_contexts(spark):
+    """Items and contexts of which every item meets every one, by words and by names of three words."""
+    items = spark.createDataFrame([(i, f"Red blue green n{i}", "One two three four. Red blue green.", i, "web") for i in range(40)], "item_id long, title string, content_text string, published_at long, source_kind string")
+    contexts = spark.createDataFrame([(k, "red blue green", "project", [f"three four n{k}"], "five three four") for k in range(9)], "context_id long, name string, kind string, aliases array<string>, description string")
+    return items, contexts
+
+
+def test_pairs_of_items_and_contexts_do_not_move(spark):
+    out = reading.context_matches(*few_contexts(spark))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == ["item_id", "mark"]  # texts, and the keys that are looked for
+    rows = out.collect()
+    assert len(rows) == 40 * 9 and all(r["direct"] and r["terms"] == ["red blue green", "red", "blue", "green", "three", "four"] and r["places"] == [0, 1, 2] for r in rows)
+    assert {r["score"] for r in rows} == {4 + 3 + 3 * 1.5 + 2 * 0.6}
+
+
+def test_common_words_are_looked_for_last(spark, monkeypatch):
+    items, contexts = few_contexts(spark)
+    whole = sorted(map(str, reading.context_matches(items, contexts).collect()))
+    monkeypatch.setattr(reading, "OFTEN", 5)
+    assert sorted(map(str, reading.context_matches(items, contexts).collect())) == whole
+    monkeypatch.setattr(reading, "KEYS", 3)
+    assert sorted(map(str, reading.context_matches(items, contexts).collect())) == whole
