@@ -62,3 +62,21 @@ def test_common_words_are_looked_for_last(spark, monkeypatch):
     assert sorted(map(str, reading.context_matches(items, contexts).collect())) == whole
     monkeypatch.setattr(reading, "KEYS", 3)
     assert sorted(map(str, reading.context_matches(items, contexts).collect())) == whole
+
+
+def test_pairs_of_stems_are_found_as_such(spark):
+    items, contexts = few_contexts(spark)
+    wanted = spark.createDataFrame([("blue green",), ("four red",), ("n3",)], "stem string")
+    got = sorted((r["item_id"], r["place"], r["at"], r["stem"]) for r in reading.stem_places(reading.located(items.filter("item_id = 3")), wanted).collect())
+    assert got == [(3, 0, 1, "blue green"), (3, 0, 3, "n3"), (3, 2, 1, "blue green")]
+
+
+def test_reasons_gather_no_descriptions(spark):
+    """Of the contexts that an item meets names are gathered; what describes the first is joined to it."""
+    matches = spark.createDataFrame([(1, k, 0.5, f"mentions n{k}", [k]) for k in (2, 1, 3)], "item_id long, context_id long, strength double, rationale string, places array<int>")
+    contexts = spark.createDataFrame([(k, f"N{k}", "project", f"About {k}.") for k in range(5)], "context_id long, name string, kind string, description string")
+    changes = spark.createDataFrame([(1, "fixes")], "item_id long, change_kind string")
+    out = reading.relevance(matches, changes, contexts)
+    assert [f.name for f in out.schema["m"].dataType.elementType.fields] == ["less", "context_id", "name", "places"]
+    row = out.first()
+    assert row["why"] == "This may matter because it overlaps with N1, a project you're working on: it mentions n1. You describe N1 as “About 1”. It also touches N2, N3." and row["why_places"] == [1, 2, 3]
