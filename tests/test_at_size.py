@@ -5,7 +5,8 @@ import re
 import pytest
 
 from sigloom import staging
-from sigloom.operators import answers, reading
+from sigloom.operators import answers, changeset, cluster, items, questions, ranking, reading
+from sigloom.plans import q_reading
 from sigloom.sources import html
 
 
@@ -80,3 +81,8 @@ def test_reasons_gather_no_descriptions(spark):
     assert [f.name for f in out.schema["m"].dataType.elementType.fields] == ["less", "context_id", "name", "places"]
     row = out.first()
     assert row["why"] == "This may matter because it overlaps with N1, a project you're working on: it mentions n1. You describe N1 as “About 1”. It also touches N2, N3." and row["why_places"] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("module", [changeset, cluster, items, questions, ranking, reading, q_reading])
+def test_tables_of_ids_are_told_to_be_dense(module):
+    assert module.cut is staging.cut_dense
